@@ -21,6 +21,8 @@ def components(links: DataFrame) -> DataFrame:
         links.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")).where("u != v").distinct(), "edges")
     nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
     labels = nodes.select("node", F.xxhash64("node").alias("at"))
+    if edges.isEmpty():
+        return nodes.select("node", F.col("node").alias("root"))
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         up = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("least")).select("w", F.least("w", "least").alias("p"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, each, stored, table, tune
+from .common import batches, each, scratch, stored, table, tune
 from .graph import components
 from .shingles import _PLACE, mix, shingle_sets
 
@@ -19,7 +19,9 @@ BANDS, ROWS = 40, 5
 #: Dimension of the two permutations.
 DIMENSION = 1 << 20
 #: Hubs that a bucket compares with its members in one round, after the first.
-HUBS = 8
+HUBS = 16
+#: From the second round on, a bucket with at most so many members left has all its pairs of different components compared.
+FEW = 64
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _tables: dict[str, np.ndarray] = {}
@@ -95,10 +97,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     Documents with equal sets form one class, of which only the one with the least doc_id goes on. In each bucket
     of the banding, the member that shares most buckets with others is compared with all the rest; a bucket is done
     when the members that haven't been compared with all others already belong to one component. Until then, further
-    members outside the bucket's largest component are compared with all. So no link is lost, a group of n copies
+    members outside the bucket's largest component are compared with all (and in a bucket of at most FEW members, a
+    constant, all that are in different components with each other). So no link is lost, a group of n copies
     costs about n comparisons, and no bucket is ever gathered in one place.
     """
-    tune(docs.sparkSession)
+    spark = docs.sparkSession
+    tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
     features = stored(docs.mapInArrow(each(_features(words)), schema), "features")
@@ -119,26 +123,41 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         return df.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).where("a != b").distinct()
 
     hubs = stored(live.join(nodes, "node").groupBy("key").agg(F.max_by("node", "score").alias("hub")), "hubs")
-    tried = stored(as_pairs(live.join(hubs, "key")), "pairs")
-    links = verified(tried)
-    left = live.join(hubs, "key").where("node != hub").select("key", "node")
+    tried = scratch(spark, "tried")
+    pairs = stored(as_pairs(live.join(hubs, "key")), "pairs")
+    links = verified(pairs)
+    pairs.write.parquet(tried)
+    roots = stored(components(links), "roots")
+    left = live.join(hubs, "key").where("node != hub").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     while True:
-        roots = stored(components(links), "roots")
-        left = left.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-        open_ = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-        left = stored(left.join(open_, "key"), "left")
+        open_ = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo != hi").select("key", "members")
+        left = stored(left.select("key", "node", "comp").join(open_, "key"), "left")
         if left.isEmpty():
             break
-        main = left.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", "c").alias("main"))
-        outer = left.join(main, "key").where("comp != main")
-        picks = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(HUBS)]
-        chosen = outer.groupBy("key").agg(*[p.alias(f"h{i}") for i, p in enumerate(picks)])
-        hubs = stored(chosen.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS)]))).alias("hub")), "hubs")
-        with_comp = hubs.join(left.select("key", F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), ["key", "hub"])
-        new = as_pairs(left.join(with_comp, "key").where("comp != hub_comp"))
-        new = stored(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried, links = tried.union(new), links.union(verified(new))
-        left = left.join(hubs.withColumnRenamed("hub", "node"), ["key", "node"], "left_anti").select("key", "node")
+        few, many = left.where(F.col("members") <= FEW), left.where(F.col("members") > FEW)
+        other = few.select("key", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+        new = few.join(other, "key").where("comp < hub_comp").select("hub", "node")
+        left = many
+        if not many.isEmpty():
+            main = many.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", "c").alias("main"))
+            chosen = many.join(main, "key").where("comp != main").groupBy("key").agg(
+                *[F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(HUBS)])
+            hubs = stored(chosen.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS)]))).alias("h")).select(
+                "key", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
+            new = new.union(many.join(hubs, "key").where("comp != hub_comp").select("hub", "node"))
+            left = many.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
+        new = stored(as_pairs(new).join(spark.read.schema("a long, b long").parquet(tried), ["a", "b"], "left_anti"), "pairs")
+        new.write.mode("append").parquet(tried)
+        # the new links, between components as they were
+        root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        between = verified(new).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        moved = stored(components(stored(between.where("a != b").distinct(), "between")), "moved")
+        if moved.isEmpty():
+            continue
+        known = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        lone = moved.join(roots.select("node"), "node", "left_anti").select("node", "root")
+        roots = stored(known.union(lone), "roots")
+        left = left.select("key", "node", "comp").join(moved.select(F.col("node").alias("comp"), F.col("root").alias("to")), "comp", "left").select("key", "node", F.coalesce("to", "comp").alias("comp"))
     ids = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "d1", "d2").join(ids, ["d1", "d2"], "left")
     component = F.coalesce("component_id", "doc_id")
