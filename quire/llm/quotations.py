@@ -9,7 +9,7 @@ from .common import small, stored, table
 
 #: Turns of a conversation that are ordered together; sums over such chunks give the order over a whole conversation.
 CHUNK = 1024
-_NULL = -(2**63)
+_NULL = -(2**62)
 _MARKS = "^((?:>[ \\t]?)*)"
 
 

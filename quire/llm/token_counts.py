@@ -97,7 +97,7 @@ def count_tokens(docs: DataFrame, cache: str, name: str = "piece_bpe_32k.model",
     misses = firsts.join(known().select("digest").distinct(), "digest", "left_anti")
     # rows without a doc_id can still be the only ones of their content
     found = rows.join(misses, rows.doc_id.eqNullSafe(misses.doc_id) & (rows.digest == misses.digest), "left_semi")
-    encoded = found.select("digest", F.lit(key).alias("tokenizer"), "text").mapInArrow(each(_count(name)), _CACHE)
+    encoded = found.select("digest", F.lit(key).alias("tokenizer"), "text").mapInArrow(each(_count(name)), _CACHE).dropDuplicates(["digest"])  # repeated rows
     encoded.write.mode("append").parquet(cache)
     counts = known().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     sizes = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
