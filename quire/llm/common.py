@@ -78,3 +78,20 @@ def each(fn) -> object:
                 yield fn(b)
 
     return run
+
+
+def slices(sizes: list[int], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows of about ``most`` bytes or characters; a larger row is a range of its own."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """df for a sort-merge join at any size: one plan for small and large inputs, whose large partitions AQE can split."""
+    return df.hint("merge")

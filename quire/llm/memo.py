@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 
 #: A worker forgets all chunks when it has more than this many.
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS = 500_000
 #: Chunks of white space and the word after it. In each of the vocabularies here no token goes from a character
 #: that isn't white space to one that is.
 CHUNK = re.compile(r"\s*\S+|\s+")

@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, each, scratch, stored, table, tune
+from .common import batches, each, merged, scratch, stored, table, tune
 from .graph import components
 from .shingles import _PLACE, mix, shingle_sets
 
-#: 40 bands of 5 coordinates miss a pair of similarity 0.8 with a probability of (1 - 0.8**5)**40, 1.3e-7.
-BANDS, ROWS = 40, 5
+#: 60 bands of 7 coordinates miss a pair of similarity 0.8 with a probability of (1 - 0.8**7)**60, 7.4e-7, and put a
+#: pair of similarity 0.3, as of short texts that share a passage, into a common bucket with one of 0.013.
+BANDS, ROWS = 60, 7
 #: Dimension of the two permutations.
 DIMENSION = 1 << 20
 #: Hubs that a bucket compares with its members in one round, after the first.
@@ -112,7 +113,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     sizes = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     live = stored(rows.join(sizes, "key"), "buckets")
     nodes = live.groupBy("node").agg(F.sum("c").alias("score"))
-    held = stored(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    held = stored(docs.join(merged(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
@@ -171,7 +172,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, 0.8) stays: the one with the least doc_id."""
     keep = near_duplicates(docs, words=5).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    return docs.join(merged(keep), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
 
 
 #: Exact links for a small corpus: all pairs that share a shingle.

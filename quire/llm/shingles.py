@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .common import slices
+
 WS = np.zeros(256, bool)
 WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -85,7 +87,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     """For each row the sorted distinct hashes of its k-word shingles; with fewer words its only shingle is the whole sequence; without words the set is empty. A-Z count as a-z."""
     data, offsets = buffers(column)
-    data = LOWER[data]
+    return [x for i, j in slices(np.diff(offsets).tolist()) for x in _sets(LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], k)]
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     starts, ends, first = words(data, offsets)
     h = word_hashes(data, starts, ends)
     n = len(h)
