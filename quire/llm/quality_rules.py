@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, each, small, stored, table, texts, tune
+from .common import batches, each, merged, small, stored, table, texts, tune
 
 #: A line in more than so many distinct documents of one host is boilerplate there.
 MAX_DOCS = 20
@@ -114,10 +114,9 @@ def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Rejected documents go; the others lose their boilerplate lines."""
     removed = stored(removed_lines(docs).select("doc_id", "pos", "words"), "removed")
     verdict = quality_verdict(docs, removed)
-    gone = removed.join(verdict.where("kept").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("__gone"))
-    kept = verdict.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.join(kept, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").join(
-        gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left")
+    gone = removed.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone"))
+    kept = verdict.where("kept").select("doc_id").join(gone, "doc_id", "left").select(F.col("doc_id").alias("__id"), "__gone")
+    joined = docs.join(merged(kept), F.col("doc_id").cast("long") == F.col("__id"))
     lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     out = joined.withColumn("text", text)
