@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, each, table, texts, tune
+from .common import batches, each, slices, table, texts, tune
 from .memo import IdMemo, chunks, sums
 
 #: Pieces of up to so many bytes share matrices; longer ones (a rare piece, of any length) merge along a linked list.
@@ -193,12 +193,12 @@ def bpe(path: str) -> ByteBPE:
 
 def _tokens(name: str, whole: bool):
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        coder = bpe(public_tokenizers.path(name))
-        ids, n = coder.encode_all(texts(b))
-        ends = np.cumsum(n)
-        parts = [ids[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
+        coder, rows, parts = bpe(public_tokenizers.path(name)), texts(b), []
+        for i, j in slices(list(map(len, rows))):
+            ids, n = coder.encode_all(rows[i:j])
+            parts += [ids[e - k : e] for e, k in zip(np.cumsum(n).tolist(), n.tolist())]
         raw = [p.astype("<u4").tobytes() for p in parts]
-        out = {"doc_id": b.column("doc_id"), "n_tokens": n, "decoded_sha256": [hashlib.sha256(coder.decode(p)).hexdigest() for p in parts]}
+        out = {"doc_id": b.column("doc_id"), "n_tokens": list(map(len, parts)), "decoded_sha256": [hashlib.sha256(coder.decode(p)).hexdigest() for p in parts]}
         return batches(out | ({"ids": raw} if whole else {"ids_sha256": [hashlib.sha256(x).hexdigest() for x in raw]}), _IDS_SCHEMA if whole else _SCHEMA)
 
     return run

@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, each, scratch, table, texts, tune
+from .common import batches, each, merged, scratch, slices, table, texts, tune
 from .memo import MEMO_CHUNKS
 
 LIMIT = 4096
@@ -58,7 +58,9 @@ def _count(name: str):
         path = public_tokenizers.path(name)
         if path not in _made:
             _made[path] = PieceCounter(path)
-        return batches({"digest": b.column("digest"), "tokenizer": b.column("tokenizer"), "n_tokens": _made[path].counts(texts(b))}, _SCHEMA)
+        rows = texts(b)
+        counts = [n for i, j in slices(list(map(len, rows))) for n in _made[path].counts(rows[i:j])]
+        return batches({"digest": b.column("digest"), "tokenizer": b.column("tokenizer"), "n_tokens": counts}, _SCHEMA)
 
     return run
 
@@ -96,7 +98,7 @@ def count_tokens(docs: DataFrame, cache: str, name: str = "piece_bpe_32k.model",
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     misses = firsts.join(known().select("digest").distinct(), "digest", "left_anti")
     # rows without a doc_id can still be the only ones of their content
-    found = rows.join(misses, rows.doc_id.eqNullSafe(misses.doc_id) & (rows.digest == misses.digest), "left_semi")
+    found = rows.join(merged(misses), rows.doc_id.eqNullSafe(misses.doc_id) & (rows.digest == misses.digest), "left_semi")
     encoded = found.select("digest", F.lit(key).alias("tokenizer"), "text").mapInArrow(each(_count(name)), _CACHE).dropDuplicates(["digest"])  # repeated rows
     encoded.write.mode("append").parquet(cache)
     counts = known().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
