@@ -109,9 +109,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     features = stored(docs.mapInArrow(each(_features(words)), schema), "features")
     classes = stored(features.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = features.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")).distinct()
-    sizes = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    live = stored(rows.join(sizes, "key"), "buckets")
+    rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")).distinct()
+    shared = lambda r: r.join(r.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key")
+    # sets of similarity s differ in size by a factor of 1 / s at most, so they share one of two neighbouring classes of size
+    size = F.floor(F.log("n") / F.log(F.lit(101 / percent))).cast("long")
+    rows = stored(shared(rows).select("key", "node", "n", F.explode(F.array(size, size + 1)).alias("size")).select(F.xxhash64("key", "size").alias("key"), "node", "n"), "rows")
+    live = stored(shared(rows), "buckets")
     nodes = live.groupBy("node").agg(F.sum("c").alias("score"))
     held = stored(docs.join(merged(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
@@ -129,23 +132,24 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     links = verified(pairs)
     pairs.write.parquet(tried)
     roots = stored(components(links), "roots")
-    left = live.join(hubs, "key").where("node != hub").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    left = live.join(hubs, "key").where("node != hub").select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
     while True:
         open_ = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo != hi").select("key", "members")
-        left = stored(left.select("key", "node", "comp").join(open_, "key"), "left")
+        left = stored(left.select("key", "node", "n", "comp").join(open_, "key"), "left")
         if left.isEmpty():
             break
         few, many = left.where(F.col("members") <= FEW), left.where(F.col("members") > FEW)
-        other = few.select("key", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-        new = few.join(other, "key").where("comp < hub_comp").select("hub", "node")
+        like = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+        other = few.select(F.col("key").alias("hub_key"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+        new = few.join(other, (F.col("key") == F.col("hub_key")) & (F.col("comp") < F.col("hub_comp")) & like).select("hub", "node")
         left = many
         if not many.isEmpty():
             main = many.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", "c").alias("main"))
             chosen = many.join(main, "key").where("comp != main").groupBy("key").agg(
-                *[F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(HUBS)])
+                *[F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(HUBS)])
             hubs = stored(chosen.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS)]))).alias("h")).select(
-                "key", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
-            new = new.union(many.join(hubs, "key").where("comp != hub_comp").select("hub", "node"))
+                "key", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n").alias("hub_n")), "hubs")
+            new = new.union(many.join(hubs.withColumnRenamed("key", "hub_key"), (F.col("key") == F.col("hub_key")) & (F.col("comp") != F.col("hub_comp")) & like).select("hub", "node"))
             left = many.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
         new = stored(as_pairs(new).join(spark.read.schema("a long, b long").parquet(tried), ["a", "b"], "left_anti"), "pairs")
         new.write.mode("append").parquet(tried)
@@ -158,7 +162,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         known = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         lone = moved.join(roots.select("node"), "node", "left_anti").select("node", "root")
         roots = stored(known.union(lone), "roots")
-        left = left.select("key", "node", "comp").join(moved.select(F.col("node").alias("comp"), F.col("root").alias("to")), "comp", "left").select("key", "node", F.coalesce("to", "comp").alias("comp"))
+        left = left.select("key", "node", "n", "comp").join(moved.select(F.col("node").alias("comp"), F.col("root").alias("to")), "comp", "left").select("key", "node", "n", F.coalesce("to", "comp").alias("comp"))
     ids = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "d1", "d2").join(ids, ["d1", "d2"], "left")
     component = F.coalesce("component_id", "doc_id")
