@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, each, merged, scratch, stored, table, tune
+from .common import batches, each, merged, stored, table, tune
 from .graph import components
 from .shingles import _PLACE, mix, shingle_sets
 
@@ -19,10 +19,10 @@ from .shingles import _PLACE, mix, shingle_sets
 BANDS, ROWS = 60, 7
 #: Dimension of the two permutations.
 DIMENSION = 1 << 20
-#: Hubs that a bucket compares with its members in one round, after the first.
-HUBS = 16
-#: From the second round on, a bucket with at most so many members left has all its pairs of different components compared.
-FEW = 64
+#: A block of texts of a group has at most about so many texts and bytes; two blocks are compared in one task.
+BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
+#: Columns of the incidence matrices of two blocks at a time.
+BLOCK_COLUMNS = 8192
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _tables: dict[str, np.ndarray] = {}
@@ -87,6 +87,93 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of the other, by products of incidence matrices."""
+    vocabulary, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    lengths = np.array([len(x) for x in [*left, *right]])
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.argsort(codes, kind="stable")
+    codes, row = codes[order], row[order]
+    cuts = np.searchsorted(codes, np.arange(0, len(vocabulary) + BLOCK_COLUMNS, BLOCK_COLUMNS))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for n, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+        m = np.zeros((len(lengths), BLOCK_COLUMNS), np.float32)
+        m[row[i:j], codes[i:j] - n * BLOCK_COLUMNS] = 1
+        out += (m[: len(left)] @ m[len(left) :].T).astype(np.int64)
+    return out
+
+
+def _compare(words: int, percent: int):
+    """Two blocks of a group -> pairs of components that a link joins, as many as a forest of these needs."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(t: pa.Table) -> pa.Table:
+        side, comp = t.column("side").to_numpy(), t.column("comp").to_numpy()
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(one) or not len(two):
+            return schema.empty_table()
+        sets = shingle_sets(t.column("text"), words)
+        n = np.array([len(x) for x in sets])
+        both = _intersections([sets[i] for i in one], [sets[i] for i in two])
+        linked = (100 * both >= percent * (n[one][:, None] + n[two] - both)) & (comp[one][:, None] != comp[two])
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        pairs = []
+        for i, j in np.argwhere(linked):
+            x, y = int(comp[one[i]]), int(comp[two[j]])
+            if (p := top(x)) != (q := top(y)):
+                parent[max(p, q)] = min(p, q)
+                pairs.append((x, y))
+        return pa.table([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], schema=schema)
+
+    return run
+
+
+def _main(df: DataFrame, *group: str) -> DataFrame:
+    """For each group of df(..., comp): its largest component, its members, how many are outside that, and the
+    comparisons of these with all."""
+    sizes = df.groupBy(*group, "comp").agg(F.count("*").alias("c")).groupBy(*group).agg(
+        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), (F.sum("c") - F.max("c")).alias("u"))
+    return sizes.where("u > 0").withColumn("cost", F.col("u") * F.col("m"))
+
+
+def _between(left: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
+    """left(key, node, comp), the members of buckets -> (a, b), pairs of components that a link joins.
+
+    Buckets within one component are done. The others are gathered into clusters that share members; a cluster is
+    compared as one group where this takes fewer comparisons than its buckets one by one (else a pair that shares many
+    buckets would be compared in each). In a group, the members outside its largest component are compared with all,
+    block by block: u members against m take about 2 * u * m / BLOCK_ROWS rows with texts, not u * m.
+    """
+    open_ = stored(left.join(_main(left, "key").select("key", "cost"), "key"), "open")
+    if open_.isEmpty():
+        return open_.select(F.col("comp").alias("a"), F.col("comp").alias("b"))
+    first = open_.groupBy("key").agg(F.min("node").alias("a"))
+    clusters = components(open_.join(first, "key").select("a", F.col("node").alias("b"))).select("node", F.col("root").alias("cluster"))
+    rows = stored(open_.join(merged(clusters), "node"), "clusters")
+    single = rows.groupBy("cluster", "key").agg(F.first("cost").alias("cost")).groupBy("cluster").agg(F.sum("cost").alias("singly"))
+    members = rows.select("cluster", "node", "comp").distinct()
+    whole = _main(members, "cluster").select("cluster", "cost").join(single, "cluster").select("cluster", (F.col("cost") <= F.col("singly")).alias("whole"))
+    rows = rows.join(merged(whole), "cluster").select("cluster", F.when(F.col("whole"), F.lit(0)).otherwise(F.col("key")).alias("key"), "node", "comp").distinct()
+    rows = stored(rows.join(merged(held.select(F.col("doc_id").alias("node"), "size")), "node"), "groups")
+    largest = rows.groupBy("cluster", "key").agg(F.max("size").alias("size"))
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / F.greatest(F.lit(1), F.col("size")))))
+    plan = _main(rows, "cluster", "key").join(largest, ["cluster", "key"]).select(
+        "cluster", "key", "main", F.ceil(F.col("u") / block).cast("int").alias("na"), F.ceil(F.col("m") / block).cast("int").alias("nb"))
+    rows = rows.drop("size").join(merged(plan), ["cluster", "key"])
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = rows.where("comp != main").select("cluster", "key", "node", "comp", F.lit(0).alias("side"), own("na").alias("i"), every("nb").alias("j"))
+    two = rows.select("cluster", "key", "node", "comp", F.lit(1).alias("side"), every("na").alias("i"), own("nb").alias("j"))
+    dealt = stored(one.union(two), "blocks").join(merged(held.select(F.col("doc_id").alias("node"), "text")), "node")
+    return stored(dealt.groupBy("cluster", "key", "i", "j").applyInArrow(_compare(words, percent), "a long, b long").distinct(), "between")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept.
 
@@ -96,11 +183,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     than doc_id and text are not read, whatever they are called.
 
     Documents with equal sets form one class, of which only the one with the least doc_id goes on. In each bucket
-    of the banding, the member that shares most buckets with others is compared with all the rest; a bucket is done
-    when the members that haven't been compared with all others already belong to one component. Until then, further
-    members outside the bucket's largest component are compared with all (and in a bucket of at most FEW members, a
-    constant, all that are in different components with each other). So no link is lost, a group of n copies
-    costs about n comparisons, and no bucket is ever gathered in one place.
+    of the banding, the member that shares most buckets with others is compared with all the rest, which joins a group
+    of n copies by about n comparisons. Members of a bucket that are in different components after that are compared
+    with each other, in blocks of bounded size (see _between). So no link between components is lost, no bucket is
+    gathered in one place, and no row is made for each pair of a bucket.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -113,7 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     sizes = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     live = stored(rows.join(sizes, "key"), "buckets")
     nodes = live.groupBy("node").agg(F.sum("c").alias("score"))
-    held = stored(docs.join(merged(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    held = stored(docs.join(merged(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("size", F.octet_length("text")), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
@@ -124,41 +210,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         return df.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).where("a != b").distinct()
 
     hubs = stored(live.join(nodes, "node").groupBy("key").agg(F.max_by("node", "score").alias("hub")), "hubs")
-    tried = scratch(spark, "tried")
-    pairs = stored(as_pairs(live.join(hubs, "key")), "pairs")
-    links = verified(pairs)
-    pairs.write.parquet(tried)
+    links = verified(stored(as_pairs(live.join(hubs, "key")), "pairs"))
     roots = stored(components(links), "roots")
-    left = live.join(hubs, "key").where("node != hub").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    while True:
-        open_ = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo != hi").select("key", "members")
-        left = stored(left.select("key", "node", "comp").join(open_, "key"), "left")
-        if left.isEmpty():
-            break
-        few, many = left.where(F.col("members") <= FEW), left.where(F.col("members") > FEW)
-        other = few.select("key", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-        new = few.join(other, "key").where("comp < hub_comp").select("hub", "node")
-        left = many
-        if not many.isEmpty():
-            main = many.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", "c").alias("main"))
-            chosen = many.join(main, "key").where("comp != main").groupBy("key").agg(
-                *[F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(HUBS)])
-            hubs = stored(chosen.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS)]))).alias("h")).select(
-                "key", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
-            new = new.union(many.join(hubs, "key").where("comp != hub_comp").select("hub", "node"))
-            left = many.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
-        new = stored(as_pairs(new).join(spark.read.schema("a long, b long").parquet(tried), ["a", "b"], "left_anti"), "pairs")
-        new.write.mode("append").parquet(tried)
-        # the new links, between components as they were
-        root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        between = verified(new).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        moved = stored(components(stored(between.where("a != b").distinct(), "between")), "moved")
-        if moved.isEmpty():
-            continue
-        known = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        lone = moved.join(roots.select("node"), "node", "left_anti").select("node", "root")
-        roots = stored(known.union(lone), "roots")
-        left = left.select("key", "node", "comp").join(moved.select(F.col("node").alias("comp"), F.col("root").alias("to")), "comp", "left").select("key", "node", F.coalesce("to", "comp").alias("comp"))
+    left = stored(live.join(hubs, "key").where("node != hub").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp")), "left")
+    # each link between components as they were joins their roots
+    moved = stored(components(_between(left, held, words, percent)), "moved")
+    known = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    roots = known.union(moved.join(roots.select("node"), "node", "left_anti").select("node", "root"))
     ids = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "d1", "d2").join(ids, ["d1", "d2"], "left")
     component = F.coalesce("component_id", "doc_id")
