@@ -159,7 +159,10 @@ def _between(left: DataFrame, held: DataFrame, words: int, percent: int) -> Data
     single = rows.groupBy("cluster", "key").agg(F.first("cost").alias("cost")).groupBy("cluster").agg(F.sum("cost").alias("singly"))
     members = rows.select("cluster", "node", "comp").distinct()
     whole = _main(members, "cluster").select("cluster", "cost").join(single, "cluster").select("cluster", (F.col("cost") <= F.col("singly")).alias("whole"))
-    rows = rows.join(merged(whole), "cluster").select("cluster", F.when(F.col("whole"), F.lit(0)).otherwise(F.col("key")).alias("key"), "node", "comp").distinct()
+    members, whole = stored(members, "members"), stored(whole, "whole")
+    # no aggregation follows these joins by cluster, so a cluster of many rows can be split over tasks
+    together = members.join(merged(whole.where("whole")), "cluster").select("cluster", F.lit(0).cast("long").alias("key"), "node", "comp")
+    rows = together.union(rows.join(merged(whole.where("not whole")), "cluster").select("cluster", "key", "node", "comp"))
     rows = stored(rows.join(merged(held.select(F.col("doc_id").alias("node"), "size")), "node"), "groups")
     largest = rows.groupBy("cluster", "key").agg(F.max("size").alias("size"))
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / F.greatest(F.lit(1), F.col("size")))))
