@@ -146,7 +146,7 @@ wl AS (SELECT nl.*, len(string_split(nl.line, ' ')) AS words, d.text FROM nl JOI
 hot AS (SELECT host, line, min(doc_id) AS first FROM wl GROUP BY ALL HAVING count(DISTINCT text) > {MAX_DOCS}),
 lost AS (SELECT doc_id, sum(words)::BIGINT AS n FROM wl JOIN hot USING (host, line) WHERE doc_id <> first GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '{_SPACE}', '', 'g'))::BIGINT AS word_chars,
-  length(regexp_replace(text, '[^#*$%&|<>\[\]]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_removed_words
   FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f AS base_failed,

@@ -208,6 +208,12 @@ def test_boilerplate_lines_go_and_one_stays(spark):
     assert out[5] == own(5) and out[0] == rows[0][1] and 101 not in out
 
 
+def test_base_counts_of_a_text(spark):
+    text = "a [b] # <c>\r\n| x y\n\n| x y\n" + "one two three four five " * 2
+    r = quality_rules.base_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.word_chars) == (20, 5, 1, 10, len("".join(text.split()))) and r.base_failed
+
+
 def test_decontamination(spark, odd, empty):
     item = " ".join(f"k{i}" for i in range(30))
     items = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, "")], "item_id long, text string")
