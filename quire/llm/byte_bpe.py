@@ -179,6 +179,11 @@ class ByteBPE:
         """Ids of all texts, one after the other, and how many each text has."""
         return self.memo.ids_of([chunks(x) for x in rows])
 
+    def forget(self) -> None:
+        """Drop what is remembered of past texts; the tables of the rank file stay."""
+        self.pieces.clear()
+        self.memo.clear()
+
     def decode(self, ids: np.ndarray) -> bytes:
         length = self.offsets[ids + 1] - self.offsets[ids]
         ends = np.cumsum(length)
@@ -191,6 +196,11 @@ def bpe(path: str) -> ByteBPE:
     return _made[path]
 
 
+def _each(name: str, whole: bool):
+    """Chunks are remembered within a task only: an idle worker holds none."""
+    return each(_tokens(name, whole), lambda: bpe(public_tokenizers.path(name)).forget())
+
+
 def _tokens(name: str, whole: bool):
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         coder, rows, parts = bpe(public_tokenizers.path(name)), texts(b), []
@@ -212,14 +222,14 @@ def token_digests(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataF
     """
     tune(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        each(_tokens(name, False)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        _each(name, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_ids(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """As token_digests, but with the ids themselves (little-endian unsigned 32-bit integers)."""
     tune(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        each(_tokens(name, True)), "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
+        _each(name, True), "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

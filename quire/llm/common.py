@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from ..session import ship
 BATCH_ROWS = 1024
 #: A side of at most so many (narrow) rows may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 100_000
+#: The C library's call that returns freed memory to the system, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,13 +72,24 @@ def batches(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def each(fn) -> object:
-    """fn(batch) -> batch, for mapInArrow."""
+def release() -> None:
+    """Return memory that nothing uses to the system. A Python worker outlives its task, and what it keeps counts against its executor in all later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def each(fn, after: Callable[[], None] = lambda: None) -> object:
+    """fn(batch) -> batch, for mapInArrow. At the end of a task come after() and the release of memory."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if b.num_rows:
-                yield fn(b)
+        try:
+            for b in it:
+                if b.num_rows:
+                    yield fn(b)
+        finally:
+            after()
+            release()
 
     return run
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,16 +72,14 @@ def _features(words: int):
 def _verify(words: int, percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            left, right = shingle_sets(b.column("ta"), words), shingle_sets(b.column("tb"), words)
-            keep = []
-            for x, y in zip(left, right):
-                small, large = sorted((len(x), len(y)))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if small and 100 * small >= percent * large else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            rows = pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=schema)
-            yield rows.filter(pa.array(keep))
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        left, right = shingle_sets(b.column("ta"), words), shingle_sets(b.column("tb"), words)
+        keep = []
+        for x, y in zip(left, right):
+            small, large = sorted((len(x), len(y)))
+            both = len(np.intersect1d(x, y, assume_unique=True)) if small and 100 * small >= percent * large else 0
+            keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+        return pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=schema).filter(pa.array(keep))
 
     return run
 
@@ -207,7 +204,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     def verified(pairs: DataFrame) -> DataFrame:
         one = held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         two = held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        return stored(pairs.join(one, "a").join(two, "b").mapInArrow(_verify(words, percent), "a long, b long"), "links")
+        return stored(pairs.join(one, "a").join(two, "b").mapInArrow(each(_verify(words, percent)), "a long, b long"), "links")
 
     def as_pairs(df: DataFrame) -> DataFrame:
         return df.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).where("a != b").distinct()
