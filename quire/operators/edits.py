@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import norm_title
+
 MAX_TAGS = 10
 
 
@@ -80,3 +82,29 @@ def batch_trim(targets: DataFrame, budget: int = 48, deleting: bool = False) ->
     rows = targets.withColumn("new", new).withColumn("k", F.sum("new").over(w)).withColumn("n", F.row_number().over(w))
     cost = (5 + 3 * F.col("k") if deleting else 1 + 3 * F.col("k") + 4 * F.col("n")) + 2 + 3 * F.col("k")
     return rows.select("rank", "id", cost.cast("long").alias("cost"), (cost > budget).alias("deferred"))
+
+
+def merge_trim(targets: DataFrame, shards: int, budget: int = 48) -> DataFrame:
+    """targets(rank, id, shard): the longest prefix of a tag merge whose estimate of requests fits; all others wait for
+    the next call. A prefix has at most budget / 4 books, so only so many go on to the running counts."""
+    first = targets.orderBy("rank").limit(max(0, budget // 4))
+    w = Window.orderBy("rank")
+    new = F.when(F.row_number().over(Window.partitionBy("shard").orderBy("rank")) == 1, 1).otherwise(0)
+    cost = 1 + shards + 4 * F.row_number().over(w) + 2 * F.sum("new").over(w)
+    return first.withColumn("new", new).select("rank", "id", cost.cast("long").alias("cost")).where(F.col("cost") <= budget)
+
+
+def copy_titles(new: DataFrame, taken: DataFrame, most: int = 50) -> DataFrame:
+    """new(id, title), taken(title) -> id, title: a title that is taken gets the least free copy number, null if none
+    up to ``most`` is free. Of new books with the same title the one with the least id comes first. Titles are
+    compared without white space."""
+    suffix = lambda k: F.concat(F.lit("（副本"), F.when(k > 1, k.cast("string")).otherwise(F.lit("")), F.lit("）"))
+    rows = new.select("id", "title", norm_title(F.col("title")).alias("key"))
+    old = taken.select(norm_title(F.col("title")).alias("key")).distinct().withColumn("old", F.lit(1))
+    rows = rows.join(old, "key", "left").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id")))
+    rows = rows.withColumn("r", F.col("r") - F.when(F.col("old").isNull(), 1).otherwise(0))
+    wanted = rows.where("r > 0").select("key").distinct().select("key", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")).where(F.col("k").between(1, most))  # a sequence to 0 goes down
+    used = old.select("key").union(rows.select("key")).select(F.col("key").alias("name"))
+    free = wanted.join(used, F.concat("key", suffix(F.col("k"))) == F.col("name"), "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("k")).alias("free"))
+    k = F.get("free", F.col("r") - 1)
+    return rows.join(free, "key", "left").select("id", F.when(F.col("r") == 0, F.col("title")).otherwise(F.concat("title", suffix(k))).alias("title"))

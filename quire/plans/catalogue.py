@@ -445,6 +445,21 @@ def batch_trim(s, d):
     return ED.batch_trim(t)
 
 
+@query("merge_trim", _b("""SELECT rank, id, cost FROM (SELECT rank, id, 1 + 5 + 4 * rank + 2 * sum(f) OVER (ORDER BY rank)::BIGINT AS cost FROM
+ (SELECT *, CASE WHEN row_number() OVER (PARTITION BY id % 5 ORDER BY rank) = 1 THEN 1 ELSE 0 END AS f FROM (SELECT row_number() OVER (ORDER BY id) AS rank, id FROM sh WHERE list_contains(tags, 'PROMO')))) WHERE cost <= 48"""))
+def merge_trim(s, d):
+    t = C.books(s, d).where("array_contains(tags, 'PROMO')").select("id")
+    return ED.merge_trim(t.withColumn("rank", F.row_number().over(SH.Window.orderBy("id")).cast("long")).withColumn("shard", F.col("id") % 5), 5)
+
+
+@query("copy_titles", """WITH b AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS title, replace(p_name || p_brand, ' ', '') AS k FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) - CASE WHEN k IN (SELECT k FROM b WHERE id % 2 = 0) THEN 0 ELSE 1 END AS r FROM b WHERE id % 3 = 0)
+SELECT id, CASE WHEN r = 0 THEN title WHEN r = 1 THEN title || '（副本）' WHEN r <= 50 THEN title || '（副本' || r || '）' END AS title FROM n""")
+def copy_titles(s, d):
+    b = C.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"))
+    return ED.copy_titles(b.where("id % 3 = 0"), b.where("id % 2 = 0"))
+
+
 # ---- integrity
 
 @query("residue", "SELECT o_custkey AS book_id, count(*)::BIGINT AS objects, sum(o_orderkey % 1000)::BIGINT AS bytes FROM orders WHERE o_custkey % 7 = 0 GROUP BY 1")
