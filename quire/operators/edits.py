@@ -107,4 +107,4 @@ def copy_titles(new: DataFrame, taken: DataFrame, most: int = 50) -> DataFrame:
     used = old.select("key").union(rows.select("key")).select(F.col("key").alias("name"))
     free = wanted.join(used, F.concat("key", suffix(F.col("k"))) == F.col("name"), "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("k")).alias("free"))
     k = F.get("free", F.col("r") - 1)
-    return rows.join(free, "key", "left").select("id", F.when(F.col("r") == 0, F.col("title")).otherwise(F.concat("title", suffix(k))).alias("title"))
+    return rows.join(free, "key", "left").select("id", F.when(F.col("r") == 0, F.col("title")).when(k.isNotNull(), F.concat("title", suffix(k))).alias("title"))
