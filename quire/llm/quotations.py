@@ -29,12 +29,49 @@ def _own(lines: str = "lines") -> Column:
     return F.regexp_replace(F.array_join(kept, "\n"), "^\\n+|\\n+$", "")
 
 
+def _parts(text: str) -> list[Column]:
+    """paragraphs and lines: hashes, as strings, of those of a text that aren't empty."""
+    split = {"paragraphs": F.split(text, "\\n\\s*\\n"), "lines": F.split(text, "\n")}
+    return [F.transform(F.filter(F.transform(c, _norm), lambda x: x != ""), lambda x: F.xxhash64(x).cast("string")).alias(k) for k, c in split.items()]
+
+
+def _key(kind: Column, parts: Column) -> Column:
+    return F.md5(F.concat_ws(",", kind, F.array_join(parts, ",")))
+
+
+def _by_parts(lost: DataFrame, own: DataFrame) -> DataFrame:
+    """lost(conv_id, turn, row, level, at, paragraphs, lines), own(conv_id, turn, own) -> conv_id, turn, row, level,
+    original. Messages give all runs of as many units as a lost passage of their conversation has, and single units;
+    each key keeps its first turn, so no row is made for each pair of a passage and a message."""
+    kinds = ("paragraphs", "lines")
+
+    def asked_of(k: str) -> Column:
+        one = F.transform(F.array_distinct(k), lambda x: F.struct(F.lit(False).alias("whole"), _key(F.lit(k), F.array(x)).alias("key")))
+        return F.concat(F.array(F.struct(F.lit(True).alias("whole"), _key(F.lit(k), F.col(k)).alias("key"))), one)
+
+    def runs_of(k: str) -> Column:
+        fits = F.filter(f"n_{k}", lambda n: n <= F.size(k))
+        return F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), F.size(k) - n + 1), lambda i: _key(F.lit(k), F.slice(k, i, n)))))
+
+    asked = lost.select("conv_id", "turn", "row", "level", "at", F.explode(F.concat(*map(asked_of, kinds))).alias("k")).select("conv_id", "turn", "row", "level", "at", "k.*")
+    sizes = lost.groupBy("conv_id").agg(*[F.array_union(F.collect_set(F.size(k)), F.array(F.lit(1))).alias(f"n_{k}") for k in kinds])
+    parts = own.join(small(sizes), "conv_id").select("conv_id", "turn", *[f"n_{k}" for k in kinds], *_parts("own"))
+    runs = F.concat(*map(runs_of, kinds))
+    first = parts.select("conv_id", "turn", F.explode(F.array_distinct(runs)).alias("key")).groupBy("conv_id", "key").agg(F.min("turn").alias("original"))
+    found = asked.join(first, ["conv_id", "key"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
+    return found.groupBy("conv_id", "turn", "row", "level", "at").agg(F.coalesce(
+        F.min(F.when(F.col("whole"), F.col("original"))), F.max("original")).alias("original")).drop("at")
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """messages(conv_id, turn, role, text) -> conv_id, turn, role, content, parent_turn, position, n_quotes, n_linked.
 
     A quoted passage is a run of lines with the same number of > marks at the start. Normalised (lower case, single
     spaces), it is looked up by hash among the whole texts, paragraphs and lines that messages of the same
-    conversation wrote themselves; its original is the first such message, if that is an earlier turn. parent_turn is
+    conversation wrote themselves; its original is the first such message, if that is an earlier turn. A passage that
+    is none of these is looked up as consecutive paragraphs and as consecutive lines, without empty ones. Where that
+    fails too, each of its paragraphs and lines is looked up alone, and the latest of their originals is the
+    passage's. Parts of a line are no units, so a passage of these alone isn't linked. parent_turn is
     the latest original of a message's outermost linked quotes, else the turn before, else null. content is the text
     without quoted lines and without empty lines at its ends. position counts the messages of a conversation from 0 in
     reply order: a parent is always an earlier turn, so the order of turns, then role and text, has each reply after
@@ -50,16 +87,18 @@ def linked(messages: DataFrame) -> DataFrame:
     runs = F.aggregate(
         marked, F.array().cast("array<struct<level:int,body:string,at:int>>"),
         lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["level"] == x["level"]) & (F.element_at(a, -1)["at"] == x["at"] - 1), F.concat(
-            F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(x["level"].alias("level"), F.concat(F.element_at(a, -1)["body"], F.lit(" "), x["body"]).alias("body"), x["at"].alias("at")))))
+            F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(x["level"].alias("level"), F.concat(F.element_at(a, -1)["body"], F.lit("\n"), x["body"]).alias("body"), x["at"].alias("at")))))
         .otherwise(F.concat(a, F.array(F.struct(x["level"].alias("level"), x["body"].alias("body"), x["at"].alias("at"))))))
     passages = quoting.select("conv_id", "turn", F.xxhash64("role", "text").alias("row"), F.explode(runs).alias("q")).select(
-        "conv_id", "turn", "row", F.col("q.level").alias("level"), F.col("q.at").alias("at"), _norm(F.col("q.body")).alias("body")).where("body != ''").distinct()
-    passages = stored(passages.select("conv_id", "turn", "row", "level", "at", F.md5("body").alias("hash")), "passages")
+        "conv_id", "turn", "row", F.col("q.level").alias("level"), F.col("q.at").alias("at"), F.col("q.body").alias("body")).where(_norm(F.col("body")) != "").distinct()
+    passages = stored(passages.select("conv_id", "turn", "row", "level", "at", F.md5(_norm(F.col("body"))).alias("hash"), *_parts("body")), "passages")
     asked = small(passages.select("conv_id").distinct())
     own = _parsed(rows.join(asked, "conv_id", "left_semi")).select("conv_id", "turn", _own().alias("own"))
     units = F.array_distinct(F.transform(F.concat(F.array("own"), F.split("own", "\\n\\s*\\n"), F.split("own", "\n")), _norm))
     originals = own.select("conv_id", "turn", F.explode(units).alias("unit")).where("unit != ''").groupBy("conv_id", F.md5("unit").alias("hash")).agg(F.min("turn").alias("original"))
-    links = passages.join(originals, ["conv_id", "hash"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
+    links = stored(passages.join(originals, ["conv_id", "hash"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original"))), "links")
+    by_part = _by_parts(links.where("original IS NULL").drop("hash", "original"), own)
+    links = links.where("original IS NOT NULL").select("conv_id", "turn", "row", "level", "original").unionByName(by_part)
     of_row = links.groupBy("conv_id", "turn", "row").agg(
         F.count("*").alias("n_quotes"), F.count("original").alias("n_linked"),
         F.max(F.when(F.col("original").isNotNull(), F.struct(-F.col("level"), "original"))).alias("best"))

@@ -232,6 +232,16 @@ def test_quotations(spark):
     assert (got[2, 1].n_quotes, got[2, 1].n_linked, got[2, 1].parent_turn) == (1, 0, 0) and got[None, None].position == 0
 
 
+def test_quotations_of_more_than_one_unit(spark):
+    """Consecutive paragraphs or lines of a message are linked to the first message that has them, others by their parts."""
+    rows = [(1, 0, "u", "l1\nl2\nl3\nl4\n\np2\n\np3"), (1, 1, "u", "l3\n\nother"), (1, 2, "u", "l2\nl4"), (1, 3, "b", "plain"),
+            (1, 4, "b", "> L2\n>  l3\nadjacent lines"), (1, 5, "b", "> p2\n>\n> p3\nparagraphs"), (1, 6, "b", "> l4\n>\n> p2\nover the border"),
+            (1, 7, "b", "> l2\n> l4\nwhole of 2"), (1, 8, "b", "> l1\n> not there\nby a part"), (1, 9, "b", "> l\n> none\nof none"),
+            (1, 10, "b", "> l1 l2\n> l3 l4\n>\n> p2\nwrapped anew"), (2, 0, "u", "x"), (2, 1, "u", "> p2\n>\n> p3\nelsewhere")]
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.parent_turn) for r in quotations.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, t] for t in range(4, 11)] == [(1, 1, 0), (1, 1, 0), (1, 1, 0), (1, 1, 2), (1, 1, 0), (1, 0, 8), (1, 1, 0)] and got[2, 1] == (1, 0, 0)
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     import corpus_pipeline
 
