@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -39,16 +40,28 @@ OTHERS = [
     "The warranty covers two years of normal use.", "A fishing license is required on this lake.", "The source of the river lies in the hills of the north.",
 ]
 #: Without one of these no template can confirm a paragraph, so no other is scored.
-ANCHOR = re.compile(r"licen[cs]e|spdx|copyright|all rights reserved|redistribut|permission is hereby|public domain|creative commons|\bcc[- ]by", re.I)
+ANCHOR = re.compile(r"licen[cs]e|spdx|copyright|all\W+rights\W+reserved|redistribut|permission\W+is\W+hereby|public\W+domain|creative\W+commons|\bcc\W+by|\b[al]?gpl", re.I)
 DIMENSION, GRAMS = 1 << 15, 3
 #: Share of a template's pairs of words that a paragraph must hold, and of negatives that may pass the class of all else in calibration.
 LEAST_SHARED, MOST_FALSE = 0.7, 0.002
-_WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_paragraphs", pa.int64()), ("n_licenses", pa.int64()), ("families", pa.string()), ("spans", pa.string())])
+#: Words around an anchor that are scored where no template is confirmed.
+AROUND = (8, 24)
+#: Words on each side of a window that the model sees too, as the window may lack the word that tells families apart.
+BESIDE = 3
+_WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
+#: Versions and what goes with them; notices are compared without these.
+_VERSION = re.compile(r"v?[0-9]+(?:\.[0-9]+)*\Z|(?:v|version|only|or|later)\Z")
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_paragraphs", pa.int64()), ("n_licenses", pa.int64()), ("families", pa.string()), ("spans", pa.string()), ("n_unknown", pa.int64())])
+
+
+def words_at(text: str) -> list[tuple[str, int, int]]:
+    """(word in lower case, start, end), without versions."""
+    found = ((m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text))
+    return [x for x in found if not _VERSION.match(x[0])]
 
 
 def tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w for w, _, _ in words_at(text)]
 
 
 def features(words: list[str]) -> np.ndarray:
@@ -123,51 +136,97 @@ def model() -> Model:
 
 
 @lru_cache(1)
-def _pairs() -> dict[str, list[set[tuple[str, str]]]]:
-    return {f: [set(zip(w, w[1:])) for t in ts for w in [tokens(t)]] for f, ts in TEMPLATES.items()}
-
-
-def confirmed(family: str, words: list[str]) -> bool:
-    own = set(zip(words, words[1:]))
-    return any(len(own & t) >= LEAST_SHARED * len(t) for t in _pairs()[family])
+def _pairs() -> tuple[list[tuple[str, int, int]], dict[tuple[str, str], list[int]]]:
+    """Of each template its family, number of distinct pairs of words, and longest window; and the templates of a pair."""
+    found, of = [], {}
+    for family, texts in TEMPLATES.items():
+        for words in map(tokens, texts):
+            pairs = set(zip(words, words[1:]))
+            for x in pairs:
+                of.setdefault(x, []).append(len(found))
+            found.append((family, len(pairs), len(words) + len(words) // 2 + 3))
+    return found, of
+
+
+def candidates(words: list[str]) -> list[tuple[float, int, int, str]]:
+    """(share of a template's pairs, first word, end, family) of windows that confirm a template, of any place and line."""
+    templates, of = _pairs()
+    hits: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+    for i, x in enumerate(zip(words, words[1:])):
+        for k in of.get(x, ()):
+            hits.setdefault(k, []).append((i, x))
+    best: dict[tuple[int, int], tuple[float, int, int, str]] = {}
+    for k, at in hits.items():
+        family, n, longest = templates[k]
+        if len(at) < LEAST_SHARED * n:
+            continue
+        for i, (start, _) in enumerate(at):
+            seen, last = set(), start
+            for place, x in at[i : i + longest]:
+                if place + 2 - start > longest:
+                    break
+                if x not in seen:
+                    seen.add(x)
+                    last = place
+            found = (len(seen) / n, start, last + 2, family)
+            if found[0] >= LEAST_SHARED and found[:2] > best.get((k, last), (0.0, 0))[:2]:
+                best[k, last] = found
+    return list(best.values())
+
+
+def scanned(text: str) -> tuple[int, list[tuple[int, int, str]], int]:
+    """How many lines have an anchor, (start, end, family) of the notices, and how many of these lines look like a
+    notice to the model but are in none. A notice is a window of words, within a long line or over lines, that holds
+    enough of a template of the family that the model gives it; of those that overlap the one with the largest share
+    of its template, then the most probable, counts."""
+    if not ANCHOR.search(text):
+        return 0, [], 0
+    m, placed = model(), words_at(text)
+    words = [w for w, _, _ in placed]
+    ranked = []
+    for share, a, b, family in candidates(words):
+        p = m.probabilities(words[max(0, a - BESIDE) : b + BESIDE])
+        if m.families[int(p[:-1].argmax())] == family and p[:-1].max() >= max(m.least, p[-1]):
+            ranked.append((-share, -float(p.max()), a, b, family))
+    out: list[tuple[int, int, str]] = []
+    taken = bytearray(len(words))
+    for _, _, a, b, family in sorted(ranked):
+        if not any(taken[a:b]):
+            taken[a:b] = b"\1" * (b - a)
+            out.append((placed[a][1], placed[b - 1][2], family))
+    starts, ends = [s for _, s, _ in placed], [e for _, _, e in placed]
+    breaks = [i for i, c in enumerate(text) if c == "\n"]
+    lines: dict[int, bool] = {}
+    noticed = set()
+    for x in ANCHOR.finditer(text):
+        line, i = bisect_left(breaks, x.start()), min(bisect_right(ends, x.start()), len(words) - 1)
+        if any(taken[i : max(i + 1, bisect_left(starts, x.end()))]):
+            noticed.add(line)
+        elif not lines.get(line):
+            near = [m.probabilities(words[max(0, i - n // 2) : i + n // 2]) for n in AROUND]
+            lines[line] = any(p.argmax() < len(m.families) and p.max() >= m.least for p in near)
+        lines.setdefault(line, False)
+    return len(lines), sorted(out), sum(v and k not in noticed for k, v in lines.items())
 
 
 def scan(text: str) -> tuple[int, list[tuple[int, int, str]]]:
-    """How many paragraphs were scored, and (start, end, family) of those that are notices. A paragraph is a line; a
-    notice that goes over several lines is looked for in each three lines together too."""
-    if not ANCHOR.search(text):
-        return 0, []
-    m, scored, out = model(), 0, []
-    lines, at = [], 0
-    for line in text.split("\n"):
-        lines.append((at, at + len(line), line))
-        at += len(line) + 1
-    open_ = [i for i, x in enumerate(lines) if ANCHOR.search(x[2])]
-    for i in open_:
-        for a, b in ((i, i), (max(0, i - 1), min(len(lines) - 1, i + 1))):
-            words = tokens(" ".join(x[2] for x in lines[a : b + 1]))
-            scored += 1
-            p = m.probabilities(words)
-            best = int(p.argmax())
-            if best < len(m.families) and p[best] >= m.least and confirmed(m.families[best], words):
-                out.append((lines[a][0], lines[b][1], m.families[best]))
-                break
-    return scored, out
+    return scanned(text)[:2]
 
 
 def _scan(b: pa.RecordBatch) -> pa.RecordBatch:
-    found = [scan(x) for x in texts(b)]
+    found = [scanned(x) for x in texts(b)]
     return batches({
-        "doc_id": b.column("doc_id"), "n_paragraphs": [n for n, _ in found], "n_licenses": [len(x) for _, x in found],
-        "families": [",".join(sorted({f for _, _, f in x})) for _, x in found], "spans": [",".join(f"{f}:{s}:{e}" for s, e, f in x) for _, x in found]}, _SCHEMA)
+        "doc_id": b.column("doc_id"), "n_paragraphs": [n for n, _, _ in found], "n_licenses": [len(x) for _, x, _ in found],
+        "families": [",".join(sorted({f for _, _, f in x})) for _, x, _ in found], "spans": [",".join(f"{f}:{s}:{e}" for s, e, f in x) for _, x, _ in found],
+        "n_unknown": [n for _, _, n in found]}, _SCHEMA)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_paragraphs (scored), n_licenses, families (sorted, joined by commas), spans
-    (family:start:end in code points). A null or empty text has none. Repeated rows give repeated results; other
+    """docs(doc_id, text) -> doc_id, n_paragraphs (lines with an anchor), n_licenses, families (sorted, joined by
+    commas), spans (family:start:end in code points), n_unknown (lines that look like a notice and are in none). A null or empty text has none. Repeated rows give repeated results; other
     columns are not read."""
     tune(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each(_scan), "doc_id long, n_paragraphs long, n_licenses long, families string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each(_scan), "doc_id long, n_paragraphs long, n_licenses long, families string, spans string, n_unknown long")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,6 +198,24 @@ def test_licenses_of_each_family():
     assert not any(licenses.scan(t)[1] for t in licenses.OTHERS) and licenses.scan("") == (0, [])
 
 
+def test_licenses_in_long_lines_over_lines_and_of_other_versions():
+    rng = random.Random(3)
+    noise = lambda n: " ".join("".join(rng.choices("abdefgiklmnoprstu", k=rng.randint(3, 9))) for _ in range(n))
+    for family, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            long_line, wrapped = f"{noise(300)} {t} {noise(300)}", noise(9) + "\n# " + t.replace(" ", "\n# ") + "\n" + noise(9)
+            for text in (long_line, wrapped):
+                spans = licenses.scan(text)[1]
+                assert [x[2] for x in spans] == [family], (family, t, spans)
+            (s, e, _), at = licenses.scan(long_line)[1][0], long_line.index(t)
+            assert at <= s < e <= at + len(t)
+    for t, family in {"GPL-2.0-only": "gpl", "GPL-2.0": "gpl", "LGPL-3.0-only": "lgpl", "AGPL-3.0-or-later": "agpl", "BSD-2-Clause": "bsd", "MPL-1.1": "mpl"}.items():
+        assert [x[2] for x in licenses.scan(f"// SPDX-License-Identifier: {t}")[1]] == [family]
+    assert [x[2] for x in licenses.scan("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.")[1]] == ["cc-by-sa"]
+    assert [x[2] for x in licenses.scan("Licensed under the GNU Affero General Public License version 3.")[1]] == ["agpl"]
+    assert licenses.scanned("Released under some GNU GPL License terms")[1:] == ([], 1) and licenses.scanned(licenses.OTHERS[0])[1:] == ([], 0)
+
+
 def test_boilerplate_lines_go_and_one_stays(spark):
     own = lambda i: " ".join(f"u{i}v{j}" for j in range(12))
     rows = [(i, f"Same  LINE on each page\n{own(i)}", "h") for i in range(30)] + [(100 + i, f"same line on each page\n{i} b", "h") for i in range(3)] + [(200, own(1), None)]
