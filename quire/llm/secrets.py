@@ -5,7 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
+from collections.abc import Callable
 
 import public_tokenizers
 import pyarrow as pa
@@ -21,12 +22,18 @@ ASSIGN = re.compile(
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Strings that the token test looks at: as long as a key, with letters and digits.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
+#: Strings that the token test looks at: as long as a key, with a letter. Their parts are what lies between / = _ and -.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
+LEAST_LENGTH = 20
+PART = re.compile(r"[^/=_-]+")
 #: Digests by their length, UUIDs, and words joined by - _ / with at most a number each are known identifiers.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|sha(?:256|384|512)-[A-Za-z0-9+/]+=*)\Z")
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\Z")
 IDENTIFIER = re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+|[A-Za-z]+[0-9]{1,4})(?:[-_/=+]+(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+|[A-Za-z]+[0-9]{1,4}))+\Z")
+#: UUIDs within a longer string, parts that may be words, and how long a part without a word's form must be to count as readable.
+INNER_UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
+WORD = re.compile(r"(?:[A-Za-z]?[a-z]{3,}|[A-Z]{4,}|[0-9]{4,}|[A-Za-z]{3,}[0-9]{1,4})\Z")
+READABLE = 12
 #: Characters per token at and below which a string counts as random.
 MOST_CHARS = 2.0
 MARK = "[SECRET]"
@@ -52,17 +59,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _outside(start: int, end: int, merged: list[list[int]], ends: list[int]) -> list[tuple[int, int]]:
+    """What of start:end lies in none of the merged spans."""
+    out = []
+    for s, e in merged[bisect_right(ends, start) :]:
+        if s >= end:
+            break
+        if s > start:
+            out.append((start, s))
+        start = e
+    return out + [(start, end)] if start < end else out
+
+
+def random_parts(x: str, is_random: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """The random strings in x: x itself, or runs of its parts without readable ones, or single parts."""
+    if DIGEST.match(x) or UUID.match(x):
+        return []
+    if not IDENTIFIER.match(x) and is_random(x):
+        return [(0, len(x))]
+    known = [m.span() for m in INNER_UUID.finditer(x)]
+    runs: list[list[tuple[int, int]]] = [[]]
+    for s, e in _outside(0, len(x), [list(k) for k in known], [e for _, e in known]):
+        for m in PART.finditer(x, s, e):
+            word = m[0]
+            if DIGEST.match(word) or ((len(word) >= READABLE or WORD.match(word)) and not is_random(word)):
+                runs.append([])
+            else:
+                runs[-1].append(m.span())
+        runs.append([])
+    out = []
+    for run in runs:
+        whole = x[run[0][0] : run[-1][1]] if run else ""
+        if len(whole) < LEAST_LENGTH:
+            continue
+        if not IDENTIFIER.match(whole) and any(c.isalpha() for c in whole) and is_random(whole):
+            out.append((run[0][0], run[-1][1]))
+        else:
+            out += [(s, e) for s, e in run if e - s >= LEAST_LENGTH and not x[s:e].isdigit() and is_random(x[s:e])]
+    return out
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], name: str, most: float) -> list[tuple[int, int, int]]:
     out = []
     merged = unions(taken)
-    starts = [s for s, _ in merged]
+    ends = [e for _, e in merged]
+    is_random = lambda x: len(x) <= most * len(encoding(name).encode_ordinary(x))
     for m in CANDIDATE.finditer(text):
-        x = m[0]
-        i = bisect_left(starts, m.end())
-        if i and merged[i - 1][1] > m.start() or DIGEST.match(x) or UUID.match(x) or IDENTIFIER.match(x):
-            continue
-        if len(x) <= most * len(encoding(name).encode_ordinary(x)):
-            out.append((m.start(), 3, m.end()))
+        for s, e in _outside(m.start(), m.end(), merged, ends):
+            x = text[s:e]
+            if len(x) >= LEAST_LENGTH and any(c.isalpha() for c in x):
+                out += [(s + a, 3, s + b) for a, b in random_parts(x, is_random)]
     return out
 
 
@@ -108,9 +154,10 @@ def _scan(name: str, most: float):
 def secret_spans(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", most: float = MOST_CHARS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
-    Spans are in code points, end exclusive. A string of 20 or more letters, digits and +/_=- with a letter and a
-    digit is random if it has at most ``most`` characters per token; digests of usual lengths, UUIDs and joined words
-    are excluded, and so is what a pattern has found. Null counts as empty; such rows have no spans. Repeated rows
+    Spans are in code points, end exclusive. A string of 20 or more letters, digits and +/_=- with a letter is random
+    if it has at most ``most`` characters per token; digests of usual lengths, UUIDs and joined words are excluded, and
+    so is what a pattern has found, but not the rest of its string. Of a string that isn't random, runs of parts
+    between / = _ - without readable parts, and single parts, are judged alike. Null counts as empty; such rows have no spans. Repeated rows
     give repeated results. Other columns are not read.
     """
     tune(docs.sparkSession)

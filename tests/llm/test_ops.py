@@ -124,6 +124,20 @@ def test_secrets(spark):
     assert [tuple(r) for r in secrets.stage_secret_scan(spark, docs, "").orderBy("doc_id").collect()] == [(1, "use [SECRET] now", 16), (2, None, None)]
 
 
+def test_secrets_behind_readable_words():
+    r, letters = random.Random(7), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key, other = "".join(r.choices(letters + "0123456789", k=20)), "".join(r.choices(letters, k=24))
+    found = lambda t: [t[s:e] for s, k, e in secrets.find(t) if k == 3]
+    for front in ("com/documentation/reference/administration/", "projects/production/deployments/", "Authorization=Bearer_"):
+        assert found(f"see {front}{key} or") == [key] and found(f"{front}{other}/documentation") == [other]
+        [span] = found(f"{front}{key[:10]}/{key[10:]}+{other}")
+        assert span.endswith(f"{key[:10]}/{key[10:]}+{other}")
+    assert found(other) == [other] and [x[-20:] for x in found("ab" * 16 + "/documentation/" + key)] == [key]
+    plain = ["com/documentation/reference/550e8400-e29b-41d4-a716-446655440000", "news/2013/05/13/article-4573829-of-the-day", "getElementsByClassNameAndSomethingElse",
+             "INTERNATIONALIZATION_OF_ADMINISTRATION", "-" * 40, "x" * 5000, "objects/documentation/" + "AB12" * 10]
+    assert not any(map(found, plain))
+
+
 def test_byte_bpe_is_tiktokens(spark, odd):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
