@@ -538,9 +538,9 @@ def resume_position(s, d):
 
 @query("limiter")
 def limiter(s, d):
-    """Failures are the events of type 'error'; window and lock are days, as events are hours apart."""
-    a = C.events(s, d).select(F.col("book_id").alias("user_id"), "at", "seq", (F.col("event_type") == "error").alias("failed"))
-    return PR.limiter(a.where("failed"), limit=3, lock=2 * C.DAY, most=16 * C.DAY, window=5 * C.DAY)
+    """Failures are the events of type 'error', all others successes; window and lock are days, as events are hours apart."""
+    a = C.events(s, d).select(F.col("book_id").alias("user_id"), "at", "seq", F.col("event_type").eqNullSafe("error").alias("failed"))
+    return PR.limiter(a, limit=3, lock=2 * C.DAY, most=16 * C.DAY, window=5 * C.DAY)
 
 
 # ---- export

@@ -1,5 +1,7 @@
 """Each query of the text library against its SQL, and the literal cases of the cleaning and segmentation rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,32 @@ def test_limiter_locks_doubles_and_clears():
     assert [m.attempt(t, True)[0] for t in (1, 2, 3, 50)] == [False, False, True, True]
     assert m.attempt(103, True) == (False, 0) and m.attempt(104, True) == (False, 304)
     assert m.attempt(200, False)[0] and m.attempt(305, False) == (False, 0) and m.state() == (0, 0, 0, 0)
+
+
+def test_limiter_query_folds_all_events(spark, tmp_path):
+    """The reference's rules, one event after the other: a success clears a user's record, but not while it is locked."""
+    day, rng, rows = 86_400_000, random.Random(2), []
+    for i in range(600):
+        rows.append((i, i % 4, 1_700_000_000_000 + i * day // 8 + rng.randrange(day), rng.choices(["error", "view", None], [8, 1, 1])[0]))
+    spark.createDataFrame(rows, "event_id long, user_id long, ms long, event_type string").selectExpr(
+        "event_id", "user_id", "timestamp_millis(ms) AS ts", "1.0D AS value", "'{}' AS props", "event_type").write.parquet(str(tmp_path / "events.parquet"))
+    want, held = [], {}
+    for seq, user, now, kind in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        rec = held.get(user, {"fail": 0, "until": 0, "strikes": 0, "at": 0})
+        if rec["until"] > now:
+            want.append((user, seq, True, rec["until"]))
+            continue
+        if kind != "error":
+            held.pop(user, None)
+            want.append((user, seq, False, 0))
+            continue
+        if rec["until"] or now - rec["at"] > 5 * day:
+            rec.update(fail=0, until=0)
+        rec.update(fail=rec["fail"] + 1, at=now)
+        if rec["fail"] >= 3:
+            rec.update(strikes=rec["strikes"] + 1, fail=0)
+            rec["until"] = now + min(2 * day * 2 ** (rec["strikes"] - 1), 16 * day)
+        held[user] = rec
+        want.append((user, seq, False, rec["until"]))
+    assert any(w[2] for w in want) and len(want) == 600
+    assert sorted(map(tuple, catalogue.QUERIES["limiter"](spark, str(tmp_path)).collect())) == sorted(want)
