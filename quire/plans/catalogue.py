@@ -285,6 +285,15 @@ def readability(s, d):
     return C.table(s, d, "documents").select("doc_id", F.round(T.readability(x, _COMMON), 6).alias("score"))
 
 
+@query("readability_whole", f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '的一是㐀人\uf900他{chr(0xFFFD)}龥' ELSE '' END || text AS x FROM documents)
+ SELECT doc_id, CASE WHEN length(x) > 0 THEN round(length(regexp_replace(x, '[^\\x{{4E00}}-\\x{{9FFF}}]', '', 'g')) / length(x)::DOUBLE * 100 + 0.5 * length(regexp_replace(x, '[^{_COMMON}]', '', 'g')) - 60 * length(regexp_replace(x, '[^\\x{{FFFD}}]', '', 'g'))
+ - 10 * length(regexp_replace(x, '[^\\x{{3400}}-\\x{{4DBF}}\\x{{F900}}-\\x{{FAFF}}]', '', 'g')), 6) ELSE 0 END AS score FROM t""")
+def readability_whole(s, d):
+    """As readability, but every text is scored whole, behind the characters of each class where doc_id is even."""
+    x = F.concat(F.when(F.col("doc_id") % 2 == 0, "的一是㐀人\uf900他\ufffd龥").otherwise(""), "text")
+    return C.table(s, d, "documents").select("doc_id", F.round(T.readability(x, _COMMON), 6).alias("score"))
+
+
 @query("object_keys", """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'raw' ELSE 'meta' END AS prefix, 'b' || o_custkey AS book_id, CASE WHEN o_orderkey % 3 = 0 THEN 'v/' || o_orderkey ELSE '' END AS chapter_key, o_orderkey % 3 <> 2 AS deletable FROM orders""")
 def object_keys(s, d):
     o, k = C.table(s, d, "orders"), F.col("o_orderkey")

@@ -107,3 +107,12 @@ def test_limiter_query_folds_all_events(spark, tmp_path):
         want.append((user, seq, False, rec["until"]))
     assert any(w[2] for w in want) and len(want) == 600
     assert sorted(map(tuple, catalogue.QUERIES["limiter"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_readability_of_whole_texts(spark, tmp_path):
+    """A character beyond the first 20 counts, for an even doc_id too."""
+    rows = [(i, "a" * 100 + "\ufffd" * i) for i in (2, 3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = dict(map(tuple, catalogue.QUERIES["readability_whole"](spark, str(tmp_path)).collect()))
+    x = "的一是㐀人\uf900他\ufffd龥" + rows[0][1]
+    assert got == {2: round(6 / len(x) * 100 + 0.5 * 5 - 60 * 3 - 10 * 2, 6), 3: -180.0}
