@@ -122,6 +122,13 @@ def detect_encoding(s, d):
     return C.table(s, d, "conversations").select("conv_id", "turn", decoded(raw).alias("r")).select("conv_id", "turn", "r.encoding", "r.replaced", "r.text")
 
 
+@query("detect_encoding_texts", "SELECT conv_id, turn, 'gb18030' AS encoding, 0::BIGINT AS replaced, '的一是在不了有和人这中大为上个国我以要他' || coalesce(text, '') AS text FROM conversations")
+def detect_encoding_texts(s, d):
+    """The whole text of each turn, behind frequent characters, as GB 18030."""
+    raw = F.udf(lambda x: ("的一是在不了有和人这中大为上个国我以要他" + (x or "")).encode("gb18030"), "binary", useArrow=True)
+    return C.table(s, d, "conversations").select("conv_id", "turn", decoded(raw("text")).alias("r")).select("conv_id", "turn", "r.encoding", "r.replaced", "r.text")
+
+
 # ---- cleaning
 
 _ZW = r"[\x{feff}\x{200b}-\x{200d}\x{2060}\x{200e}\x{200f}]"
@@ -366,6 +373,12 @@ def trash_view(s, d):
     return SH.trash_view(_shelf(s, d).where("id <= 20").withColumn("deleted_at", F.col("created_at") + 1980 * C.DAY), _NOW)
 
 
+@query("trash_view_all", _b(f"SELECT id, title, created_at + {1980 * C.DAY} AS deleted_at, greatest(0, 15 - ({_NOW} - deleted_at) // {C.DAY})::BIGINT AS days_left, {_NOW} - deleted_at > {15 * C.DAY} AS expired FROM (SELECT * REPLACE (id % 40 * {C.DAY} AS created_at) FROM sh)"))
+def trash_view_all(s, d):
+    """As trash_view, with all books in the trash."""
+    return SH.trash_view(_shelf(s, d).withColumn("deleted_at", (F.col("id") % 40 + 1980) * C.DAY), _NOW)
+
+
 # ---- edits
 
 @query("batch_add_tags", _b("SELECT id, list_filter(tags || ['new', tags[1]], lambda t, i: list_position(tags || ['new', tags[1]], t) = i)[1:10] AS tags FROM sh"))

@@ -116,3 +116,17 @@ def test_readability_of_whole_texts(spark, tmp_path):
     got = dict(map(tuple, catalogue.QUERIES["readability_whole"](spark, str(tmp_path)).collect()))
     x = "的一是㐀人\uf900他\ufffd龥" + rows[0][1]
     assert got == {2: round(6 / len(x) * 100 + 0.5 * 5 - 60 * 3 - 10 * 2, 6), 3: -180.0}
+
+
+def test_all_books_are_in_the_trash(spark, sf):
+    books = spark.read.parquet(f"{sf}/part.parquet").count()
+    got = catalogue.QUERIES["trash_view_all"](spark, sf).collect()
+    assert len(got) == books > 20 and {r.expired for r in got} == {True, False} and max(r.id for r in got) > 20
+
+
+def test_whole_texts_are_decoded(spark, tmp_path):
+    """Texts longer than the sample too, with a character of two bytes across its border."""
+    rows = [(1, t, x) for t, x in enumerate(["plain", None, "他们来了" * 30_000, "x" + "春天来了" * 30_000 + "end"])]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn: (r.encoding, r.replaced, r.text) for r in catalogue.QUERIES["detect_encoding_texts"](spark, str(tmp_path)).collect()}
+    assert got == {t: ("gb18030", 0, "的一是在不了有和人这中大为上个国我以要他" + (x or "")) for _, t, x in rows}
