@@ -228,9 +228,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, 0.8) stays: the one with the least doc_id."""
+    """One document of each group of near-duplicates (five-word shingles, 0.8) stays: the one with the least doc_id. Rows with
+    a null doc_id all stay, as rows of their own that are compared with nothing; a doc_id should name one text."""
     keep = near_duplicates(docs, words=5).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(merged(keep), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    named = docs.join(merged(keep), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    return named.union(docs.where(F.col("doc_id").cast("long").isNull()))
 
 
 #: Exact links for a small corpus: all pairs that share a shingle.

@@ -15,6 +15,8 @@ from .common import batches, each, merged, small, stored, table, texts, tune
 MAX_DOCS = 20
 #: A document is depleted if its lines that aren't boilerplate hold less than this share of its words.
 LEAST_LEFT = 0.5
+#: What names a row in the pipeline: its doc_id, 0 for null, and a hash of what it holds.
+_KEY = ("__id", "__t")
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64())])
 _BASE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -33,21 +35,21 @@ def repeat_words(words: list[bytes]) -> int:
     return int((np.cumsum(covered) > 0).sum())
 
 
-def _counts(b: pa.RecordBatch) -> pa.RecordBatch:
-    rows = []
+def _counts(b: pa.RecordBatch, more: tuple[str, ...] = ()) -> pa.RecordBatch:
+    rows, schema = [], pa.schema([*_SCHEMA, *((k, pa.int64()) for k in more)])
     for text in texts(b):
         raw = text.encode()
         words = raw.split()
         lines = [x for x in raw.split(b"\n") if x.split(None, 1)]
         rows.append((len(words), len(text) - sum(map(raw.count, b" \t\n\x0b\x0c\r")), sum(map(raw.count, b"#*$%&|<>")), len(lines) - len(set(lines)), repeat_words(words)))
     columns = list(zip(*rows))
-    return batches({"doc_id": b.column("doc_id"), **dict(zip(_SCHEMA.names[1:], columns))}, _SCHEMA)
+    return batches({"doc_id": b.column("doc_id"), **dict(zip(_SCHEMA.names[1:], columns)), **{k: b.column(k) for k in more}}, schema)
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each row. Null counts as empty."""
+def base_counts(docs: DataFrame, *more: str) -> DataFrame:
+    """docs(doc_id, text) -> n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each row, and the longs named in more. Null counts as empty."""
     tune(docs.sparkSession)
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each(_counts), _BASE)
+    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(each(lambda b: _counts(b, more)), ", ".join([_BASE, *(f"{k} long" for k in more)]))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counts.select("*", failed.alias("base_failed"))
 
@@ -74,17 +76,18 @@ def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     return once.groupBy("host", "l1", "l2").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") > max_docs).select("host", "l1", "l2", "first")
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("source", F.lit("")).alias("host"))
+def _documents(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("source", F.lit("")).alias("host"), *more)
 
 
-def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, pos, words: the lines that go. The first document that has a
-    boilerplate line keeps it, so no text vanishes from the corpus altogether."""
-    docs = _documents(docs)
+def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, more: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text, source) -> doc_id, pos, words: the lines that go, with the columns named in more. The first
+    document that has a boilerplate line keeps it, so no text vanishes from the corpus altogether. A null doc_id is
+    first only where no other document has the line."""
+    docs = _documents(docs, *more)
     lines = small(stored(boilerplate(docs, max_docs), "boilerplate"))
-    found = _lines(docs).join(lines, ["host", "l1", "l2"])
-    return found.where("doc_id != first").select("doc_id", "pos", "words")
+    found = _lines(docs, *more).join(lines, ["host", "l1", "l2"])
+    return found.where("NOT doc_id <=> first").select("doc_id", *more, "pos", "words")
 
 
 def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
@@ -111,12 +114,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose their boilerplate lines."""
-    removed = stored(removed_lines(docs).select("doc_id", "pos", "words"), "removed")
-    verdict = quality_verdict(docs, removed)
-    gone = removed.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone"))
-    kept = verdict.where("kept").select("doc_id").join(gone, "doc_id", "left").select(F.col("doc_id").alias("__id"), "__gone")
-    joined = docs.join(merged(kept), F.col("doc_id").cast("long") == F.col("__id"))
+    """Rejected documents go; the others lose their boilerplate lines. Each row has its own verdict and removals: rows
+    that share a doc_id but differ in text or source are judged apart, and so are those with a null doc_id."""
+    doc_id = F.col("doc_id").cast("long")
+    content = F.xxhash64(doc_id.isNull(), F.col("text").isNull(), "text", F.col("source").isNull(), "source")
+    keyed = docs.withColumns({"__id": F.coalesce(doc_id, F.lit(0)), "__t": content})
+    removed = stored(removed_lines(keyed, more=_KEY).select(*_KEY, "pos", "words"), "removed")
+    verdict = quality_verdict(keyed, removed)
+    gone = removed.groupBy(*_KEY).agg(F.collect_set("pos").alias("__gone"))
+    kept = verdict.where("kept").select(*_KEY).join(gone, list(_KEY), "left")
+    joined = keyed.join(merged(kept), list(_KEY))
     lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     out = joined.withColumn("text", text)
@@ -125,12 +132,13 @@ def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.select(*docs.columns)
 
 
-def quality_verdict(docs: DataFrame, removed: DataFrame, least_left: float = LEAST_LEFT) -> DataFrame:
-    """doc_id, kept, for each distinct doc_id; of rows that share a doc_id the one with most words counts."""
-    counts = base_counts(docs).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.bool_and("base_failed").alias("base_failed"))
-    lost = removed.distinct().groupBy("doc_id").agg(F.sum("words").alias("lost"))
+def quality_verdict(keyed: DataFrame, removed: DataFrame, least_left: float = LEAST_LEFT) -> DataFrame:
+    """__id, __t, kept, for each distinct row of keyed; rows with the same key have the same text."""
+    rows = keyed.select(F.col("__id").alias("doc_id"), "text", "__t")
+    counts = base_counts(rows, "__t").withColumnRenamed("doc_id", "__id").groupBy(*_KEY).agg(F.max("n_words").alias("n_words"), F.bool_and("base_failed").alias("base_failed"))
+    lost = removed.distinct().groupBy(*_KEY).agg(F.sum("words").alias("lost"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
-    return stored(counts.join(lost, "doc_id", "left").select("doc_id", (~F.col("base_failed") & (left >= least_left * F.col("n_words"))).alias("kept")), "verdict")
+    return stored(counts.join(lost, list(_KEY), "left").select(*_KEY, (~F.col("base_failed") & (left >= least_left * F.col("n_words"))).alias("kept")), "verdict")
 
 
 ORACLE = rf"""

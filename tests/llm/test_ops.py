@@ -240,6 +240,19 @@ def test_boilerplate_lines_go_and_one_stays(spark):
     assert out[5] == own(5) and out[0] == rows[0][1] and 101 not in out
 
 
+def test_stages_keep_null_ids_and_judge_repeated_ids_apart(spark):
+    own = lambda i: " ".join(f"u{i}v{j}" for j in range(12))
+    rows = [(i, f"same line on each page\n{own(i)}", "h") for i in range(30)]
+    rows += [(7, f"{own(70)}\nsame line on each page", "h"), (7, "too short", "h"), (None, f"same line on each page\n{own(80)}", "h"), (None, own(81), None), (None, "short", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_rules.stage_quality_rules(spark, docs, "")
+    want = [(i, rows[0][1] if i == 0 else own(i)) for i in range(30)] + [(7, own(70)), (None, own(80)), (None, own(81))]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
+    docs = spark.createDataFrame([(1, own(1)), (2, own(1)), (None, own(2)), (None, own(3))], "doc_id long, text string")
+    got = near_dedup.stage_near_dedup(spark, docs, "").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, own(1)), (None, own(2)), (None, own(3))]))
+
+
 def test_base_counts_of_a_text(spark):
     text = "a [b] # <c>\r\n| x y\n\n| x y\n" + "one two three four five " * 2
     r = quality_rules.base_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
