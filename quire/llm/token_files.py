@@ -8,8 +8,6 @@ own writer commits the rows, so a lost task leaves nothing behind.
 from __future__ import annotations
 
 import os
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,16 +19,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import batches, scratch, table, tune
-from .memo import IdMemo, sums
+from .common import batches, release, scratch, slices, table, tune
+from .memo import sums
 from .rans import Coder, Corrupt, frequencies, pack_table, unpack_table
+from .shingles import LOWER, buffers, word_hashes, words
 
 END_ID = 2
 #: A block or segment ends with the document that brings it to this many ids.
 BLOCK_IDS, SEGMENT_IDS = 1 << 18, 1 << 21
-_SEGMENT = "part int, segment int, doc_ids binary, n_ids binary, freq binary, blocks array<binary>, block_docs array<int>"
-_SEGMENT_SCHEMA = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.binary()), ("n_ids", pa.binary()), ("freq", pa.binary()), ("blocks", pa.list_(pa.binary())), ("block_docs", pa.list_(pa.int32()))])
+#: Words that a worker remembers before it forgets all, and words of one call of the library.
+MEMO_WORDS, JOINED = 1 << 21, 1 << 14
+_SEGMENT = "part int, segment int, doc_ids binary, no_id binary, n_ids binary, freq binary, blocks array<binary>, block_docs array<int>"
+_SEGMENT_SCHEMA = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.binary()), ("no_id", pa.binary()), ("n_ids", pa.binary()), ("freq", pa.binary()), ("blocks", pa.list_(pa.binary())), ("block_docs", pa.list_(pa.int32()))])
 _OUT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+#: A special token's beginning, combining marks, invisible characters and white space but the plain space.
+_ODD = regex.compile(r"<\||[\p{C}\p{M}]|[^\P{Z} ]")
+#: Kinds of bytes: 1 for a letter or digit, 2 for other visible ASCII but the apostrophe, 0 for all others.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 2
+_KIND[[39, *range(48, 58), *range(65, 91), *range(97, 123)]] = [0] + [1] * 62
 _made: dict[str, WordIds] = {}
 
 
@@ -38,71 +45,170 @@ class WordIds:
     """The tokenizers library's ids of whole texts, made word by word.
 
     The file's normalizer composes characters, folds white space and lowers letters, and its pattern drops white
-    space, so ids of a text are those of its words between spaces. A new word goes through the library's normalizer,
-    is cut by the file's pattern, and each new piece through the library's model. Words with other white space or a special
-    token's string, and any file with other parts than these, go through the library whole.
+    space, so ids of a text are those of its words between spaces. The pattern also parts letters and digits from
+    other ASCII characters, save after an apostrophe, so words are cut there. Words are found and hashed on the Arrow buffer, and
+    a hash is looked up in a table of the words met so far. New words go through the library many at a time, joined by
+    spaces; its offsets tell whose ids are whose. Words with other white space, a special token's string, combining
+    marks or invisible characters go through it one by one, and any file with other parts than these gets whole texts.
+    Two of a worker's n words share a hash with a probability of about n * n / 2**65.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        # the file's own pattern and the usual names of bytes; the check below decides whether they hold
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in visible]
-        self.names = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.pieces, self.words = IdMemo(self._piece_ids), IdMemo(self._word_ids)
+        self.clear()
         self.by_word = self._fits()
 
+    def clear(self) -> None:
+        self.table, self.place = np.zeros(1 << 17, np.uint64), np.zeros(1 << 17, np.int32)
+        self.n, self.starts, self.ids = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 17, np.int32)
+
     def _fits(self) -> bool:
-        probe = "Don't STOP it's  naïve école 12ab3\n x\t¿qué? ÀÉ ﬁ Σ 漢字 <|endoftext|> we'll--go"
+        probe = "Don't STOP it's  naïve école, 12ab3\n x\t¿qué? ÀÉ. ﬁ Σ 漢字 <|endoftext|> we'll--go (a).b \"é\"'s ..'s a×b"
         try:
-            return self.words.ids_of([probe.split()])[0].tolist() == self._whole(probe)
+            return all(x.startswith("<|") for x in self.special) and self._by_words(pa.array([probe]))[0].tolist() == self._whole(probe)
         except Exception:  # a model of another kind
             return False
 
     def _whole(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
 
-    def _piece_ids(self, new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        token, names = self.lib.model.tokenize, self.names
-        got = [[t.id for t in token(p if p.isascii() else "".join(map(names.__getitem__, p.encode())))] for p in new]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        return new, np.fromiter((i for x in got for i in x), np.int32), lengths
-
-    def _word_ids(self, new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        plain = [w for w in new if w.isascii() and "<|" not in w and w.isprintable()]
-        rest = [w for w in new if not (w.isascii() and w.isprintable()) or "<|" in w]
-        odd = [w for w in rest if len(re.findall(r"\s", w)) or any(s in w for s in self.special) or any(unicodedata.category(c)[0] in "CM" for c in w)]
-        odd_set = set(odd)
-        accented = [w for w in rest if w not in odd_set]
-        normal = self.lib.normalizer.normalize_str(" ".join(accented)).split(" ") if accented else []
-        if len(normal) != len(accented):
-            normal = [self.lib.normalizer.normalize_str(w) for w in accented]
-        lists = [self.ascii.findall(w.lower()) for w in plain] + [self.pattern.findall(w) for w in normal]
-        ids, n = self.pieces.ids_of(lists)
-        whole = [self._whole(w) for w in odd]
-        flat = np.concatenate([ids, np.fromiter((i for x in whole for i in x), np.int32)])
-        return plain + accented + odd, flat, np.concatenate([n, np.fromiter(map(len, whole), np.int64, len(whole))]).astype(np.int64)
-
-    def ids_of(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows, each with the end id, and how many each row has."""
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these words, one after the other, and how many each has."""
+        odd = np.zeros(len(new), bool)
+        if _ODD.search(" ".join(new)):
+            odd[:] = [bool(_ODD.search(w)) for w in new]
+        n, parts = np.zeros(len(new), np.int64), {}
+        plain = np.flatnonzero(~odd)
+        for at in (plain[i : i + JOINED] for i in range(0, len(plain), JOINED)):
+            words_ = [new[i] for i in at.tolist()]
+            got = self.lib.encode(" ".join(words_), add_special_tokens=False)
+            begin = np.cumsum([0] + [len(w) + 1 for w in words_[:-1]])
+            of = np.searchsorted(begin, np.fromiter((a for a, _ in got.offsets), np.int64, len(got)), "right") - 1
+            n[at] = np.bincount(of, minlength=len(at))
+            parts[int(at[0])] = np.array(got.ids, np.int32)
+        whole = {i: self._whole(new[i]) for i in np.flatnonzero(odd).tolist()}
+        for i, x in whole.items():
+            n[i] = len(x)
+        out, begin = np.empty(int(n.sum()), np.int32), np.cumsum(n) - n
+        if len(plain):
+            out[_places(begin[plain], n[plain])] = np.concatenate(list(parts.values()))
+        for i, x in whole.items():
+            out[begin[i] : begin[i] + len(x)] = x
+        return out, n
+
+    def _grow(self, more: int) -> None:
+        size = len(self.table)
+        while size < 2 * (self.n + more):
+            size *= 2
+        if size != len(self.table):
+            used = np.flatnonzero(self.table)
+            keys, values = self.table[used], self.place[used]
+            self.table, self.place = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._put(keys, values)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(65 - len(self.table).bit_length())).astype(np.int64)
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Linear probes, one for all distinct new keys at a time."""
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.table[slot] == 0)
+            put = free[np.unique(slot[free], return_index=True)[1]]
+            self.table[slot[put]], self.place[slot[put]] = keys[put], values[put]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & (len(self.table) - 1)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for those that the table lacks."""
+        slot = self._slot(keys)
+        at = self.table[slot]
+        out = np.where(at == keys, self.place[slot], -1)
+        open_ = np.flatnonzero((at != keys) & (at != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.table) - 1)
+            at = self.table[slot[open_]]
+            hit = at == keys[open_]
+            out[open_[hit]] = self.place[slot[open_[hit]]]
+            open_ = open_[~hit & (at != 0)]
+        return out
+
+    def _by_words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, offsets = buffers(column)
+        marks = (raw[:-1] == 60) & (raw[1:] == 124)  # special tokens begin so, and only in lower case
+        data = raw if marks.any() else LOWER[raw]
+        starts, ends, first = words(data, offsets) if marks.any() else pieces(data, offsets)
+        keys = word_hashes(data, starts, ends)
+        keys[keys == 0] = 1
+        at = self._find(keys)
+        if (at < 0).any():
+            if self.n > MEMO_WORDS:
+                self.clear()
+                at[:] = -1
+            missing = np.flatnonzero(at < 0)
+            new, one = np.unique(keys[missing], return_index=True)
+            one = missing[one]
+            text = data.tobytes()
+            ids, n = self._encoded([text[i:j].decode() for i, j in zip(starts[one].tolist(), ends[one].tolist())])
+            held, end = int(self.starts[self.n]), self.n + len(new)
+            self._grow(len(new))
+            self._put(new, np.arange(self.n, end, dtype=np.int32))
+            if end + 1 > len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros(end + 1, np.int64)])
+            if held + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(held + len(ids), np.int32)])
+            self.ids[held : held + len(ids)] = ids
+            self.starts[self.n + 1 : end + 1] = held + np.cumsum(n)
+            self.n = end
+            at[missing] = self._find(keys[missing])
+        begin = self.starts[at]
+        n = self.starts[at + 1] - begin
+        return self.ids[_places(begin, n)], sums(n, np.diff(first))
+
+    def ids_of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, each with the end id, and how many each row has. A null counts as empty."""
         if self.by_word:
-            # any white space but the six ASCII characters stays within a word, for the slow way
-            ids, n = self.words.ids_of([[w.decode() for w in x.encode().split()] if not x.isascii() or re.search("[\x1c-\x1f]", x) else x.split() for x in rows])
+            ids, n = self._by_words(column)
         else:
-            got = [self._whole(x) for x in rows]
+            got = [self._whole(x or "") for x in column.to_pylist()]
             n = np.fromiter(map(len, got), np.int64, len(got))
             ids = np.fromiter((i for x in got for i in x), np.int32)
-        out = np.full(len(ids) + len(rows), END_ID, np.int32)
+        out = np.full(len(ids) + len(n), END_ID, np.int32)
         keep = np.ones(len(out), bool)
         keep[np.cumsum(n + 1) - 1] = False
         out[keep] = ids
         return out, n + 1
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As words(), but a word is cut where a letter or digit and another visible ASCII character meet."""
+    starts, ends, _ = words(data, offsets)
+    kind = _KIND[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))  # U+00C0 to U+023F are letters but for two signs, and one that is lowered to a letter and a mark
+    second = data[lead + 1]
+    letter = np.where(data[lead] == 0xC3, (second != 0x97) & (second != 0xB7), (data[lead] != 0xC4) | (second != 0xB0))
+    kind[(lead + 1)[letter]] = 1
+    before = kind[:-1] * kind[1:] == 2
+    # of a letter of two bytes the second has the kind, the first the one of its successor
+    kind[lead] = kind[lead + 1]
+    after = kind[:-1] * kind[1:] == 2
+    cut = np.flatnonzero(before | (after & (data[:-1] < 0x80))) + 1
+    inner = np.searchsorted(starts, cut, "right") - 1
+    cut = cut[(inner >= 0) & (cut < ends[inner]) & (cut > starts[inner])] if len(starts) else cut[:0]
+    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def _places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (n[0] of them), then the same for the next."""
+    out = np.repeat(begin - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
+
+
 def tokenizer(name: str) -> WordIds:
     path = public_tokenizers.path(name)
     if path not in _made:
@@ -110,7 +216,7 @@ def tokenizer(name: str) -> WordIds:
     return _made[path]
 
 
-def _segment(part: int, number: int, doc_ids: np.ndarray, n: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+def _segment(part: int, number: int, doc_ids: np.ndarray, no_id: np.ndarray, n: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     freq = frequencies(ids)
     coder = Coder(freq)
     ends = np.cumsum(n)
@@ -120,7 +226,7 @@ def _segment(part: int, number: int, doc_ids: np.ndarray, n: np.ndarray, ids: np
         blocks.append(coder.encode(ids[at : ends[j - 1]]))
         block_docs.append(j - i)
         i, at = j, ends[j - 1]
-    row = {"part": [part], "segment": [number], "doc_ids": [doc_ids.astype("<i8").tobytes()], "n_ids": [n.astype("<i8").tobytes()], "freq": [pack_table(freq)], "blocks": [blocks], "block_docs": [block_docs]}
+    row = {"part": [part], "segment": [number], "doc_ids": [doc_ids.astype("<i8").tobytes()], "no_id": [np.packbits(no_id).tobytes()], "n_ids": [n.astype("<i8").tobytes()], "freq": [pack_table(freq)], "blocks": [blocks], "block_docs": [block_docs]}
     return batches(row, _SEGMENT_SCHEMA)
 
 
@@ -129,35 +235,38 @@ def _write(name: str):
         coder, number, held, size, part = tokenizer(name), 0, [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            return _segment(part, number, np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]))
-
-        for b in it:
-            part = b.column("part")[0].as_py() if b.num_rows else part
-            doc_ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            text = b.column("text").to_pylist()
-            bytes_so_far = np.cumsum([len(x or "") for x in text]) // (4 * BLOCK_IDS)
-            for i, j in zip(*(lambda c: (c[:-1], c[1:]))([0, *(np.flatnonzero(np.diff(bytes_so_far)) + 1).tolist(), len(text)])):
-                if j == i:
-                    continue
-                ids, n = coder.ids_of([x or "" for x in text[i:j]])
-                held.append((doc_ids[i:j], n, ids.astype(np.uint32)))
-                size += len(ids)
-                if size >= SEGMENT_IDS:
-                    yield flush()
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield flush()
+            return _segment(part, number, *[np.concatenate(x) for x in zip(*held)])
+
+        try:
+            for b in it:
+                part = b.column("part")[0].as_py() if b.num_rows else part
+                no_id = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                doc_ids = b.column("doc_id").fill_null(0).to_numpy()
+                text = b.column("text")
+                for i, j in slices(np.diff(buffers(text)[1]).tolist()):
+                    ids, n = coder.ids_of(text.slice(i, j - i))
+                    held.append((doc_ids[i:j], no_id[i:j], n, ids.astype(np.uint32)))
+                    size += len(ids)
+                    if size >= SEGMENT_IDS:
+                        yield flush()
+                        number, held, size = number + 1, [], 0
+            if held:
+                yield flush()
+        finally:
+            release()
 
     return run
 
 
 def write_ids(docs: DataFrame, path: str, name: str = "word_bpe_49k.json") -> None:
-    """docs(doc_id, text): a null text counts as empty and has the end id only; a null doc_id comes first, as -2**63.
-    Documents are dealt into ranges of doc_id before they are tokenized, so the work is done once. Repeated doc_ids
-    stay together, in any order. A document longer than a block is a block of its own."""
+    """docs(doc_id, text): a null text counts as empty and has the end id only; null doc_ids come first and stay null.
+    Documents are dealt into ranges of doc_id before they are tokenized, so the work is done once. Documents with the
+    same doc_id follow each other in any order, and may be dealt to several tasks if there are very many. A document
+    longer than a block is a block of its own. Columns other than doc_id and text are not read."""
     tune(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
-    sorted_ = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ranges = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
+    sorted_ = ranges.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     sorted_.mapInArrow(_write(name), _SEGMENT).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -174,7 +283,8 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 crc += [zlib.crc32(ids[e - c : e].tobytes()) for e, c in zip(ends.tolist(), n[d : d + k].tolist())]
                 d += k
             before = np.cumsum(n) - n
-            yield batches({"part": np.full(len(n), r["part"]), "doc_id": doc_ids, "before": before, "n_tokens": n, "ids_crc32": crc}, _OUT)
+            no_id = np.unpackbits(np.frombuffer(r["no_id"], np.uint8), count=len(n)).astype(bool)
+            yield batches({"part": np.full(len(n), r["part"]), "doc_id": pa.array(doc_ids, mask=no_id), "before": before, "n_tokens": n, "ids_crc32": crc}, _OUT)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -181,19 +182,40 @@ def test_rans_round_trips_and_finds_damage():
 
 def test_token_files(spark, odd, empty, tmp_path):
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    token_files.write_ids(odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), str(tmp_path / "a"))
-    got, at = sorted(token_files.read_ids(spark, str(tmp_path / "a")).collect()), 0
-    for i, t in enumerate(ODD[:9]):
-        ids = np.array(lib.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+    token_files.write_ids(odd.dropDuplicates(["doc_id"]), str(tmp_path / "a"))
+    got, at = {r.doc_id: r for r in token_files.read_ids(spark, str(tmp_path / "a")).collect()}, 0
+    assert len(got) == len(ODD)
+    for i in [None, *range(9)]:  # a null doc_id comes first
+        ids = np.array(lib.encode(ODD[9 if i is None else i] or "", add_special_tokens=False).ids + [2], "<u4")
         assert tuple(got[i]) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    r = random.Random(8)
-    texts = ["".join(r.choice("aB é'\n\t 　sÉ́1.ß<|endoftext|>") for _ in range(r.randint(0, 40))) for _ in range(1500)] + [ODD[9]]
-    ids, n = token_files.tokenizer("word_bpe_49k.json").ids_of(texts)
-    ends = np.cumsum(n)
-    assert all(ids[e - k : e].tolist() == lib.encode(t, add_special_tokens=False).ids + [2] for t, e, k in zip(texts, ends, n))
     token_files.write_ids(empty, str(tmp_path / "b"))
     assert token_files.read_ids(spark, str(tmp_path / "b")).count() == 0
+    rows = [(5, f"some text {i}") for i in range(40)] + [(None, "x")] * 3 + [(-(2**63), "least")]
+    token_files.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "c"))
+    got = sorted((r.start, r.n_tokens, r.doc_id) for r in token_files.read_ids(spark, str(tmp_path / "c")).collect())
+    assert [d for _, _, d in got] == [None] * 3 + [-(2**63)] + [5] * 40 and all(s + n == t for (s, n, _), (t, _, _) in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("alphabet", ["aB é'\n\t 　sÉ́1.ß<|endoftext|>", "aé'.,sS(×Ł÷ -\"9\u0301", "Σς İI\u00a0ﬁ.x'T\x1c", "ab.'<| >ｅ漢😀"])
+def test_word_ids_are_the_librarys(alphabet):
+    lib, r = Tokenizer.from_file(P.path("word_bpe_49k.json")), random.Random(8)
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(1500)] + [ODD[9], None, "a <|endoftext|>b <|ENDOFTEXT|> c"]
+    coder = token_files.tokenizer("word_bpe_49k.json")
+    assert coder.by_word
+    for step in (7, 400):
+        for i in range(0, len(texts), step):
+            ids, n = coder.ids_of(pa.array(texts[i : i + step], pa.string()))
+            ends = np.cumsum(n)
+            assert all(ids[e - k : e].tolist() == lib.encode(t or "", add_special_tokens=False).ids + [2] for t, e, k in zip(texts[i : i + step], ends, n))
+
+
+def test_a_full_memory_of_words_starts_anew(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO_WORDS", 50)
+    lib, coder = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_files.WordIds(P.path("word_bpe_49k.json"))
+    for i in range(20):
+        text = " ".join(f"w{i}q{chr(97 + j)}" for j in range(26))
+        assert coder.ids_of(pa.array([text]))[0].tolist() == lib.encode(text, add_special_tokens=False).ids + [2] and coder.n <= 120
 
 
 def test_quality_classifier_on_held_out_rows(spark, odd, empty):
