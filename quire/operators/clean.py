@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, trim_ws
+from ..functions.text import WIDE, WS
 
 
 @dataclass(frozen=True)
@@ -30,17 +30,22 @@ MARKDOWN = [
     ("\\*([^*]+)\\*", "$1"), ("___([^_]+)___", "$1"), ("__([^_]+)__", "$1"), ("~~([^~]+)~~", "$1"),
 ]
 #: Characters that stay.
-KEPT = (
-    "\\n\\t\\u0020-\\u007E\\u00A5\\u00B0\\u00B7\\u00D7\\u00F7\\u2010-\\u2027\\u2030-\\u205E\\u3000-\\u303F\\u3400-\\u4DBF\\u4E00-\\u9FFF"
+KEPT_ASCII = "\\n\\t\\u0020-\\u007E"
+KEPT = KEPT_ASCII + (
+    "\\u00A5\\u00B0\\u00B7\\u00D7\\u00F7\\u2010-\\u2027\\u2030-\\u205E\\u3000-\\u303F\\u3400-\\u4DBF\\u4E00-\\u9FFF"
     "\\uF900-\\uFAFF\\uFE30-\\uFE4F\\uFF00-\\uFFEF\\u3040-\\u30FF\\u1100-\\u11FF\\u3130-\\u318F\\uA960-\\uA97F\\uAC00-\\uD7AF\\uD7B0-\\uD7FF\\u2160-\\u217F")
+#: White space but the line feed.
+GAP = WS.replace("\\t-\\r", "\\t\\x0B-\\r")
 #: Patterns of advertising lines.
-URL_ONLY = f"(?i)^(?:[{WS}]*[【\\[（(《<]?[^】\\]）)》<>{WS}]{{0,12}}[】\\]）)》>]?[{WS}]*)?(?:https?://|www\\.)[^{WS}]+\\z"
-URL_LEAD = f"(?i)^(?:https?://|www\\.)[^{WS}]+(?:[{WS}]+([^{WS}].*))?\\z"
-URL_TAIL_STOP = "[，。！？、；：\"'（）【】]"
-SITE_BRACKET = "^[【\\[（(][^】\\]）)]{0,30}(?:笔趣阁|顶点|追书|搜读|小说阅读网|首发|无弹窗|阅读网址|欢迎访问|手机|请收藏|加入书签|收藏本站|下载txt|推荐票|月票|本书)[^】\\]）)]{0,30}[】\\]）)]?\\z"
-SITE_BARE = "^(?:本书(?:来自|由)|首发于|首发在|收藏本站|请收藏本站|下载txt)"
-END_MARK = f"^={{3,}}[{WS}]*(?:完|全文完|全书完)"
-SENTENCE_END = "[。！？!?…：；;:\"'「『（(《—]\\z"
+URL_ONLY = f"(?i:(?:[{GAP}]*[【\\[（(《<]?[^】\\]）)》<>{WS}]{{0,12}}[】\\]）)》>]?[{GAP}]*)?(?:https?://|www\\.)[^{WS}]+)"
+URL_TAIL_STOP = "，。！？、；：\"'（）【】"
+URL_LEAD = f"(?i:(?:https?://|www\\.)[^{WS}]+(?:[{GAP}]+[^{WS}{URL_TAIL_STOP}][^\\n{URL_TAIL_STOP}]{{0,7}})?)"
+SITE_BRACKET = "[【\\[（(][^】\\]）)\\n]{0,30}(?:笔趣阁|顶点|追书|搜读|小说阅读网|首发|无弹窗|阅读网址|欢迎访问|手机|请收藏|加入书签|收藏本站|下载txt|推荐票|月票|本书)[^】\\]）)\\n]{0,30}[】\\]）)]?"
+SITE_BARE = "(?:本书(?:来自|由)|首发于|首发在|收藏本站|请收藏本站|下载txt)[^\\n]*"
+END_MARK = f"={{3,}}[{GAP}]*(?:完|全文完|全书完)[^\\n]*"
+#: A whole line, with the line feed before it, that is an advertisement: by its length and one of the patterns.
+AD = f"\\n(?:(?:{URL_ONLY}|{URL_LEAD})(?=\\n|\\z)(?<=\\n[^\\n]{{1,100}})|(?:{SITE_BRACKET}|{SITE_BARE})(?=\\n|\\z)(?<=\\n[^\\n]{{1,40}})|{END_MARK})(?=\\n|\\z)"
+SENTENCE_END = "。！？!?…：；;:\"'「『（(《—"
 
 
 def newlines(c: Column) -> Column:
@@ -48,7 +53,7 @@ def newlines(c: Column) -> Column:
 
 
 def zero_width(c: Column) -> Column:
-    return F.regexp_replace(c, "[\\uFEFF\\u200B\\u200C\\u200D\\u2060\\u200E\\u200F]", "")
+    return F.regexp_replace(c, "[^\\x00-\\x7F](?<=[\\uFEFF\\u200B\\u200C\\u200D\\u2060\\u200E\\u200F])", "")
 
 
 def ref_marks(c: Column) -> Column:
@@ -62,47 +67,52 @@ def markdown(c: Column) -> Column:
 
 
 def garbled(c: Column) -> Column:
-    return F.regexp_replace(c, f"[^{KEPT}]", "")
+    return F.regexp_replace(c, f"[^{KEPT_ASCII}](?<![{KEPT.removeprefix(KEPT_ASCII)}])", "")
 
 
 def lines(c: Column) -> Column:
-    """Lines with runs of blanks folded and both ends trimmed."""
-    return F.transform(F.split(c, "\n", -1), lambda x: trim_ws(F.regexp_replace(x, "[\\t \\u3000]+", " ")))
+    """Runs of blanks folded, and both ends of each line trimmed. A run of white space is looked at once, from its start."""
+    c = F.regexp_replace(c, "[\\t \\u3000]+", " ")
+    c = F.regexp_replace(c, f"(\\A|\\n)[{GAP}]++", "$1")
+    for first in ("[\\t\\x0B-\\r ]", f"[^\\x00-\\x9F](?<=[{WIDE}])"):
+        c = F.regexp_replace(c, f"{first}(?<![{GAP}]{{2}})[{GAP}]*+(?=\\n|\\z)", "")
+    return c
+
+
+def drop_ads(c: Column) -> Column:
+    """Without the lines that are advertisements; lines should be trimmed."""
+    return F.substr(F.regexp_replace(F.concat(F.lit("\n"), c), AD, ""), F.lit(2))
 
 
-def is_ad(x: Column) -> Column:
-    tail = trim_ws(F.regexp_extract(x, URL_LEAD, 1))
-    url = (F.length(x) <= 100) & (x.rlike(URL_ONLY) | (x.rlike(URL_LEAD) & (F.length(tail) <= 8) & ~tail.rlike(URL_TAIL_STOP)))
-    return (x != "") & (url | ((F.length(x) <= 40) & (x.rlike(SITE_BRACKET) | x.rlike(SITE_BARE))) | x.rlike(END_MARK))
+def join_soft(c: Column) -> Column:
+    """Lines of a paragraph become one, parted by a space between ASCII letters or digits. A line goes on in the next
+    if neither is empty and it doesn't end a sentence, which its last character tells. Empty lines go."""
+    c = F.regexp_replace(c, "(?<=[A-Za-z0-9])\\n(?=[A-Za-z0-9])", " ")
+    return drop_blank(F.regexp_replace(c, f"(?<=[^{SENTENCE_END}\\n])\\n(?=[^\\n])", ""))
 
 
-def join_soft(ls: Column) -> Column:
-    """Lines of a paragraph become one; an ordered fold, since a paragraph ends where its last line so far ends a sentence. The parts are kept apart until the end, so no text is copied again and again."""
-    empty = F.array().cast("array<string>")
-    zero = F.struct(empty.alias("out"), F.lit("").alias("end"))
+def drop_blank(c: Column) -> Column:
+    return F.btrim(F.regexp_replace(c, "\\n\\n+", "\n"), F.lit("\n"))
 
-    def step(a: Column, x: Column) -> Column:
-        glue = F.when(a["end"].rlike("[A-Za-z0-9]\\z") & x.rlike("^[A-Za-z0-9]"), F.lit(" ")).otherwise(F.lit(""))
-        sep = F.when((a["end"] == "") | a["end"].rlike(SENTENCE_END), F.lit("\n")).otherwise(glue)
-        return F.when(x == "", F.struct(a["out"].alias("out"), F.lit("").alias("end"))).otherwise(
-            F.struct(F.concat(a["out"], F.array(F.concat(sep, x))).alias("out"), F.right(x, F.lit(1)).alias("end")))
 
-    joined = F.array_join(F.aggregate(ls, zero, step)["out"], "")
-    return F.filter(F.split(joined, "\n", -1), lambda x: x != "")
+def squeeze_blank(c: Column) -> Column:
+    """Of several empty lines one stays."""
+    c = F.regexp_replace(F.regexp_replace(c, "\\n{3,}", "\n\n"), "\\A\\n\\n", "\n")
+    return F.regexp_replace(c, "\\n\\n\\z", "\n")
 
 
-def collapse_blank(ls: Column, on: bool) -> Column:
-    if on:
-        return F.filter(ls, lambda x: x != "")
-    return F.filter(F.transform(ls, lambda x, i: F.struct(x.alias("x"), ((x == "") & (i > 0) & (F.get(ls, i - 1) == "")).alias("drop"))), lambda s: ~s["drop"]).getField("x")
+def indent(c: Column) -> Column:
+    return F.regexp_replace(c, "(\\A|\\n)(?=[^\\n])", "$1\u3000\u3000")
 
 
 def unify_quotes(c: Column) -> Column:
-    return F.regexp_replace(c, "[「『]([^」』]*)[」』]", "“$1”")
+    """Within a line."""
+    return F.regexp_replace(c, "[「『]([^」』\\n]*)[」』]", "“$1”")
 
 
 def clean_text(c: Column, o: CleanOptions = CleanOptions()) -> Column:
-    """The whole of the rules; null gives ''. Works on one value, so it needs no exchange."""
+    """The whole of the rules; null gives ''. Every rule is a substitution over the whole text, so the expression needs
+    neither an exchange nor an array of lines, and its time is linear in the text."""
     c = zero_width(newlines(F.coalesce(c, F.lit(""))))
     if o.strip_ref_marks:
         c = ref_marks(c)
@@ -110,14 +120,20 @@ def clean_text(c: Column, o: CleanOptions = CleanOptions()) -> Column:
         c = markdown(c)
     if o.clean_garbled:
         c = garbled(c)
-    ls = lines(c)
+    c = lines(c)
     if o.strip_site:
-        ls = F.filter(ls, lambda x: ~is_ad(x))
+        c = drop_ads(c)
     if o.join_soft:
-        ls = join_soft(ls)
-    ls = collapse_blank(ls, o.collapse_blank)
+        c = join_soft(c)
+    c = drop_blank(c) if o.collapse_blank else squeeze_blank(c)
     if o.indent:
-        ls = F.transform(ls, lambda x: F.when(x != "", F.concat(F.lit("\u3000\u3000"), x)).otherwise(x))
+        c = indent(c)
     if o.unify_quotes:
-        ls = F.transform(ls, unify_quotes)
-    return F.regexp_replace(F.array_join(ls, "\n"), "^\\n+|\\n+\\z", "")
+        c = unify_quotes(c)
+    return F.btrim(c, F.lit("\n"))
+
+
+def recleaned(c: Column) -> Column:
+    """struct of text, cleaned with the defaults, and changed: whether that differs from what was there."""
+    bound = F.transform(F.array(clean_text(c)), lambda x: F.struct(x.alias("text"), (x != F.coalesce(c, F.lit(""))).alias("changed")))
+    return F.get(bound, F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 DAY = 86_400_000
 
 
@@ -70,7 +72,7 @@ FRONTS = [
 
 def raw_texts(spark: SparkSession, d: str) -> DataFrame:
     front = F.element_at(F.array(*map(F.lit, FRONTS)), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", F.concat(front, "text").alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.concat(front, "text").alias("text"))
 
 
 RAW = "raw AS (SELECT doc_id, [" + ", ".join("'" + f.replace("'", "''") + "'" for f in FRONTS) + "][doc_id % 4 + 1] || text AS text FROM documents)"

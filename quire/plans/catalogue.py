@@ -16,6 +16,7 @@ from ..operators import export as EX
 from ..operators import integrity as IN
 from ..operators import progress as PR
 from ..operators import shelf as SH
+from ..session import spread
 from ..sources.encoding import decoded
 from . import carriers as C
 
@@ -88,7 +89,7 @@ def split_none(s, d):
 
 @query("split_custom", "SELECT conv_id, count(*)::BIGINT AS chapters FROM conversations GROUP BY conv_id")
 def split_custom(s, d):
-    df = CH.split_chapters(C.chaptered(s, d), pattern="(?:^|\\n)(第[0-9]+章)[ ]*([^\\n]*)", clean=None)
+    df = CH.split_chapters(C.chaptered(s, d), pattern="custom", custom="^(第[0-9]+章)[ ]*([^\\n]*)", clean=None)
     return df.select("conv_id", F.size("chapters").cast("long").alias("chapters"))
 
 
@@ -151,11 +152,19 @@ _SQL["markdown"] = _markdown_sql
 _LINES = f"regexp_replace(regexp_replace(l, '[\\t \\x{{3000}}]+', ' ', 'g'), '^[{_WS}]+|[{_WS}]+$', '', 'g')"
 
 
+#: The advertisements of a line alone, as the SQL tests them.
+_URL_ONLY = f"(?i)^(?:[{_WS}]*[【\\[（(《<]?[^】\\]）)》<>{_WS}]{{0,12}}[】\\]）)》>]?[{_WS}]*)?(?:https?://|www\\.)[^{_WS}]+$"
+_URL_LEAD = f"(?i)^(?:https?://|www\\.)[^{_WS}]+(?:[{_WS}]+([^{_WS}].*))?$"
+_TAIL_STOP = "[，。！？、；：\"''（）【】]"
+_BRACKET = "^[【\\[（(][^】\\]）)]{0,30}(?:笔趣阁|顶点|追书|搜读|小说阅读网|首发|无弹窗|阅读网址|欢迎访问|手机|请收藏|加入书签|收藏本站|下载txt|推荐票|月票|本书)[^】\\]）)]{0,30}[】\\]）)]?$"
+_BARE = "^(?:本书(?:来自|由)|首发于|首发在|收藏本站|请收藏本站|下载txt)"
+_END = f"^={{3,}}[{_WS}]*(?:完|全文完|全书完)"
+
+
 def _ads_sql(l: str) -> str:
-    fix = lambda p: p.replace(CL.WS, _WS).replace("\\z", "$").replace("'", "''")
-    tail = f"regexp_extract({l}, '{fix(CL.URL_LEAD)}', 1)"
-    return (f"({l} <> '' AND ((length({l}) <= 100 AND (regexp_matches({l}, '{fix(CL.URL_ONLY)}') OR (regexp_matches({l}, '{fix(CL.URL_LEAD)}') AND length({tail}) <= 8 AND NOT regexp_matches({tail}, '{fix(CL.URL_TAIL_STOP)}'))))"
-            f" OR (length({l}) <= 40 AND (regexp_matches({l}, '{fix(CL.SITE_BRACKET)}') OR regexp_matches({l}, '{fix(CL.SITE_BARE)}'))) OR regexp_matches({l}, '{fix(CL.END_MARK)}')))")
+    tail = f"regexp_extract({l}, '{_URL_LEAD}', 1)"
+    return (f"({l} <> '' AND ((length({l}) <= 100 AND (regexp_matches({l}, '{_URL_ONLY}') OR (regexp_matches({l}, '{_URL_LEAD}') AND length({tail}) <= 8 AND NOT regexp_matches({tail}, '{_TAIL_STOP}'))))"
+            f" OR (length({l}) <= 40 AND (regexp_matches({l}, '{_BRACKET}') OR regexp_matches({l}, '{_BARE}'))) OR regexp_matches({l}, '{_END}')))")
 
 
 def _digest(c) -> list:
@@ -175,23 +184,22 @@ _JOINED = "list_transform(string_split({t}, chr(10)), lambda l: {lines})"
 
 @query("clean_lines", _sql_digest("array_to_string(" + _JOINED.format(t="text", lines=_LINES) + ", chr(10))"))
 def clean_lines(s, d):
-    return C.raw_texts(s, d).select(*_digest(F.array_join(CL.lines(F.col("text")), "\n")))
+    return C.raw_texts(s, d).select(*_digest(CL.lines(F.col("text"))))
 
 
 @query("clean_site", _sql_digest("array_to_string(list_filter(" + _JOINED.format(t="text", lines=_LINES) + f", lambda k: NOT {_ads_sql('k')}), chr(10))"))
 def clean_site(s, d):
-    return C.raw_texts(s, d).select(*_digest(F.array_join(F.filter(CL.lines(F.col("text")), lambda x: ~CL.is_ad(x)), "\n")))
+    return C.raw_texts(s, d).select(*_digest(CL.drop_ads(CL.lines(F.col("text")))))
 
 
 @query("clean_blank", _sql_digest("regexp_replace(array_to_string(" + _JOINED.format(t="text", lines=_LINES) + ", chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')"))
 def clean_blank(s, d):
-    return C.raw_texts(s, d).select(*_digest(F.array_join(CL.collapse_blank(CL.lines(F.col("text")), False), "\n")))
+    return C.raw_texts(s, d).select(*_digest(CL.squeeze_blank(CL.lines(F.col("text")))))
 
 
 @query("clean_indent", _sql_digest("array_to_string(list_transform(" + _JOINED.format(t="text", lines=_LINES) + ", lambda k: CASE WHEN k <> '' THEN '　　' || k ELSE k END), chr(10))"))
 def clean_indent(s, d):
-    ls = F.transform(CL.lines(F.col("text")), lambda x: F.when(x != "", F.concat(F.lit("　　"), x)).otherwise(x))
-    return C.raw_texts(s, d).select(*_digest(F.array_join(ls, "\n")))
+    return C.raw_texts(s, d).select(*_digest(CL.indent(CL.lines(F.col("text")))))
 
 
 _ALL = "text"
@@ -204,7 +212,14 @@ def clean_all(s, d):
     return C.raw_texts(s, d).select(*_digest(CL.clean_text(F.col("text"))))
 
 
-@query("clean_join_soft")
+#: Line feeds within a paragraph go; twice, as a match takes the character at each side.
+_SOFT = "array_to_string(list_filter(" + _JOINED.format(t=_ALL, lines=_LINES) + f", lambda k: NOT {_ads_sql('k')}), chr(10))"
+for _p, _to in (("([A-Za-z0-9])\\n([A-Za-z0-9])", "\\1 \\2"), ("([^。！？!?…：；;:\"''「『（(《—\\n])\\n([^\\n])", "\\1\\2")):
+    for _ in range(2):
+        _SOFT = f"regexp_replace({_SOFT}, '{_p}', '{_to}', 'g')"
+
+
+@query("clean_join_soft", _sql_digest(f"trim(regexp_replace({_SOFT}, '\\n\\n+', chr(10), 'g'), chr(10))"))
 def clean_join_soft(s, d):
     return C.raw_texts(s, d).select(*_digest(CL.clean_text(F.col("text"), CL.CleanOptions(join_soft=True))))
 
@@ -213,7 +228,7 @@ def clean_join_soft(s, d):
 
 @query("word_counts", f"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[{_WS}]+', '', 'g'))::BIGINT AS words FROM documents")
 def word_counts(s, d):
-    return C.table(s, d, "documents").select("doc_id", T.count_words(F.col("text")).alias("words"))
+    return spread(C.table(s, d, "documents")).select("doc_id", T.count_words(F.col("text")).alias("words"))
 
 
 @query("norm_title_dups", """WITH n AS (SELECT p_partkey AS id, replace(p_name || p_brand, ' ', '') AS k FROM part) SELECT id FROM n WHERE k IN (SELECT k FROM n GROUP BY k HAVING count(*) > 1)""")

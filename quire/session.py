@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -13,3 +13,10 @@ def ship(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, in at least as many partitions as the session has cores. Where one file of few row groups would
+    be work for few tasks, its rows are dealt out; a table of more splits than cores is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -15,24 +16,26 @@ from ..session import ship
 #: Bytes that the candidates are scored on.
 SAMPLE = 96 * 1024
 CANDIDATES = ("utf-8", "gb18030", "big5")
+#: A candidate of a score not above this isn't offered.
+LEAST_SCORE = -100.0
 _RARE = re.compile("[\u3400-\u4dbf\uf900-\ufaff]")
 _HAN = re.compile("[\u4e00-\u9fff]")
 RESULT = "encoding string, text string, replaced long"
 
 
 def score(text: str, common: frozenset[str]) -> float:
-    if not text:
+    if not text or text.isascii():
         return 0.0
     han = _HAN.findall(text)
-    return len(han) / len(text) * 100 + 0.5 * sum(c in common for c in han) - 60 * text.count("\ufffd") - 10 * len(_RARE.findall(text))
+    return len(han) / len(text) * 100 + 0.5 * sum(map(common.__contains__, han)) - 60 * text.count("\ufffd") - 10 * len(_RARE.findall(text))
 
 
 def _utf16(raw: bytes, sample: bytes, common: frozenset[str]) -> tuple[str, str, int] | None:
     """UTF-16 without a mark: bytes that ASCII text doesn't have, few pairs of ASCII, nothing to replace and readable."""
-    if not any(b == 0 or b >= 0x80 for b in sample):
+    if sample.isascii() and 0 not in sample:
         return None
-    pairs = [(sample[i], sample[i + 1]) for i in range(0, len(sample) - 1, 2)]
-    if len(pairs) >= 8 and sum(32 <= a < 127 and 32 <= b < 127 for a, b in pairs) > 0.6 * len(pairs):
+    pairs = np.frombuffer(sample, np.uint8)[: len(sample) // 2 * 2].reshape(-1, 2)
+    if len(pairs) >= 8 and int(((pairs >= 32) & (pairs < 127)).all(axis=1).sum()) > 0.6 * len(pairs):
         return None
     for name in ("utf-16-le", "utf-16-be"):
         part = sample[: len(sample) // 2 * 2].decode(name, "replace")
@@ -41,6 +44,13 @@ def _utf16(raw: bytes, sample: bytes, common: frozenset[str]) -> tuple[str, str,
     return None
 
 
+def candidates(raw: bytes | None, common: frozenset[str] = frozenset(common_han())) -> list[tuple[str, float]]:
+    """The encodings that may be offered for a text, with their scores on its sample, best first."""
+    sample = (raw or b"")[:SAMPLE]
+    found = [(n, score(sample.decode(n, "replace"), common)) for n in CANDIDATES]
+    return sorted((x for x in found if x[1] > LEAST_SCORE), key=lambda x: -x[1])  # stable
+
+
 def detect(raw: bytes | None, common: frozenset[str] = frozenset(common_han())) -> tuple[str, str, int]:
     raw = raw or b""
     if raw[:3] == b"\xef\xbb\xbf":
@@ -54,6 +64,9 @@ def detect(raw: bytes | None, common: frozenset[str] = frozenset(common_han()))
     sample = raw[:SAMPLE]
     if found := _utf16(raw, sample, common):
         return found
+    if sample.isascii():  # no candidate scores more than another
+        text = raw.decode("utf-8", "replace")
+        return "utf-8", text, text.count("\ufffd")
     best = max(CANDIDATES, key=lambda n: score(sample.decode(n, "replace"), common))  # the first of equals
     text = raw.decode(best, "replace")
     return best, text, text.count("\ufffd")
@@ -69,3 +82,15 @@ def decoded(raw: Column) -> Column:
     if spark := SparkSession.getActiveSession():
         ship(spark)
     return F.pandas_udf(_decode, RESULT)(raw)
+
+
+def _candidates(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for values in column:
+        yield pd.Series([[{"encoding": n, "score": x} for n, x in candidates(v)] for v in values])
+
+
+def candidate_pool(raw: Column) -> Column:
+    """array of (encoding, score): what may be offered for bytes whose encoding isn't known, best first."""
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
+    return F.pandas_udf(_candidates, "array<struct<encoding:string,score:double>>")(raw)

@@ -1,6 +1,8 @@
 """Each query of the text library against its SQL, and the literal cases of the cleaning and segmentation rules."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,10 +57,64 @@ def test_segmentation(spark):
     assert split(spark, "Chapter 1 One\na\nCHAPTER II Two\nb")[0] == "en"
     assert split(spark, "没有章节的文本", fallback=F.lit("书名")) == (None, [("书名", "没有章节的文本")])
     assert split(spark, "") == (None, []) == split(spark, None)
-    assert split(spark, "第一章 甲\n第二章 乙\n") [0] is None
+    assert split(spark, "第一章 甲\n第二章 乙\n") == (None, [("正文", "第一章 甲\n第二章 乙")])
     assert split(spark, "a\nb", pattern="none")[0] == "none"
 
 
+def test_custom_and_unknown_rules(spark):
+    """A blank or invalid expression leaves the text whole; an unknown name takes the first rule."""
+    text = "第一章 甲\n正文一。\n第二章 乙\n正文二。"
+    for bad in ("", " ", "(第", "(第[章"):
+        assert split(spark, text, pattern="custom", custom=bad) == (None, [("第一章 甲", text)])
+    assert split(spark, text, pattern="custom", custom="^第(.)章") == ("custom", [("一", "甲\n正文一。"), ("二", "乙\n正文二。")])
+    assert split(spark, text, pattern="custom", custom="^正文.")[1] == [("引子", "第一章 甲"), ("", "。\n第二章 乙"), ("", "。")]
+    assert split(spark, text, pattern="custom", custom="xyz") == (None, [("正文", text)]) == split(spark, text, pattern="nope")
+    assert split(spark, "第一回 甲\na\n第二回 乙\nb", pattern="nope") == ("nope", [("第一回 甲", "a"), ("第二回 乙", "b")])
+
+
+def reference_lines(text, site=True, soft=False, collapse=True, indent=False):
+    """The rules for lines, one line after the other."""
+    ws = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    ls = [re.sub("[\t \u3000]+", " ", x).strip(ws) for x in text.split("\n")]
+    if site:
+        url = lambda x: len(x) <= 100 and (re.match(r"(?i)(?:\s*[【\[（(《<]?[^】\]）)》<>\s]{0,12}[】\]）)》>]?\s*)?(?:https?://|www\.)\S+\Z", x) or (
+            (m := re.match(r"(?i)(?:https?://|www\.)\S+(?:\s+(\S.*))?\Z", x)) and len((m[1] or "").strip()) <= 8 and not re.search("[，。！？、；：\"'（）【】]", m[1] or "")))
+        named = lambda x: len(x) <= 40 and (re.match(r"[【\[（(][^】\]）)]{0,30}(?:笔趣阁|手机|本书)[^】\]）)]{0,30}[】\]）)]?\Z", x) or re.match("本书(?:来自|由)|首发于", x))
+        ls = [x for x in ls if not x or not (url(x) or named(x) or re.match(r"={3,}\s*(?:完|全文完)", x))]
+    if soft:
+        out, buf = [], ""
+        for x in [*ls, ""]:
+            if not x or not buf or buf[-1] in "。！？!?…：；;:\"'「『（(《—":
+                out, buf = (out + [buf] if buf else out), x
+            else:
+                buf += (" " if re.search("[A-Za-z0-9]\\Z", buf) and re.match("[A-Za-z0-9]", x) else "") + x
+        ls = out
+    ls = [x for i, x in enumerate(ls) if x or not (collapse or (i and not ls[i - 1]))]
+    return "\n".join("\u3000\u3000" + x if indent and x else x for x in ls).strip("\n")
+
+
+@pytest.mark.parametrize("options", [{}, {"join_soft": True}, {"collapse_blank": False}, {"indent": True, "strip_site": False}, {"join_soft": True, "collapse_blank": False}])
+def test_rules_for_lines(spark, options):
+    r = random.Random(11)
+    parts = ["a", "b1", " ", "\t", "\u3000", "\n", "\n\n", "\u00a0", "。", "https://x.y", "www.z", "【", "】", "笔趣阁", "本书来自", "=== 完", "汉字", ", ", "\u2003 ", "第", "x" * 30]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 30))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(map(tuple, df.select("i", clean_text(F.col("t"), CleanOptions(strip_ref_marks=False, strip_markdown=False, clean_garbled=False, **options))).collect()))
+    for i, t in enumerate(texts):
+        assert got[i] == reference_lines(t, options.get("strip_site", True), options.get("join_soft", False), options.get("collapse_blank", True), options.get("indent", False)), repr(t)
+
+
+def test_long_texts_take_linear_time(spark):
+    text = "一行文字，不长不短。\n\n" * 100_000 + "\u00a0" * 200_000 + "x"
+    for options in ({}, {"join_soft": True}, {"collapse_blank": False, "clean_garbled": False}):
+        began = time.time()
+        assert cleaned(spark, text, **options).count("一行") == 100_000
+        assert time.time() - began < 10
+    began = time.time()
+    rule, found = split(spark, "".join(f"第{i}章 甲\n正文{i}。\n" for i in range(20_000)))
+    assert rule == "cn" and len(found) == 20_000 and time.time() - began < 20
+
+
 def test_fit_cuts_between_characters(spark):
     text = "汉字a😀" * 50
     rows = spark.createDataFrame([(1, 0, "t", text)], "id long, pos int, title string, content string")
