@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, spread
 
 #: Rows of an Arrow batch; documents may be long, so batches stay small.
 BATCH_ROWS = 1024
@@ -58,9 +58,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if a count shows at most ``rows`` rows; else df as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, cells: str = "1") -> DataFrame:
+    """df marked for broadcast if it holds at most ``rows`` cells (by default one for each row; else an expression, such
+    as the size of an array); else df as it is, for a shuffled join. At most ``rows`` rows are looked at."""
+    found = df.limit(rows + 1).selectExpr(f"coalesce(sum({cells}), 0) AS n").first()["n"]
+    return F.broadcast(df) if found <= rows else df
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -54,9 +54,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each row the index of its first word (and one more at the end)."""
-    inside = ~WS[data]
+def words(data: np.ndarray, offsets: np.ndarray, of: np.ndarray = ~WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, which are runs of the bytes that ``of`` marks, and for each row the index of its first word (and one more at the end)."""
+    inside = of[data]
     before = np.empty_like(inside)
     after = np.empty_like(inside)
     before[1:], after[:-1] = inside[:-1], inside[1:]
