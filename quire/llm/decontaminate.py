@@ -5,7 +5,9 @@ A window of a document has as many words as the item (all of a shorter document)
 that of their multisets of word shingles: sum of least counts over sum of largest counts. Windows that could reach
 the threshold share most shingles with the item, so windows are laid only where enough of the item's shingles lie
 close enough together; that loses none (see _starts). What remains goes by fingerprint: RADIUS + 1 blocks of bits, so
-that two fingerprints within RADIUS agree in one block at least.
+that two fingerprints within RADIUS agree in one block at least. A window is held against the items it was laid for,
+never against all items. Texts are named by 128 bits of their hash, so what many rows share is looked at once, and a
+row without a doc_id is like any other.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import small, stored, table
 
 WORDS, PERCENT = 5, 80
+#: The columns that name a text.
+_TEXT = ("t", "u")
 #: A window of similarity 0.8 or more differs from the item in 10 of 64 bits on average and with a deviation of 3; more than 24 in one of ten million.
 RADIUS = 24
 _WS = " \t\n\x0b\f\r"
@@ -81,44 +85,53 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, perc
 
     Words are lower-cased and split at white space. Items of fewer words than a shingle are one shingle, which a
     document must hold exactly. Items or documents that are null, empty or wordless match nothing. Repeated rows, and
-    several texts with one id, give one row for each pair of ids. Other columns are not read. The items' shingles are
-    broadcast only if they are few; otherwise all joins are shuffled.
+    several texts with one id, give one row for each pair of ids; a null doc_id is an id like others. Other columns are
+    not read. The items' shingles are broadcast only if they are few; otherwise all joins are shuffled.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    docs = docs.withColumn("t", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_named("text"))
+    return rows.join(small(contaminated_texts(docs, benchmark, words, percent)), list(_TEXT)).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
+def _named(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("t"), F.xxhash64(F.lit("second"), text).alias("u")]
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs(text), benchmark(item_id, text) -> t, u (the text's name), item_id, similarity, as contaminated()."""
+    docs = docs.select("text", *_named("text")).where("text IS NOT NULL")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").distinct()
     found = []
     sized = stored(_shingled(items, 1).select("item_id", "text", F.col("n").alias("m")).where("m > 0"), "items")
     for length in sorted(r[0] for r in sized.select(F.least("m", F.lit(words)).alias("l")).distinct().collect()):
         found.append(_with_items(docs, sized.where((F.col("m") == length) if length < words else (F.col("m") >= words)), length, percent))
     if not found:
-        return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity")).where(F.lit(False))
+        return docs.select(*_TEXT, F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity")).where(F.lit(False))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
-    return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    return stored(out.groupBy(*_TEXT, "item_id").agg(F.max("similarity").alias("similarity")), "contaminated")
 
 
 def _with_items(docs: DataFrame, items: DataFrame, length: int, percent: int) -> DataFrame:
     items = stored(_shingled(items, length).select("item_id", "m", F.size("sh").alias("k"), F.col("sh").alias("sh"), F.xxhash64("text").alias("v")), "item-shingles")
     of_item = items.select("item_id", "v", "m", "k", F.explode(F.array_distinct("sh")).alias("h"))
     of_item = small(of_item)
-    places = _shingled(docs, length).select("doc_id", "t", "n", F.posexplode("sh").alias("pos", "h"))
-    hits = places.join(of_item, "h").groupBy("doc_id", "t", "n", "item_id", "v", "m", "k").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
+    places = _shingled(docs, length).select(*_TEXT, "n", F.posexplode("sh").alias("pos", "h"))
+    hits = places.join(of_item, "h").groupBy(*_TEXT, "n", "item_id", "v", "m", "k").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
     need, starts = _starts(percent)
     hits = hits.withColumn("kd", F.least("k", F.col("n") - (length - 1))).withColumn("need", need).where("size(hits) >= need")
-    windows = stored(hits.select("doc_id", "t", "m", "kd", F.explode(starts).alias("s")).distinct(), "windows")
-    again = _shingled(docs.join(small(windows.select("doc_id", "t").distinct()), ["doc_id", "t"], "left_semi").distinct(), length)
-    windows = stored(
-        again.select("doc_id", "t", "sh").join(windows, ["doc_id", "t"]).select("doc_id", "t", "m", "s", F.expr("slice(sh, s + 1, kd)").alias("sh")), "windows")
-    fingerprints = _fingerprint(windows, "doc_id", "t", "m", "s")
-    near = fingerprints.select("*", _blocks().alias("b")).select("doc_id", "t", "m", "s", "fp", "b.*").join(
-        small(_fingerprint(items, "item_id", "v", "m").select("*", _blocks().alias("b")).select("item_id", "v", "m", F.col("fp").alias("item_fp"), "b.*")), ["m", "block", "value"])
-    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "t", "m", "s", "item_id", "v").distinct()
-    both = near.join(windows, ["doc_id", "t", "m", "s"]).join(small(items.select("item_id", "v", F.col("sh").alias("item_sh"))), ["item_id", "v"])
-    shared = both.select("doc_id", "item_id", _common().alias("c"), (F.size("sh") + F.size("item_sh")).alias("all"))
+    laid = stored(hits.select(*_TEXT, "item_id", "v", "m", "kd", F.explode(starts).alias("s")), "laid")
+    again = _shingled(docs.join(small(laid.select(*_TEXT).distinct()), list(_TEXT), "left_semi").dropDuplicates(list(_TEXT)), length)
+    windows = laid.select(*_TEXT, "m", "kd", "s").distinct()
+    windows = stored(again.select(*_TEXT, "sh").join(windows, list(_TEXT)).select(*_TEXT, "m", "s", F.expr("slice(sh, s + 1, kd)").alias("sh")), "windows")
+    asked = laid.select(*_TEXT, "m", "s", "item_id", "v").join(_fingerprint(windows, *_TEXT, "m", "s"), [*_TEXT, "m", "s"])
+    of_items = _fingerprint(items, "item_id", "v").select("item_id", "v", F.col("fp").alias("item_fp"), _blocks().alias("b")).select("item_id", "v", "item_fp", "b.*")
+    near = asked.select("*", _blocks().alias("b")).select(*_TEXT, "m", "s", "item_id", "v", "fp", "b.*").join(small(of_items), ["item_id", "v", "block", "value"])
+    near = stored(near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*_TEXT, "m", "s", "item_id", "v").distinct(), "near")
+    both = near.join(windows, [*_TEXT, "m", "s"]).join(small(items.select("item_id", "v", F.col("sh").alias("item_sh")), cells="size(item_sh)"), ["item_id", "v"])
+    shared = both.select(*_TEXT, "item_id", _common().alias("c"), (F.size("sh") + F.size("item_sh")).alias("all"))
     return shared.where(100 * F.col("c") >= percent * (F.col("all") - F.col("c"))).select(
-        "doc_id", "item_id", (F.col("c") / (F.col("all") - F.col("c"))).alias("similarity"))
+        *_TEXT, "item_id", (F.col("c") / (F.col("all") - F.col("c"))).alias("similarity"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +139,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(small(stored(bad, "contaminated")), F.col("doc_id").cast("long") == F.col("__bad"), "left_anti")
+    """Rows whose text holds a benchmark item go, whatever their doc_id."""
+    bad = contaminated_texts(docs, table(spark, sf_dir, "benchmark")).select(*[F.col(c).alias(f"__{c}") for c in _TEXT]).distinct()
+    t, u = _named("text")
+    return docs.join(small(bad), (t == F.col("__t")) & (u == F.col("__u")), "left_anti")
 
 
 ORACLE = rf"""
