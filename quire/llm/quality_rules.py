@@ -6,10 +6,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, each, merged, small, stored, table, texts, tune
+from . import common
+from .common import batches, each, merged, release, slices, spread, stored, table, texts, tune
 
 #: A line in more than so many distinct documents of one host is boilerplate there.
 MAX_DOCS = 20
@@ -19,6 +21,7 @@ LEAST_LEFT = 0.5
 _KEY = ("__id", "__t")
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64())])
+_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 _BASE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -50,19 +53,45 @@ def base_counts(docs: DataFrame, *more: str) -> DataFrame:
     """docs(doc_id, text) -> n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each row, and the longs named in more. Null counts as empty."""
     tune(docs.sparkSession)
     counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(each(lambda b: _counts(b, more)), ", ".join([_BASE, *(f"{k} long" for k in more)]))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return counts.select("*", failed.alias("base_failed"))
+    return counts.select("*", F.expr(_FAILED).alias("base_failed"))
+
+
+def hashed_lines(text: str) -> list[tuple[int, bytes, int]]:
+    """(place, hash, number of words) of each line with a word. Normalised: lower case, white space at the ends gone and single spaces within."""
+    found = ((i, line.split()) for i, line in enumerate(text.lower().encode().split(b"\n")))
+    return [(i, xxhash.xxh3_128_digest(b" ".join(w)), len(w)) for i, w in found if w]
+
+
+def _numbers(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
 
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
-    """A row for each line with a word: host, its 128-bit hash (two longs) and its number of words. Normalised: lower case, white space at the ends gone and single spaces within."""
-    line = F.trim(F.regexp_replace(F.lower("line"), _SPACE, " "))
-    kept = docs.select("doc_id", "host", *more, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    kept = kept.select("doc_id", "host", *more, "pos", line.alias("line")).where("line != ''")
-    return kept.select(
-        "doc_id", "host", *more, "pos",
-        F.xxhash64("line").alias("l1"), F.xxhash64(F.lit("second"), "line").alias("l2"),
-        (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("words"))
+    """docs(text, host, longs named in more) -> a row for each line with a word: host, more, pos, l1 and l2 (its hash),
+    words, t1 and t2 (hash of the text)."""
+    columns = [("host", pa.string()), *((k, pa.int64()) for k in more), ("pos", pa.int64()), ("l1", pa.int64()), ("l2", pa.int64()), ("words", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64())]
+
+    def run(it):
+        try:
+            for b in it:
+                text = texts(b)
+                t12 = _numbers([xxhash.xxh3_128_digest(x.encode()) for x in text])
+                for i, j in slices(list(map(len, text))):
+                    found = [hashed_lines(x) for x in text[i:j]]
+                    of = np.repeat(np.arange(i, j), list(map(len, found)))
+                    if not len(of):
+                        continue
+                    pos, digests, words = zip(*(x for f in found for x in f))
+                    l12 = _numbers(digests)
+                    take = pa.array(of)
+                    yield batches({
+                        "host": b.column("host").take(take), **{k: b.column(k).take(take) for k in more}, "pos": pos, "l1": l12[:, 0], "l2": l12[:, 1], "words": words,
+                        "t1": t12[of, 0], "t2": t12[of, 1]}, pa.schema(columns))
+        finally:
+            release()
+
+    tune(docs.sparkSession)
+    return docs.select("text", "host", *more).mapInArrow(run, ", ".join(f"{k} {'string' if k == 'host' else 'long'}" for k, _ in columns))
 
 
 def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
@@ -70,9 +99,7 @@ def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     the least doc_id among these. Documents with the same text count once, or each large group of copies would seem
     boilerplate. Counting is an aggregation in two steps with partial sums, so neither a hot host nor a hot line
     gathers anywhere."""
-    body = F.coalesce("text", F.lit(""))
-    marked = docs.withColumns({"t1": F.xxhash64(body), "t2": F.xxhash64(F.lit("second"), body)})
-    once = _lines(marked, "t1", "t2").groupBy("host", "l1", "l2", "t1", "t2").agg(F.min("doc_id").alias("first"))
+    once = _lines(docs, "doc_id").groupBy("host", "l1", "l2", "t1", "t2").agg(F.min("doc_id").alias("first"))
     return once.groupBy("host", "l1", "l2").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") > max_docs).select("host", "l1", "l2", "first")
 
 
@@ -80,14 +107,35 @@ def _documents(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("source", F.lit("")).alias("host"), *more)
 
 
-def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, more: tuple[str, ...] = ()) -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, pos, words: the lines that go, with the columns named in more. The first
-    document that has a boilerplate line keeps it, so no text vanishes from the corpus altogether. A null doc_id is
-    first only where no other document has the line."""
-    docs = _documents(docs, *more)
-    lines = small(stored(boilerplate(docs, max_docs), "boilerplate"))
-    found = _lines(docs, *more).join(lines, ["host", "l1", "l2"])
-    return found.where("NOT doc_id <=> first").select("doc_id", *more, "pos", "words")
+class Known:
+    """The boilerplate on one host or all, as a table of hashes that tasks look lines up in."""
+
+    def __init__(self, rows: list):
+        self.first = {(r.host, np.array([r.l1, r.l2], "<i8").tobytes()): r.first for r in rows}
+
+    def removed(self, doc_id: int | None, text: str, host: str) -> list[tuple[int, int]]:
+        """(place, words) of the lines that go. The first document that has a boilerplate line keeps it, so no text
+        vanishes from the corpus altogether; a null doc_id is first only where no other document has the line."""
+        if not self.first:
+            return []
+        return [(i, n) for i, h, n in hashed_lines(text) if (host, h) in self.first and self.first[host, h] != doc_id]
+
+
+def _known(docs: DataFrame, max_docs: int) -> tuple[DataFrame, Known | None]:
+    """The boilerplate, and a table of it if it has at most BROADCAST_ROWS lines."""
+    found = stored(boilerplate(_documents(docs), max_docs), "boilerplate")
+    rows = found.limit(common.BROADCAST_ROWS + 1).collect()
+    return found, Known(rows) if len(rows) <= common.BROADCAST_ROWS else None
+
+
+def _judged(shared, least_left: float):
+    schema = pa.schema([*_SCHEMA, ("n_removed_words", pa.int64())])
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        gone = [sum(n for _, n in shared.value.removed(d, t, h)) for d, t, h in zip(b.column("doc_id").to_pylist(), texts(b), b.column("host").to_pylist())]
+        return pa.RecordBatch.from_arrays([*_counts(b).columns, pa.array(gone, pa.int64())], schema=schema)
+
+    return run
 
 
 def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
@@ -97,38 +145,89 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, least_left: float =
     source is the host; a null one is a host of its own. Lines in more than max_docs distinct documents of a host are
     removed from all but the first of them; a document with less than least_left of its words in what remains is
     depleted. kept: neither base_failed nor depleted. Null and empty texts have no words and fail. Repeated rows
-    count once for a line's frequency and give repeated results, each with the removals of all rows of that doc_id
-    divided by their number. Other columns are not read.
+    count once for a line's frequency; each row is judged by its own text and source, also where rows share a doc_id.
+    Other columns are not read. Boilerplate of at most BROADCAST_ROWS lines is sent to the tasks, which then need no
+    exchange; more is joined to the lines.
     """
-    removed = removed_lines(docs, max_docs).groupBy("doc_id").agg(F.sum("words").alias("__all"))
-    counts = base_counts(docs)
-    copies = counts.groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    removed = removed.join(copies, "doc_id").select("doc_id", F.floor(F.col("__all") / F.col("__rows")).alias("n_removed_words"))
-    out = stored(counts, "counts").join(removed, "doc_id", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
+    known, table_ = _known(docs, max_docs)
+    if table_ is not None:
+        out = _documents(docs).mapInArrow(each(_judged(docs.sparkSession.sparkContext.broadcast(table_), least_left)), _BASE + ", n_removed_words long")
+        out = out.withColumn("base_failed", F.expr(_FAILED))
+    else:
+        keyed = _keyed(docs)
+        lost = _removed(keyed, known).groupBy(*_KEY).agg(F.sum("words").alias("n_removed_words"))
+        counts = base_counts(keyed.select("doc_id", "text", *_KEY), *_KEY)
+        out = counts.join(lost, list(_KEY), "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
     return out.select(*_SCHEMA.names, "base_failed", (~F.col("base_failed") & (left >= least_left * F.col("n_words"))).alias("kept"), "n_removed_words")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(spread(table(spark, sf_dir, "documents")))
 
 
-def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose their boilerplate lines. Each row has its own verdict and removals: rows
-    that share a doc_id but differ in text or source are judged apart, and so are those with a null doc_id."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With what names a row: its doc_id, 0 for null, and a hash of what it holds."""
     doc_id = F.col("doc_id").cast("long")
     content = F.xxhash64(doc_id.isNull(), F.col("text").isNull(), "text", F.col("source").isNull(), "source")
-    keyed = docs.withColumns({"__id": F.coalesce(doc_id, F.lit(0)), "__t": content})
-    removed = stored(removed_lines(keyed, more=_KEY).select(*_KEY, "pos", "words"), "removed")
-    verdict = quality_verdict(keyed, removed)
+    return docs.withColumns({"__id": F.coalesce(doc_id, F.lit(0)), "__t": content})
+
+
+def _removed(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """The key, pos and words of each line that goes, once for all rows with the same key."""
+    docs = _documents(keyed, *_KEY).withColumnRenamed("doc_id", "own")
+    found = _lines(docs, "own", *_KEY).join(known, ["host", "l1", "l2"]).where("NOT own <=> first")
+    return stored(found.select(*_KEY, "pos", "words").distinct(), "removed")
+
+
+def _without(shared, at: dict[str, int], least_left: float):
+    """Rows that stay, without the lines that go; all other columns as they are."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        doc_ids = b.column(at["doc_id"]).cast(pa.int64()).to_pylist()
+        hosts = [x or "" for x in b.column(at["source"]).to_pylist()]
+        old = b.column(at["text"]).to_pylist()
+        counts = _counts(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), b.column(at["text"])], names=["doc_id", "text"])).to_pydict()
+        keep, new = [], []
+        for i, (d, t, h) in enumerate(zip(doc_ids, old, hosts)):
+            n = counts["n_words"][i]
+            if n < 10 or 100 * counts["n_repeat_words"][i] > 20 * n:
+                continue
+            gone = shared.value.removed(d, t, h)
+            if n - sum(w for _, w in gone) >= least_left * n:
+                places = {p for p, _ in gone}
+                keep.append(i)
+                new.append("\n".join(x for p, x in enumerate(t.split("\n")) if p not in places) if places else t)
+        out = b.take(pa.array(keep, pa.int64()))
+        columns = out.columns
+        columns[at["text"]] = pa.array(new, columns[at["text"]].type)
+        return pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+    return run
+
+
+def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, max_docs: int = MAX_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
+    """Rejected documents go; the others lose their boilerplate lines. Each row has its own verdict and removals: rows
+    that share a doc_id but differ in text or source are judged apart, and so are those with a null doc_id."""
+    known, table_ = _known(docs, max_docs)
+    if table_ is not None:
+        at = {c: docs.columns.index(c) for c in ("doc_id", "text", "source")}
+        out = docs.mapInArrow(each(_without(spark.sparkContext.broadcast(table_), at, least_left)), docs.schema)
+        return _recounted(out, docs, F.lit(True))
+    keyed = _keyed(docs)
+    removed = _removed(keyed, known)
+    verdict = quality_verdict(keyed, removed, least_left)
     gone = removed.groupBy(*_KEY).agg(F.collect_set("pos").alias("__gone"))
     kept = verdict.where("kept").select(*_KEY).join(gone, list(_KEY), "left")
     joined = keyed.join(merged(kept), list(_KEY))
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
+    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("long")))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = joined.withColumn("text", text)
+    return _recounted(joined.withColumn("text", text), docs, F.col("__gone").isNotNull())
+
+
+def _recounted(out: DataFrame, docs: DataFrame, changed: Column) -> DataFrame:
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
@@ -136,7 +235,7 @@ def quality_verdict(keyed: DataFrame, removed: DataFrame, least_left: float = LE
     """__id, __t, kept, for each distinct row of keyed; rows with the same key have the same text."""
     rows = keyed.select(F.col("__id").alias("doc_id"), "text", "__t")
     counts = base_counts(rows, "__t").withColumnRenamed("doc_id", "__id").groupBy(*_KEY).agg(F.max("n_words").alias("n_words"), F.bool_and("base_failed").alias("base_failed"))
-    lost = removed.distinct().groupBy(*_KEY).agg(F.sum("words").alias("lost"))
+    lost = removed.groupBy(*_KEY).agg(F.sum("words").alias("lost"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     return stored(counts.join(lost, list(_KEY), "left").select(*_KEY, (~F.col("base_failed") & (left >= least_left * F.col("n_words"))).alias("kept")), "verdict")
 
