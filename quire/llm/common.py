@@ -17,6 +17,8 @@ from ..session import ship, spread
 BATCH_ROWS = 1024
 #: A side of at most so many (narrow) rows may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 100_000
+#: Folders written since finished() was entered, innermost last.
+_open: list[list[str]] = []
 #: The C library's call that returns freed memory to the system, where it has one.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -47,7 +49,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """make()'s result, written in full; the folders that make() wrote on the way are deleted."""
+    _open.append([])
+    try:
+        out = stored(make(), label)
+    finally:
+        *passed, kept = _open.pop() or [""]
+    if _open:
+        _open[-1].append(kept)
+    for path in passed:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, stored, table
+from .common import finished, small, spread, stored, table
 
 WORDS, PERCENT = 5, 80
 #: The columns that name a text.
@@ -98,6 +98,10 @@ def _named(text: str) -> list[Column]:
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs(text), benchmark(item_id, text) -> t, u (the text's name), item_id, similarity, as contaminated()."""
+    return finished(docs.sparkSession, lambda: _contaminated_texts(docs, benchmark, words, percent), "contaminated")
+
+
+def _contaminated_texts(docs: DataFrame, benchmark: DataFrame, words: int, percent: int) -> DataFrame:
     docs = docs.select("text", *_named("text")).where("text IS NOT NULL")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").distinct()
     found = []
@@ -109,7 +113,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, words: int = WORDS
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
-    return stored(out.groupBy(*_TEXT, "item_id").agg(F.max("similarity").alias("similarity")), "contaminated")
+    return out.groupBy(*_TEXT, "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def _with_items(docs: DataFrame, items: DataFrame, length: int, percent: int) -> DataFrame:
@@ -121,6 +125,8 @@ def _with_items(docs: DataFrame, items: DataFrame, length: int, percent: int) ->
     need, starts = _starts(percent)
     hits = hits.withColumn("kd", F.least("k", F.col("n") - (length - 1))).withColumn("need", need).where("size(hits) >= need")
     laid = stored(hits.select(*_TEXT, "item_id", "v", "m", "kd", F.explode(starts).alias("s")), "laid")
+    if laid.isEmpty():
+        return laid.select(*_TEXT, "item_id", F.lit(0.0).alias("similarity"))
     again = _shingled(docs.join(small(laid.select(*_TEXT).distinct()), list(_TEXT), "left_semi").dropDuplicates(list(_TEXT)), length)
     windows = laid.select(*_TEXT, "m", "kd", "s").distinct()
     windows = stored(again.select(*_TEXT, "sh").join(windows, list(_TEXT)).select(*_TEXT, "m", "s", F.expr("slice(sh, s + 1, kd)").alias("sh")), "windows")
@@ -135,7 +141,7 @@ def _with_items(docs: DataFrame, items: DataFrame, length: int, percent: int) ->
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, each, merged, stored, table, tune
+from .common import batches, each, finished, merged, spread, stored, table, tune
 from .graph import components
 from .shingles import _PLACE, mix, shingle_sets
 
@@ -18,7 +18,7 @@ from .shingles import _PLACE, mix, shingle_sets
 BANDS, ROWS = 60, 7
 #: Dimension of the two permutations.
 DIMENSION = 1 << 20
-#: A block of texts of a group has at most about so many texts and bytes; two blocks are compared in one task.
+#: A block of texts of a group has about so many texts or bytes on average, or one longer text; two blocks are compared in one task.
 BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
 #: Columns of the incidence matrices of two blocks at a time.
 BLOCK_COLUMNS = 8192
@@ -73,9 +73,13 @@ def _verify(words: int, percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        left, right = shingle_sets(b.column("ta"), words), shingle_sets(b.column("tb"), words)
+        sides = []
+        for node, text in (("a", "ta"), ("b", "tb")):  # a hub is in many pairs of a batch; its set is made once
+            _, one, of = np.unique(b.column(node).to_numpy(), return_index=True, return_inverse=True)
+            sets = shingle_sets(b.column(text).take(pa.array(one)), words)
+            sides.append([sets[i] for i in of.tolist()])
         keep = []
-        for x, y in zip(left, right):
+        for x, y in zip(*sides):
             small, large = sorted((len(x), len(y)))
             both = len(np.intersect1d(x, y, assume_unique=True)) if small and 100 * small >= percent * large else 0
             keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
@@ -145,7 +149,8 @@ def _between(left: DataFrame, held: DataFrame, words: int, percent: int) -> Data
     Buckets within one component are done. The others are gathered into clusters that share members; a cluster is
     compared as one group where this takes fewer comparisons than its buckets one by one (else a pair that shares many
     buckets would be compared in each). In a group, the members outside its largest component are compared with all,
-    block by block: u members against m take about 2 * u * m / BLOCK_ROWS rows with texts, not u * m.
+    block by block: u members against m take about 2 * u * m / BLOCK_ROWS rows with texts, not u * m. As many blocks are
+    laid as the members' rows and bytes fill, and members are dealt to them by hash.
     """
     open_ = stored(left.join(_main(left, "key").select("key", "cost"), "key"), "open")
     if open_.isEmpty():
@@ -161,11 +166,13 @@ def _between(left: DataFrame, held: DataFrame, words: int, percent: int) -> Data
     together = members.join(merged(whole.where("whole")), "cluster").select("cluster", F.lit(0).cast("long").alias("key"), "node", "comp")
     rows = together.union(rows.join(merged(whole.where("not whole")), "cluster").select("cluster", "key", "node", "comp"))
     rows = stored(rows.join(merged(held.select(F.col("doc_id").alias("node"), "size")), "node"), "groups")
-    largest = rows.groupBy("cluster", "key").agg(F.max("size").alias("size"))
-    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / F.greatest(F.lit(1), F.col("size")))))
-    plan = _main(rows, "cluster", "key").join(largest, ["cluster", "key"]).select(
-        "cluster", "key", "main", F.ceil(F.col("u") / block).cast("int").alias("na"), F.ceil(F.col("m") / block).cast("int").alias("nb"))
-    rows = rows.drop("size").join(merged(plan), ["cluster", "key"])
+    # a member's part of a block, of its rows or of its bytes: a long text takes much of one block and makes no other smaller
+    rows = rows.withColumn("part", F.greatest(F.lit(1 / BLOCK_ROWS), F.col("size") / BLOCK_BYTES))
+    parts = rows.groupBy("cluster", "key").agg(F.sum("part").alias("all"))
+    main = _main(rows, "cluster", "key").select("cluster", "key", "main")
+    outside = rows.join(main, ["cluster", "key"]).where("comp != main").groupBy("cluster", "key", "main").agg(F.sum("part").alias("out"))
+    plan = outside.join(parts, ["cluster", "key"]).select("cluster", "key", "main", F.ceil("out").cast("int").alias("na"), F.ceil("all").cast("int").alias("nb"))
+    rows = rows.drop("size", "part").join(merged(stored(plan, "plan")), ["cluster", "key"])
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = rows.where("comp != main").select("cluster", "key", "node", "comp", F.lit(0).alias("side"), own("na").alias("i"), every("nb").alias("j"))
@@ -179,8 +186,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
     Documents whose sets of ``words``-word shingles have a Jaccard similarity of at least ``percent`` % are linked;
     component_id is the least doc_id of a document's component and kept marks that document. Null and wordless texts
-    have no shingles and no links. Repeated rows give repeated results; a doc_id should name one text. Columns other
-    than doc_id and text are not read, whatever they are called.
+    have no shingles and no links. A row with a null doc_id is compared with nothing: its component_id is null and it
+    is kept. Repeated rows give repeated results; a doc_id should name one text. Columns other than doc_id and text are
+    not read, whatever they are called.
 
     Documents with equal sets form one class, of which only the one with the least doc_id goes on. In each bucket
     of the banding, the member that shares most buckets with others is compared with all the rest, which joins a group
@@ -188,12 +196,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     with each other, in blocks of bounded size (see _between). So no link between components is lost, no bucket is
     gathered in one place, and no row is made for each pair of a bucket.
     """
+    return finished(docs.sparkSession, lambda: _near_duplicates(docs, words, percent), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
     features = stored(docs.mapInArrow(each(_features(words)), schema), "features")
-    classes = stored(features.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stored(features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = features.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")).distinct()
     sizes = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -219,12 +231,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     roots = known.union(moved.join(roots.select("node"), "node", "left_anti").select("node", "root"))
     ids = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "d1", "d2").join(ids, ["d1", "d2"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
