@@ -4,7 +4,10 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -14,7 +17,7 @@ import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
-from quire.llm import byte_bpe, decontaminate, licenses, near_dedup, quality_model, quality_rules, quotations, rans, secrets, token_counts, token_files
+from quire.llm import byte_bpe, common, decontaminate, licenses, near_dedup, quality_model, quality_rules, quotations, rans, secrets, token_counts, token_files
 from quire.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words int, h long, rank int"
@@ -227,32 +230,73 @@ def test_quality_classifier_on_held_out_rows(spark, odd, empty):
     assert {r.score for r in quality_model.quality_scores(odd, none).collect()} == {0.5} and quality_model.quality_scores(empty, none).count() == 0
 
 
-def test_licenses_of_each_family():
-    for family, texts in licenses.TEMPLATES.items():
-        for t in texts[:1]:
-            assert [x[2] for x in licenses.scan(f"some text\n{t}\nmore text")[1]] == [family]
-    assert not any(licenses.scan(t)[1] for t in licenses.OTHERS) and licenses.scan("") == (0, [])
+def families(text):
+    return [f for _, _, f in licenses.scan(text)[1]]
 
 
-def test_licenses_in_long_lines_over_lines_and_of_other_versions():
+def test_licenses_of_each_family_at_any_wrapping():
     rng = random.Random(3)
     noise = lambda n: " ".join("".join(rng.choices("abdefgiklmnoprstu", k=rng.randint(3, 9))) for _ in range(n))
     for family, texts in licenses.TEMPLATES.items():
         for t in texts:
-            long_line, wrapped = f"{noise(300)} {t} {noise(300)}", noise(9) + "\n# " + t.replace(" ", "\n# ") + "\n" + noise(9)
-            for text in (long_line, wrapped):
-                spans = licenses.scan(text)[1]
-                assert [x[2] for x in spans] == [family], (family, t, spans)
-            (s, e, _), at = licenses.scan(long_line)[1][0], long_line.index(t)
-            assert at <= s < e <= at + len(t)
-    for t, family in {"GPL-2.0-only": "gpl", "GPL-2.0": "gpl", "LGPL-3.0-only": "lgpl", "AGPL-3.0-or-later": "agpl", "BSD-2-Clause": "bsd", "MPL-1.1": "mpl"}.items():
-        assert [x[2] for x in licenses.scan(f"// SPDX-License-Identifier: {t}")[1]] == [family]
-    assert [x[2] for x in licenses.scan("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.")[1]] == ["cc-by-sa"]
-    assert [x[2] for x in licenses.scan("Licensed under the GNU Affero General Public License version 3.")[1]] == ["agpl"]
-    assert licenses.scanned("Released under some GNU GPL License terms")[1:] == ([], 1) and licenses.scanned(licenses.OTHERS[0])[1:] == ([], 0)
+            assert families(t) == families(t.upper()) == families(f"some text\n{t}\nmore text") == families(f"some text\n\n{t}\n\nmore text") == [family], t
+            for width in (15, 25, 40, 60):
+                assert families("\n".join(f"# {x}" for x in textwrap.wrap(t, width))) == [family], (t, width)
+            long_line = f"é {noise(300)} {t} {noise(300)}"
+            [(s, e, f)], at = licenses.scan(long_line)[1], long_line.index(t)
+            assert f == family and at <= s < e <= at + len(t)
+            assert families(f"{t}\n{noise(20)}\n{t}") == [family, family]
+    assert not any(licenses.scan(t)[1] for t in licenses.OTHERS) and licenses.scan("") == (0, [], 0) and licenses.scan("a\n \nb\nc\n\n\n-\n\nd")[0] == 3
 
 
-def test_boilerplate_lines_go_and_one_stays(spark):
+def test_licenses_of_other_versions_and_unknown_ones():
+    for t, family in {"GPL-2.0-only": "gpl", "GPL-2.0": "gpl", "LGPL-3.0-only": "lgpl", "AGPL-3.0-or-later": "agpl", "BSD-2-Clause": "bsd", "MPL-1.1": "mpl"}.items():
+        assert families(f"// SPDX-License-Identifier: {t}") == [family]
+    assert families("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.") == ["cc-by-sa"]
+    assert families("Licensed under the GNU Affero General Public License version 3.") == ["agpl"]
+    mit = licenses.TEMPLATES["mit"][3]
+    assert families(mit.split(" ", 3)[3]) == ["mit"] and families("Copyright 2020 Foo Inc. All rights reserved.") == ["proprietary"]
+    assert licenses.scan("Released under some GNU GPL License terms")[1:] == ([], 1) and licenses.scan(licenses.OTHERS[0])[1:] == ([], 0)
+
+
+def test_licenses_are_those_of_scoring_every_window(spark):
+    """Each window of each paragraph with the model as it is defined, one after the other."""
+    m, rng = licenses.model(), random.Random(5)
+    bits = [w for t in licenses.OTHERS for w in t.split()] + ["mit", "license", "the", "all", "rights", "gpl", "under"]
+    notices = [t for x in licenses.TEMPLATES.values() for t in x]
+    texts = []
+    for _ in range(120):
+        parts = [rng.choice([rng.choice(notices), rng.choice(licenses.OTHERS), " ".join(rng.choices(bits, k=rng.randint(1, 40)))]) for _ in range(rng.randint(1, 5))]
+        texts.append("".join(p + rng.choice([" ", "\n", "\n \n", "\n\n\n", " é "]) for p in parts))
+
+    def slow(text):
+        n = unknown = 0
+        spans = []
+        low = text.translate({c: c + 32 for c in range(65, 91)})
+        for block in re.finditer(r"(?s)(?:(?!\n[\x20\t\x0b-\r]*\n).)+", low):
+            all_words = [(w[0], block.start() + w.start(), block.start() + w.end()) for w in re.finditer("[a-z0-9]+", block[0])]
+            n += bool(all_words)
+            row = [w for w in all_words if re.search("[a-z]", w[0]) and not re.fullmatch("v[0-9]*|version|only|or|later", w[0])]
+            h = licenses._hash_of([w for w, _, _ in row]) if row else np.zeros(0, np.uint64)
+            inside = np.zeros(len(row), bool)
+            for size in licenses.SIZES:
+                for i in range(len(row) - size + 1):
+                    inside[i : i + size] |= 1 - m.probabilities(h[i : i + size])[-1] >= m.least
+            cores = licenses.regions(inside, np.zeros(len(row)))
+            found = [x for x in licenses.confirmed(m, [w for w, _, _ in row], h) if any(x[0] < b + licenses.AROUND and a - licenses.AROUND < x[1] for a, b in cores)]
+            unknown += sum(not any(x[0] < b and a < x[1] for x in found) for a, b in cores)
+            spans += [(row[x[0]][1], row[x[1] - 1][2], x[2]) for x in found]
+        return n, spans, unknown
+
+    want = [slow(t) for t in texts]
+    assert [licenses.scan(t) for t in texts] == want and sum(len(x[1]) for x in want) > 100 and any(x[2] for x in want)
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string")).collect()
+    assert [(r.n_paragraphs, r.spans, r.n_unknown) for r in sorted(rows)] == [(n, ",".join(f"{f}:{s}:{e}" for s, e, f in x), u) for n, x, u in [*want, (0, [], 0), (0, [], 0)]]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_boilerplate_lines_go_and_one_stays(spark, few, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", few)
     own = lambda i: " ".join(f"u{i}v{j}" for j in range(12))
     rows = [(i, f"Same  LINE on each page\n{own(i)}", "h") for i in range(30)] + [(100 + i, f"same line on each page\n{i} b", "h") for i in range(3)] + [(200, own(1), None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -262,7 +306,9 @@ def test_boilerplate_lines_go_and_one_stays(spark):
     assert out[5] == own(5) and out[0] == rows[0][1] and 101 not in out
 
 
-def test_stages_keep_null_ids_and_judge_repeated_ids_apart(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_stages_keep_null_ids_and_judge_repeated_ids_apart(spark, few, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", few)
     own = lambda i: " ".join(f"u{i}v{j}" for j in range(12))
     rows = [(i, f"same line on each page\n{own(i)}", "h") for i in range(30)]
     rows += [(7, f"{own(70)}\nsame line on each page", "h"), (7, "too short", "h"), (None, f"same line on each page\n{own(80)}", "h"), (None, own(81), None), (None, "short", None)]
@@ -270,6 +316,8 @@ def test_stages_keep_null_ids_and_judge_repeated_ids_apart(spark):
     got = quality_rules.stage_quality_rules(spark, docs, "")
     want = [(i, rows[0][1] if i == 0 else own(i)) for i in range(30)] + [(7, own(70)), (None, own(80)), (None, own(81))]
     assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
+    got = sorted((repr(r.doc_id), r.n_words, r.n_removed_words, r.kept) for r in quality_rules.quality_rules(docs).collect())
+    assert got == sorted((repr(i), len(t.split()), 5 if "same line" in t and i != 0 else 0, t != "too short" and t != "short") for i, t, _ in rows)
     docs = spark.createDataFrame([(1, own(1)), (2, own(1)), (None, own(2)), (None, own(3))], "doc_id long, text string")
     got = near_dedup.stage_near_dedup(spark, docs, "").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, own(1)), (None, own(2)), (None, own(3))]))
@@ -281,13 +329,17 @@ def test_base_counts_of_a_text(spark):
     assert (r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.word_chars) == (20, 5, 1, 10, len("".join(text.split()))) and r.base_failed
 
 
-def test_decontamination(spark, odd, empty):
+def test_decontamination(spark, odd, empty, tmp_path):
     item = " ".join(f"k{i}" for i in range(30))
     items = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, "")], "item_id long, text string")
     near = " ".join(f"k{i}" if i != 29 else "x" for i in range(30))
     docs = spark.createDataFrame([(1, f"before it {item} after"), (2, near), (3, " ".join(item.split()[:20])), (4, "a tiny ITEM"), (5, None), (6, "")], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {(1, 1), (2, 1), (4, 2)}
+    docs = spark.createDataFrame([(None, f"x {item}"), (7, f"x {item}"), (7, "clean"), (8, "clean"), (None, "clean"), (9, None)], "doc_id long, text string")
+    assert sorted(map(repr, ((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()))) == ["(7, 1)", "(None, 1)"]
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(map(repr, map(tuple, decontaminate.stage_decontaminate(spark, docs, str(tmp_path)).collect()))) == sorted(map(repr, [(7, "clean"), (8, "clean"), (None, "clean"), (9, None)]))
     assert decontaminate.contaminated(odd, items).count() == 0 == decontaminate.contaminated(empty, items).count() == decontaminate.contaminated(docs, items.where("item_id > 2")).count()
 
 
@@ -309,6 +361,145 @@ def test_quotations_of_more_than_one_unit(spark):
     assert [got[1, t] for t in range(4, 11)] == [(1, 1, 0), (1, 1, 0), (1, 1, 0), (1, 1, 2), (1, 1, 0), (1, 0, 8), (1, 1, 0)] and got[2, 1] == (1, 0, 0)
 
 
+def thread_of(rows):
+    """(conv_id, turn) in reply order, depth first, by the parents that linked() gives."""
+    out = []
+    for conv in {r.conv_id for r in rows}:
+        mine = sorted((r for r in rows if r.conv_id == conv), key=lambda r: r.turn)
+        todo = [r for r in mine if r.parent_turn is None][:1]
+        while todo:
+            x = todo.pop()
+            out.append((conv, x.turn, x.parent_turn))
+            todo += [r for r in reversed(mine) if r.parent_turn == x.turn]
+    return out
+
+
+def test_quotations_by_brute_force_and_sql(spark, duck, rows_of, tmp_path, monkeypatch):
+    """Nested quotes of whole messages, thousands of them: links, contents and both orders."""
+    monkeypatch.setattr(quotations, "CHUNK", 4)
+    rng, rows = random.Random(12), []
+    for conv in range(60):
+        said = []
+        for turn in range(rng.randint(1, 60)):
+            own = [f"c{conv} t{turn} says {rng.randint(0, 9)}"] + [f"and line {k} of {turn}" for k in range(rng.randint(0, 2))]
+            quote = []
+            if said and rng.random() < 0.7:
+                back, level = rng.randrange(len(said)), 1
+                while True:
+                    quote = [">" * level + " " + x for x in said[back][0]] + quote
+                    if said[back][1] is None or level == 4 or rng.random() < 0.4:
+                        break
+                    back, level = said[back][1], level + 1
+                first = next(i for i, s in enumerate(said) if quote[-1].lstrip("> ") in s[0])
+                said.append((own, first))
+            else:
+                said.append((own, None))
+            rows.append((conv, turn, rng.choice("ab"), "\n".join(quote + own), tuple(quote), own, said[-1][1]))
+    df = spark.createDataFrame([r[:4] for r in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotations.linked(df).collect()}
+    for conv, turn, _, _, quote, own, parent in rows:
+        r = got[conv, turn]
+        assert r.content == "\n".join(own) and r.position == turn and (r.n_quotes > 0) == bool(quote) and r.n_linked == r.n_quotes
+        assert r.parent_turn == (parent if parent is not None else turn - 1 if turn else None)
+    for conv in range(60):
+        order = [t for c, t, _ in thread_of([r for r in got.values() if r.conv_id == conv])]
+        assert [t for _, t in sorted((got[conv, t].reply_position, t) for c, t in got if c == conv)] == order
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert rows_of(quotations.op9_quotation_linking(spark, str(tmp_path))) == duck(quotations.ORACLE, str(tmp_path))
+    parts = quotations.conversations(df, 7).collect()
+    whole = {}
+    for p in sorted(parts):
+        assert 0 < len(p.messages) <= 7
+        whole.setdefault(p.conv_id, []).extend(m.content for m in p.messages)
+    assert all(whole[c] == [got[c, t].content for _, t in sorted((r.reply_position, r.turn) for r in got.values() if r.conv_id == c)] for c in whole)
+
+
+def test_a_long_quote_takes_linear_time(spark):
+    text = "\n".join(["> " * (1 + i // 3 % 2) + f"line {i}" for i in range(60_000)])
+    began = time.time()
+    r = quotations.linked(spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "b", text)], "conv_id long, turn long, role string, text string")).where("turn = 1").first()
+    assert r.n_quotes == 20_000 and time.time() - began < 60
+
+
+def slow_pipeline(rows, items):
+    """The five stages, row by row and pair by pair, without the library but for the random strings of secrets."""
+    space, ranks = "[\\x20\\x09-\\x0d]+", {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    words = lambda t: [w for w in re.split(space, t) if w]
+    line = lambda x: " ".join(words(x.lower()))
+    # quality rules
+    texts_of, first = {}, {}
+    for d, t, h in rows:
+        for x in map(line, (t or "").split("\n")):
+            if x:
+                texts_of.setdefault((h or "", x), set()).add(t)
+                if d is not None:
+                    first[h or "", x] = min(d, first.get((h or "", x), d))
+    left = []
+    for d, t, h in rows:
+        w = words(t or "")
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        repeated = {i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(5)} if len(set(windows)) < len(windows) else set()
+        if len(w) < 10 or 100 * len(repeated) > 20 * len(w):
+            continue
+        stay = [x for x in t.split("\n") if not line(x) or len(texts_of[h or "", line(x)]) <= 20 or first.get((h or "", line(x))) == d]
+        if 2 * sum(len(words(x)) for x in stay) >= len(w):
+            left.append((d, "\n".join(stay), h))
+    # near-duplicates
+    low = lambda t: words(t.translate({c: c + 32 for c in range(65, 91)}))
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    sets = {d: shingles(low(t)) for d, t, _ in left if d is not None}
+    root = {d: d for d in sets}
+    top = lambda d: d if root[d] == d else top(root[d])
+    for x in sets:
+        for y in sets:
+            if x < y and (both := len(sets[x] & sets[y])) and 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+                p, q = sorted((top(x), top(y)))
+                root[q] = p
+    left = [(d, t) for d, t, _ in left if d is None or top(d) == d]
+
+    # decontamination
+    def held(t, item):
+        counted = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        a, b = counted(words(t.lower())), counted(words(item.lower()))
+        if not set(a) & set(b):
+            return False
+        k, want = len(b), Counter(b)
+        for s in range(max(1, len(a) - k + 1)):
+            window = a[s : s + k]
+            both = sum((Counter(window) & want).values())
+            if 100 * both >= 80 * (len(window) + k - both):
+                return True
+        return False
+
+    left = [(d, t) for d, t in left if not any(held(t, i) for i in items)]
+    # secrets and ids
+    lib, out = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), []
+    for d, t in left:
+        marked = list(t)
+        for s, _, e in sorted({*brute_base(t), *secrets.find(t)}):
+            marked[s:e] = ["\0"] * (e - s)
+        t = re.sub("\0+", secrets.MARK, "".join(marked)) if "\0" not in t else t
+        ids = np.array(lib.encode_ordinary(t), "<u4").tobytes()
+        out.append((d, len(ids) // 4, ids, hashlib.sha256(t.encode()).hexdigest()))
+    return out
+
+
+def test_pipeline_run_is_brute_force(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    own = lambda i: " ".join(f"u{i}v{j}" for j in range(14))
+    rows = [(r.doc_id, r.text, r.source) for r in docs] + [(None, None, None), (None, own(1), None), (None, own(1), "h"), (None, f"{own(2)} {items[3]}", "h"), (10**6, None, "h"), (10**6 + 1, "", None)]
+    rows += [(10**6 + 10 + i, f"a line that all these share, it has ten words\n{own(100 + i)}", "h") for i in range(25)] + [(None, f"a line that all these share, it has ten words\n{own(200)}", "h")]
+    rows += [(10**6 + 50, f"{own(3)} password: hunter2hunter2", None), (10**6 + 51, own(3) + " tail", None), (10**6 + 52, items[5] + " and more after it", "x"), (10**6 + 53, own(4), "x"), (10**6 + 53, own(4), "x")]
+    spark.createDataFrame([(*r[:2], "en", r[2], len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(map(repr, ((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())))
+    want = slow_pipeline(rows, items)
+    assert got == sorted(map(repr, want)) and 100 < len(want) < len(rows) - 20
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     import corpus_pipeline
 
