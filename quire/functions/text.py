@@ -142,3 +142,55 @@ def object_parts(key: Column) -> list[Column]:
 
 def deletable(key: Column) -> Column:
     return key.rlike("\\A(text|raw|progress)/") & ~F.contains(key, F.lit(".."))
+
+
+def new_id(seed: Column) -> Column:
+    """An id of the usual form, made from a seed, so that a recomputed task gives the same one."""
+    return F.concat(F.lit("n_"), F.lower(F.conv(F.left(F.sha2(seed, 256), F.lit(15)), 16, 36)))
+
+
+def rfc5987(c: Column) -> Column:
+    """Percent-encoding for header values: letters, digits and - _ . ! ~ stay."""
+    c = F.url_encode(c)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%21", "!"), ("%7E", "~")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def b64url_decode(c: Column) -> Column:
+    return F.unbase64(F.translate(c, "-_", "+/"))
+
+
+def client_ip(direct: Column, forwarded: Column) -> Column:
+    """The header's address, else the last of those a request was forwarded by, else 'unknown'."""
+    hops = F.filter(F.transform(F.split(forwarded, ","), trim_ws), lambda x: x != "")
+    return F.coalesce(F.when(direct != "", direct), F.try_element_at(hops, F.lit(-1)), F.lit("unknown"))
+
+
+def clamp_chapter(x: Column, chapters: Column) -> Column:
+    """A place from 0 within a book."""
+    return F.greatest(F.lit(0), F.least(F.greatest(F.lit(0), chapters - 1), F.coalesce(F.floor(x), F.lit(0)))).cast("long")
+
+
+def progress_badge(state: Column, ch: Column, chapters: Column, compact: bool = False) -> Column:
+    first = F.least(F.coalesce(ch, F.lit(0)), F.coalesce(chapters, F.lit(0)))
+    at = F.concat(first.cast("string"), F.lit("/"), chapters.cast("string"))
+    return F.when(state == "unread", "").when(state == "done", "✓ 已读完").when(first <= 0, "在读").otherwise(at if compact else F.concat(F.lit("读到 "), at, F.lit(" 章")))
+
+
+def head_percent(place: Column, chapters: Column) -> Column:
+    """How much of a book lies before a chapter; never 100. Halves are rounded up."""
+    return F.greatest(F.lit(0), F.least(F.lit(99), F.floor(place / chapters * 100 + 0.5))).cast("long")
+
+
+def env_number(c: Column, default: float) -> Column:
+    """A setting as a number; the default where it is none or 0."""
+    n = c.try_cast("double")
+    return F.coalesce(F.when((n != 0) & ~F.isnan(n), n), F.lit(float(default)))
+
+
+def normal_place(ch: Column, ratio: Column) -> list[Column]:
+    """ch as a whole number from 0, ratio within 0 and 1; what is no number counts as 0."""
+    number = lambda c: F.when(F.isnan(c) | c.isNull(), 0.0).otherwise(c)
+    whole = F.when(F.abs(ratio) == float("inf"), 0.0).otherwise(number(ratio))
+    return [F.greatest(F.lit(0), F.floor(number(ch))).cast("long").alias("ch"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), whole)).alias("ratio")]

@@ -75,13 +75,22 @@ def duplicate_titles(books: DataFrame, norm: Column) -> DataFrame:
     return keyed.join(twice, "__k", "left_semi").drop("__k")
 
 
-def batch_trim(targets: DataFrame, budget: int = 48, deleting: bool = False) -> DataFrame:
-    """targets(rank, id, shard): the longest prefix whose estimate of requests fits; the rest is deferred. k counts the shards of a prefix, n its books."""
+def set_tags(tags: list[str]) -> Column:
+    return F.array(*map(F.lit, tags[:MAX_TAGS])).cast("array<string>")
+
+
+def batch_trim(targets: DataFrame, budget: int = 48, deleting: bool = False, most: int = 18) -> DataFrame:
+    """targets(rank, id, shard): the longest prefix whose estimate of requests fits; the rest is deferred. k counts the
+    shards of a prefix, n its books. A batch has at most ``most`` books, so only so many go on to the running counts;
+    all others are deferred without a cost."""
+    first = targets.orderBy("rank").limit(most)
     w = Window.orderBy("rank")
     new = F.when(F.row_number().over(Window.partitionBy("shard").orderBy("rank")) == 1, 1).otherwise(0)
-    rows = targets.withColumn("new", new).withColumn("k", F.sum("new").over(w)).withColumn("n", F.row_number().over(w))
+    rows = first.withColumn("new", new).withColumn("k", F.sum("new").over(w)).withColumn("n", F.row_number().over(w))
     cost = (5 + 3 * F.col("k") if deleting else 1 + 3 * F.col("k") + 4 * F.col("n")) + 2 + 3 * F.col("k")
-    return rows.select("rank", "id", cost.cast("long").alias("cost"), (cost > budget).alias("deferred"))
+    rows = rows.select("rank", "id", cost.cast("long").alias("cost"), (cost > budget).alias("deferred"))
+    rest = targets.join(first.select("rank"), "rank", "left_anti").select("rank", "id", F.lit(None).cast("long").alias("cost"), F.lit(True).alias("deferred"))
+    return rows.unionByName(rest)
 
 
 def merge_trim(targets: DataFrame, shards: int, budget: int = 48) -> DataFrame:

@@ -36,3 +36,17 @@ def feed_entries(page: DataFrame) -> DataFrame:
     entry = F.concat(
         F.lit("<entry><title>"), esc_xml(F.col("title")), F.lit("</title><id>urn:book:"), F.col("id").cast("string"), F.lit("</id><author><name>"), esc_xml(F.col("author")), F.lit("</name></author></entry>"))
     return page.select("rank", entry.alias("entry"))
+
+
+def feed_document(page: DataFrame, number: int, total: int, newest: int, size: int = 100) -> DataFrame:
+    """page(rank, id, title, author, at), one page of a feed -> feed: one Atom document with links to itself, the first
+    page and its neighbours. A page has at most ``size`` entries, so they are one row."""
+    stamp = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    entry = F.concat(
+        F.lit("<entry><title>"), esc_xml(F.col("title")), F.lit("</title><id>urn:book:"), F.col("id").cast("string"), F.lit("</id><author><name>"), esc_xml(F.col("author")),
+        F.lit("</name></author><updated>"), stamp(F.col("at")), F.lit('</updated><link rel="http://opds-spec.org/acquisition" href="/export/'), F.col("id").cast("string"), F.lit('.txt" type="text/plain"/></entry>'))
+    links = [("self", number), ("start", 1)] + [("previous", number - 1)] * (number > 1) + [("next", number + 1)] * (number * size < total)
+    head = "".join(f'<link rel="{rel}" href="/opds?page={n}"/>' for rel, n in links)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))), lambda x: x["e"]), "")
+    return page.limit(size).agg(F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom">'), F.lit(head), F.lit("<updated>"), stamp(F.lit(newest).cast("long")), F.lit("</updated>"), body, F.lit("</feed>")).alias("feed"))

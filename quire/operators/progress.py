@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clamp_chapter
 from ..session import ship
 
 WINDOW_MS, LOCK_MS, MOST_MS, LIMIT = 15 * 60_000, 10 * 60_000, 60 * 60_000, 5
@@ -85,3 +86,74 @@ def limiter(attempts: DataFrame, limit: int = LIMIT, lock: int = LOCK_MS, most:
             yield pd.DataFrame(out, columns=["user_id", "seq", "locked", "until"])
 
     return rows.mapInPandas(run, "user_id long, seq long, locked boolean, until long")
+
+
+def offline_queue(events: DataFrame) -> DataFrame:
+    """events(device, book_id, at, seq, ch, ratio) -> the newest of each book of a device, with times that differ: one
+    that isn't later than the one before is put a millisecond after it. In order the i-th time is at least any before it
+    plus their distance, so a running maximum gives it."""
+    last = events.groupBy("device", "book_id").agg(F.max_by(F.struct("ch", "ratio", "at"), F.struct("at", "seq")).alias("x")).select("device", "book_id", "x.*")
+    order = Window.partitionBy("device").orderBy("at", "book_id")
+    rows = last.withColumn("i", F.row_number().over(order))
+    top = F.max(F.col("at") - F.col("i")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("at", top + F.col("i")).drop("i")
+
+
+class Place:
+    """The stored progress of one book. write() gives its verdict: written, stale, occ or cleanVer."""
+
+    def __init__(self):
+        self.at: int | None = None
+
+    def write(self, now: int, client_at: int, base_at: int | None, client_ver: int, clean_ver: int) -> str:
+        if client_at and self.at is not None and self.at > client_at:
+            return "stale"
+        if base_at is not None and (self.at or 0) > base_at:
+            return "occ"
+        if client_ver and clean_ver != client_ver:
+            return "cleanVer"
+        self.at = now
+        return "written"
+
+
+def progress_writes(events: DataFrame, books: DataFrame) -> DataFrame:
+    """events(book_id, seq, now, client_at, base_at, client_ver) in order of arrival, books(book_id, clean_ver) -> book_id,
+    seq, verdict. client_at 0, base_at null and client_ver 0 ask for no test; a book without a record has no version to
+    differ from. The fold streams over sorted rows, so a book of very many writes needs no more memory."""
+    ship(events.sparkSession)
+    rows = events.join(books.select("book_id", "clean_ver"), "book_id", "left")
+    rows = rows.select("book_id", "seq", "now", "client_at", F.coalesce("base_at", F.lit(-1)).alias("base_at"), "client_ver", F.coalesce("clean_ver", "client_ver").alias("clean_ver"))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book, held = None, Place()
+        for b in it:
+            out = []
+            for k, seq, now, client_at, base_at, client_ver, clean_ver in b.itertuples(index=False):
+                if k != book:
+                    book, held = k, Place()
+                out.append((k, seq, held.write(now, client_at, None if base_at < 0 else base_at, client_ver, clean_ver)))
+            yield pd.DataFrame(out, columns=["book_id", "seq", "verdict"])
+
+    return rows.repartition("book_id").sortWithinPartitions("book_id", "seq").mapInPandas(run, "book_id long, seq long, verdict string")
+
+
+def active_records(records: DataFrame, now: int, window: int = WINDOW_MS, most: int = 5000) -> DataFrame:
+    """records(ip, until, at): those that are locked or were active within the window; of the others of these no more
+    than ``most``, the latest."""
+    live = records.where((F.coalesce("until", F.lit(0)) > now) | (F.coalesce("at", F.lit(0)) > now - window))
+    locked = F.coalesce("until", F.lit(0)) > now
+    return live.where(locked).unionByName(live.where(~locked).orderBy(F.desc(F.coalesce("at", F.lit(0))), "ip").limit(most))
+
+
+def client_move(cur: Column, ratio: Column, base_at: Column, ch: Column, server_ratio: Column, server_at: Column, chapters: Column) -> Column:
+    """What an open book does with the server's place: ignore (none, or not newer than what it knows; base_at null means
+    it knows nothing), stay (as good as the same place) or move. cur counts from 0, ch from 1."""
+    place = clamp_chapter(F.coalesce(F.when(ch != 0, ch), F.lit(1)) - 1, chapters)
+    near = (place == cur) & (ratio.isNull() | (F.abs(ratio - F.coalesce(server_ratio, F.lit(0.0))) <= 0.02))
+    return F.when(server_at.isNull() | (F.coalesce(base_at, F.lit(-1)) >= server_at) | (server_at == 0), "ignore").when(near, "stay").otherwise("move")
+
+
+def coalesced(events: DataFrame, every: int = 8000) -> DataFrame:
+    """events(book_id, at, seq, ch, ratio): the last of each book in each interval, which is what is sent."""
+    slot = F.floor(F.col("at") / every)
+    return events.groupBy("book_id", slot.alias("slot")).agg(F.max_by(F.struct("at", "seq", "ch", "ratio"), F.struct("at", "seq")).alias("x")).select("book_id", "slot", "x.*")

@@ -92,3 +92,75 @@ def trash_view(trash: DataFrame, now: int, days: int = 15) -> DataFrame:
     return trash.select(
         "id", "title", "deleted_at", F.greatest(F.lit(0), days - F.floor((now - F.col("deleted_at")) / day)).cast("long").alias("days_left"),
         (F.lit(now) - F.col("deleted_at") > days * day).alias("expired"))
+
+
+def in_chinese(c: Column) -> Column:
+    """For an order by the collation of Chinese."""
+    return F.collate(c, "zh")
+
+
+def titles_in_chinese(df: DataFrame, n: int) -> DataFrame:
+    """The order 'title' by collation; equal titles by id."""
+    keys = [F.desc("pinned"), in_chinese(F.col("title")).asc(), F.asc("id")]
+    first = df.orderBy(*keys).limit(n)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*keys)).cast("long")).select("rank", "id")
+
+
+def tag_list(df: DataFrame) -> DataFrame:
+    """All tags with their numbers, and the number of all tags: the most frequent first, equals by collation. The rank
+    comes from one task, which sees a row for each tag."""
+    counts = tag_counts(df)
+    total = counts.agg(F.count("*").alias("total"))
+    keys = [F.desc("n"), in_chinese(F.col("tag")).asc(), F.asc("tag")]
+    return counts.join(F.broadcast(total)).withColumn("rank", F.row_number().over(Window.orderBy(*keys)).cast("long"))  # total is one row
+
+
+def tag_cloud(df: DataFrame, selected: str | None = None, shown: int = 6, most: int = 12) -> DataFrame:
+    """The first tags; a selected one of the first ``most`` that isn't among them is put in front."""
+    top = top_tags(df, most)
+    keep = (F.col("rank") <= shown) if selected is None else (F.col("rank") <= shown) | (F.col("tag") == selected)
+    return top.where(keep).withColumn("place", F.when(F.col("rank") > shown, 0).otherwise(F.col("rank")).cast("long"))
+
+
+def pages(df: DataFrame, key: str, page: int, size: int = 60, *columns: str) -> DataFrame:
+    """The first ``page`` pages; no more pages than there are, one at least."""
+    n = df.count()
+    return top(df, key, max(1, min(page, -(-n // size))) * size, *columns)
+
+
+def toc(chapters: DataFrame, places: DataFrame, loaded: int = 0, size: int = 50) -> DataFrame:
+    """chapters(book_id, pos, title), places(book_id, cur) -> the rows of each book's table that are shown, up to the
+    current one at least, with cur and read."""
+    rows = chapters.join(places.select("book_id", F.col("cur").alias("__cur")), "book_id")
+    shown = rows.where(F.col("pos") < F.greatest(F.lit(loaded), F.lit(size), F.col("__cur") + 1))
+    return shown.select("book_id", "pos", "title", (F.col("pos") == F.col("__cur")).alias("cur"), (F.col("pos") < F.col("__cur")).alias("read"))
+
+
+def pick(selected: DataFrame, visible: DataFrame, invert: bool = False) -> DataFrame:
+    """(id) each: all that is visible is selected too, or with ``invert`` what of it was selected no longer is."""
+    both = selected.select("id").distinct().withColumn("s", F.lit(True)).join(visible.select("id").distinct().withColumn("v", F.lit(True)), "id", "full_outer")
+    return (both.where("s IS NULL OR v IS NULL") if invert else both).select("id")
+
+
+def prune(selected: DataFrame, visible: DataFrame) -> DataFrame:
+    return selected.join(visible.select("id"), "id", "left_semi")
+
+
+def sane(snapshot: DataFrame) -> DataFrame:
+    """Rows of a stored shelf that can be shown."""
+    return snapshot.where("id IS NOT NULL AND title IS NOT NULL AND title <> ''")
+
+
+def readable(books: DataFrame) -> DataFrame:
+    return books.where("status = 'ready'")
+
+
+def book_view(books: DataFrame) -> DataFrame:
+    """A book's record without what only upkeep needs."""
+    return books.drop("orphans")
+
+
+def library(shelf: DataFrame, trash: DataFrame) -> DataFrame:
+    """All books of the shelf and the trash, each once: a book in both counts as one of the shelf."""
+    every = shelf.withColumn("place", F.lit("shelf")).unionByName(trash.join(shelf.select("id"), "id", "left_anti").withColumn("place", F.lit("trash")), allowMissingColumns=True)
+    return every

@@ -19,15 +19,40 @@ def latest_progress(stream: DataFrame) -> DataFrame:
 
 
 def limiter_stream(stream: DataFrame, limit: int = LIMIT, lock: int = LOCK_MS, most: int = MOST_MS, window: int = WINDOW_MS) -> DataFrame:
-    """stream(user_id, at, seq, failed) -> user_id, seq, locked, until, in append mode: the batch limiter's fold, its state kept between batches. Attempts are ordered within a batch."""
+    """stream(user_id, at, seq, failed) -> user_id, seq, locked, until, in append mode: the batch limiter's fold, its state kept between batches, until a user has been idle for the window and any lock. Attempts are ordered within a batch."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # idle for the window, and no lock goes on: nothing is left to know
+            state.remove()
+            return
         held = Limiter(limit, lock, most, window, state.get if state.exists else (0, 0, 0, 0))
         rows = pd.concat(list(frames)).sort_values(["at", "seq"])
         out = [(key[0], s, *held.attempt(a, f)) for a, s, f in rows[["at", "seq", "failed"]].itertuples(index=False)]
         state.update(held.state())
+        state.setTimeoutDuration(max(window, held.until - held.at, 1))
         yield pd.DataFrame(out, columns=["user_id", "seq", "locked", "until"])
 
     ship(stream.sparkSession)
     return stream.groupBy("user_id").applyInPandasWithState(
-        run, "user_id long, seq long, locked boolean, until long", "fail long, until long, strikes long, at long", "append", GroupStateTimeout.NoTimeout)
+        run, "user_id long, seq long, locked boolean, until long", "fail long, until long, strikes long, at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def mirror_stream(stream: DataFrame, chapters: DataFrame, done_ratio: float = 0.9) -> DataFrame:
+    """stream(book_id, at, seq, ch, ratio), chapters(book_id, n) -> the events that change what the shelf shows, in append
+    mode: as mirror_changes() in batch, with the place shown last kept as state."""
+    rows = stream.join(chapters.select("book_id", "n"), "book_id")
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        shown = state.get if state.exists else None
+        out = []
+        for _, at, seq, ch, ratio, n in pd.concat(list(frames)).sort_values(["at", "seq"])[["book_id", "at", "seq", "ch", "ratio", "n"]].itertuples(index=False):
+            ch = n if n > 0 and ch > n else ch
+            new = (int(ch), bool(n > 0 and ch >= n and ratio >= done_ratio))
+            if shown != new:
+                out.append((key[0], at, seq, *new))
+                shown = new
+        state.update(shown)
+        yield pd.DataFrame(out, columns=["book_id", "at", "seq", "ch", "done"])
+
+    ship(stream.sparkSession)
+    return rows.groupBy("book_id").applyInPandasWithState(run, "book_id long, at long, seq long, ch long, done boolean", "ch long, done boolean", "append", GroupStateTimeout.NoTimeout)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.operators import chapters as CH
 from quire.operators.clean import CleanOptions, clean_text
 from quire.operators.progress import Limiter
-from quire.plans import catalogue
+from quire.plans import catalogue, lifecycle  # noqa: F401  registers its queries too
 from quire.sources.encoding import detect
 
 
