@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, each, merged, scratch, slices, table, texts, tune
+from .common import batches, each, merged, scratch, slices, small, spread, stored, table, texts, tune
 from .memo import MEMO_CHUNKS
 
 LIMIT = 4096
@@ -97,15 +97,18 @@ def count_tokens(docs: DataFrame, cache: str, name: str = "piece_bpe_32k.model",
 
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     misses = firsts.join(known().select("digest").distinct(), "digest", "left_anti")
+    # a warm cache may lack few contents, and then no text is moved but theirs; a cold one lacks all
+    misses = merged(misses) if known().isEmpty() else small(stored(misses, "misses"))
     # rows without a doc_id can still be the only ones of their content
-    found = rows.join(merged(misses), rows.doc_id.eqNullSafe(misses.doc_id) & (rows.digest == misses.digest), "left_semi")
+    found = rows.join(misses, rows.doc_id.eqNullSafe(misses.doc_id) & (rows.digest == misses.digest), "left_semi")
     encoded = found.select("digest", F.lit(key).alias("tokenizer"), "text").mapInArrow(each(_count(name)), _CACHE).dropDuplicates(["digest"])  # repeated rows
     encoded.write.mode("append").parquet(cache)
-    counts = known().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written before the join, so that the rows of one digest, which may be very many, can be split over tasks
+    counts = stored(known().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     sizes = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sizes.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return sizes.join(merged(counts), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over a new cache in the shared folder, so that each run's figures stand for encoding the whole table."""
-    return count_tokens(table(spark, sf_dir, "documents"), scratch(spark, "token-counts"))
+    return count_tokens(spread(table(spark, sf_dir, "documents")), scratch(spark, "token-counts"))
