@@ -6,14 +6,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, each, table, tune
+from .common import batches, each, spread, stored, table, tune
 from .shingles import _PLACE, LOWER, buffers, mix, word_hashes, words
 
-#: At most so many labelled documents are learned from, those with the least hash of their doc_id, of at most so many characters each.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 200_000
+#: At most so many labelled documents are learned from: those with the least hash of their doc_id, whole, as long as
+#: those before them have fewer bytes than this.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 24 << 20
 BUCKETS, WIDTH = 1 << 17, 16
 #: Lengths, in bytes, of the n-grams within a word and the border at each of its sides.
 GRAMS = (3, 4)
@@ -78,7 +79,7 @@ def train(rows: list[str], labels: list[int], seed: int = 5) -> Model:
     for i in range(0, len(rows), 200):
         buckets, row = features(pa.array(rows[i : i + 200], pa.string()))
         order = np.argsort(row, kind="stable")
-        docs += [np.unique(x, return_counts=True) for x in np.split(buckets[order], np.searchsorted(row[order], np.arange(1, len(rows[i : i + 200]))))]
+        docs += [(x.astype(np.int32), n.astype(np.int32)) for x, n in (np.unique(x, return_counts=True) for x in np.split(buckets[order], np.searchsorted(row[order], np.arange(1, len(rows[i : i + 200])))))]
     share = np.bincount(labels, minlength=2) / max(1, len(labels))
     if share.min() > 0:
         model.bias[:] = np.log(share)
@@ -103,13 +104,18 @@ def train(rows: list[str], labels: list[int], seed: int = 5) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
-    """The bounded sample: labelled rows whose crc32(doc_id) mod 3 isn't 1. A doc_id with several labels counts as its largest one."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
+    """The bounded sample: labelled rows whose crc32(doc_id) mod 3 isn't 1. A doc_id with several labels counts as its
+    largest one, one with several texts as the least of these. Texts of any length are taken whole; only the one that
+    goes over ``most`` bytes, and none after it, brings the sum above that."""
     kept = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     kept = kept.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     kept = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(kept), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
-    got = sorted(found.select("doc_id", "text", "quality").collect())
+    found = docs.where("text IS NOT NULL").join(F.broadcast(kept), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
+    found = stored(found.withColumn("rank", F.xxhash64("doc_id")), "sample")
+    before = Window.orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``rows`` numbers
+    fits = found.select("doc_id", "rank", F.octet_length("text").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < most)
+    got = sorted(found.join(F.broadcast(fits.select("doc_id")), "doc_id").select("doc_id", "text", "quality").collect())
     return [r.text for r in got], [int(r.quality > 0) for r in got]
 
 
@@ -136,7 +142,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, quality) -> doc_id, held_out, score, predicted.
 
-    The model is learned on the driver from a bounded sample (SAMPLE_ROWS) and is applied to every whole text. Only
+    The model is learned on the driver from a bounded sample (SAMPLE_ROWS, SAMPLE_BYTES) and is applied to every whole text. Only
     the text goes into a score. A null, empty or wordless text gets the share of label 1 in the sample, as learned.
     Without labels every score is 0.5. Repeated rows give repeated results; other columns are not read.
     """
@@ -147,4 +153,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_scores(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
