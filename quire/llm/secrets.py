@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, each, table, texts, tune
+from .common import batches, each, spread, table, texts, tune
 
 #: The kinds, in their order, and their patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -166,7 +166,7 @@ def secret_spans(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", most: flo
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_spans(table(spark, sf_dir, "documents"))
+    return secret_spans(spread(table(spark, sf_dir, "documents")))
 
 
 def stage_secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
