@@ -18,7 +18,7 @@ STAGES = [
     ("secret_scan", stage_secret_scan),
     ("byte_bpe", stage_byte_bpe),
 ]
-#: No SQL has the merges of a byte-level vocabulary; tests/llm compares the ids of each stage with those of its operator.
+#: No SQL has the merges of a byte-level vocabulary; tests/llm compares the rows of run() with a brute-force version.
 ORACLE_SQL = None
 
 
