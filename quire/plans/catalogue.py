@@ -479,7 +479,7 @@ def soft_delete_restore(s, d):
 def batch_trim(s, d):
     w = SH.Window.orderBy("id")
     t = C.books(s, d).where("id <= 18").select("id").withColumn("rank", F.row_number().over(w).cast("long")).withColumn("shard", F.col("id") % 5)
-    return ED.batch_trim(t)
+    return ED.batch_trim(t, most=20)
 
 
 @query("merge_trim", _b("""SELECT rank, id, cost FROM (SELECT rank, id, 1 + 5 + 4 * rank + 2 * sum(f) OVER (ORDER BY rank)::BIGINT AS cost FROM

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,10 +18,12 @@ from ..sources.encoding import candidate_pool
 from . import carriers as C
 from .catalogue import _b, _ch, _e, _shelf, query
 
-_K = F.col("id")
 
+def _k() -> Column:
+    return F.col("id")
 
-def _str(c) -> F.Column:
+
+def _str(c: str | Column) -> Column:
     return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 
 
@@ -28,8 +31,8 @@ def _state(s, d):
     """Books with a status, a version and what is pending, by their number."""
     b = C.books(s, d).select("id", "title", "author", "word_count", "chapter_count", "created_at")
     return b.withColumns({
-        "status": F.when(_K % 3 == 0, "creating").otherwise("ready"), "clean_ver": _K % 4 + 1, "pending_batch": F.when(_K % 6 == 0, F.concat(F.lit("b"), _str(_K))),
-        "pending_sig": F.when(_K % 6 == 0, F.concat(F.lit("s"), _str(_K % 12)))})
+        "status": F.when(_k() % 3 == 0, "creating").otherwise("ready"), "clean_ver": _k() % 4 + 1, "pending_batch": F.when(_k() % 6 == 0, F.concat(F.lit("b"), _str(_k()))),
+        "pending_sig": F.when(_k() % 6 == 0, F.concat(F.lit("s"), _str(_k() % 12)))})
 
 
 _STATE = """st AS (SELECT id, title, author, word_count, chapter_count, created_at, CASE WHEN id % 3 = 0 THEN 'creating' ELSE 'ready' END AS status, id % 4 + 1 AS clean_ver,
@@ -43,7 +46,7 @@ def _s(sql: str) -> str:
 def _trash(s, d):
     """Every fifth book lies in the trash; of some part is cleared."""
     b = C.books(s, d).where("id % 5 = 0")
-    return b.select("id", "title", "author", "tags", "chapter_count", "word_count", ((_K % 40) * C.DAY).alias("deleted_at"), F.when(_K % 15 == 0, F.array(F.lit("1"), F.lit("2"))).alias("purge"), (_K % 20 == 0).alias("purging"), F.when(_K % 25 == 0, F.lit("c")).alias("purge_cursor"))
+    return b.select("id", "title", "author", "tags", "chapter_count", "word_count", ((_k() % 40) * C.DAY).alias("deleted_at"), F.when(_k() % 15 == 0, F.array(F.lit("1"), F.lit("2"))).alias("purge"), (_k() % 20 == 0).alias("purging"), F.when(_k() % 25 == 0, F.lit("c")).alias("purge_cursor"))
 
 
 def _bodies(s, d):
@@ -59,8 +62,8 @@ _BODIES = "bo AS (SELECT book_id, key, 'w ' || words AS text FROM ch WHERE words
  FROM (SELECT id, CASE WHEN id % 7 = 0 THEN '' ELSE trim(left(replace(title, '#', ''), 120)) END AS t, list_slice(tags || tags || tags, 1, 10) AS tags, greatest(word_count - 500, 0) AS word_count FROM (SELECT * REPLACE (replace(title, '#', '') AS title) FROM sh))"""))
 def create_books(s, d):
     b = _shelf(s, d).withColumn("title", F.replace("title", F.lit("#"), F.lit("")))
-    asked = b.select("id", F.when(_K % 7 == 0, "<>").otherwise(F.concat(F.lit(" <"), "title", F.lit("/ "))).alias("title"), "author", F.lit(None).cast("string").alias("note"), F.concat("tags", F.array(F.lit("'")), "tags", "tags").alias("tags"),
-                     (F.col("word_count") - 500).alias("word_count"), F.lit(0).alias("clean_ver"), F.lit(None).cast("boolean").alias("pinned"), F.when(_K % 4 != 1, F.array(F.lit("a"), F.lit(""))).alias("titles"))
+    asked = b.select("id", F.when(_k() % 7 == 0, "<>").otherwise(F.concat(F.lit(" <"), "title", F.lit("/ "))).alias("title"), "author", F.lit(None).cast("string").alias("note"), F.concat("tags", F.array(F.lit("'")), "tags", "tags").alias("tags"),
+                     (F.col("word_count") - 500).alias("word_count"), F.lit(0).alias("clean_ver"), F.lit(None).cast("boolean").alias("pinned"), F.when(_k() % 4 != 1, F.array(F.lit("a"), F.lit(""))).alias("titles"))
     return BK.create(asked, b.where("id % 2 = 0"), 5).select("id", "title", "word_count", F.size("tags").alias("tags"), "verdict")
 
 
@@ -107,8 +110,8 @@ def orphan_algebra(s, d):
  FROM st LEFT JOIN (SELECT book_id, count(*) AS n FROM ch GROUP BY 1) c ON c.book_id = id)"""))
 def append_chapters(s, d):
     b = _state(s, d)
-    asked = b.select(F.col("id").alias("book_id"), F.when(_K % 2 == 0, F.concat(F.lit("b"), _str(_K))).otherwise("").alias("batch"), F.lit("s0").alias("sig"), F.array(F.lit("x")).alias("titles"), (_K % 9 - 4).alias("words"))
-    orphans = b.select(F.col("id").alias("book_id"), _str(_K % 3 + 500).alias("key")).union(b.select("id", F.lit("n_99999")))
+    asked = b.select(F.col("id").alias("book_id"), F.when(_k() % 2 == 0, F.concat(F.lit("b"), _str(_k()))).otherwise("").alias("batch"), F.lit("s0").alias("sig"), F.array(F.lit("x")).alias("titles"), (_k() % 9 - 4).alias("words"))
+    orphans = b.select(F.col("id").alias("book_id"), _str(_k() % 3 + 500).alias("key")).union(b.select("id", F.lit("n_99999")))
     return BK.append(asked, C.chapters(s, d), orphans, b.select("id", "word_count", "clean_ver", "pending_batch", "pending_sig"))
 
 
@@ -125,7 +128,7 @@ def publish_books(s, d):
  FROM (SELECT *, status = 'creating' AND id % 4 <> 2 AND chapter_count >= 2 AND pending_batch IS NOT NULL AS u FROM st)"""))
 def rollback_books(s, d):
     b = _state(s, d)
-    asked = b.select("id", F.when(_K % 4 == 2, "replace").otherwise("append").alias("op"), F.lit(2).alias("count"), (_K % 100 * 10).alias("words"), F.when(_K % 8 == 0, "").otherwise(F.concat(F.lit("b"), _str(_K))).alias("batch"))
+    asked = b.select("id", F.when(_k() % 4 == 2, "replace").otherwise("append").alias("op"), F.lit(2).alias("count"), (_k() % 100 * 10).alias("words"), F.when(_k() % 8 == 0, "").otherwise(F.concat(F.lit("b"), _str(_k()))).alias("batch"))
     return BK.rollback(asked, b.select("id", "status", "chapter_count", "word_count", "pending_batch"))
 
 
@@ -147,7 +150,7 @@ _INSERT = """ins AS (SELECT id AS book_id, CASE WHEN id % 9 = 0 THEN 'empty' WHE
 
 
 def _inserted(s, d):
-    asked = _state(s, d).select(_K.alias("book_id"), F.when(_K % 3 == 1, "1").when(_K % 3 == 2, "none").alias("after"), F.when(_K % 9 == 0, " ").when(_K % 2 == 0, "").otherwise("In").alias("title"), F.when(_K % 9 != 0, "some text").alias("text"), F.lit("n_new").alias("new_key"))
+    asked = _state(s, d).select(_k().alias("book_id"), F.when(_k() % 3 == 1, "1").when(_k() % 3 == 2, "none").alias("after"), F.when(_k() % 9 == 0, " ").when(_k() % 2 == 0, "").otherwise("In").alias("title"), F.when(_k() % 9 != 0, "some text").alias("text"), F.lit("n_new").alias("new_key"))
     return BK.insert_chapters(asked, C.chapters(s, d), PR.latest(C.events(s, d)).select("book_id", "ch"))
 
 
@@ -168,7 +171,7 @@ def insert_progress(s, d):
 
 
 def _deleted(s, d):
-    asked = _state(s, d).select(_K.alias("book_id"), F.when(_K % 10 == 0, "none").otherwise("3").alias("key"))
+    asked = _state(s, d).select(_k().alias("book_id"), F.when(_k() % 10 == 0, "none").otherwise("3").alias("key"))
     return BK.delete_chapters(asked, C.chapters(s, d).withColumn("words", F.when(F.col("words") % 2 == 0, F.col("words"))), _bodies(s, d), PR.latest(C.events(s, d)).select("book_id", "ch"))
 
 
@@ -194,13 +197,13 @@ def delete_progress(s, d):
 @query("patch_fields", _b("SELECT id, 'T' || id AS title, CASE WHEN id % 4 = 0 THEN 'note' ELSE 'old' END AS note, CASE WHEN id % 3 = 0 THEN ['one'] ELSE tags END AS tags, 7::BIGINT AS updated_at FROM sh WHERE id % 2 = 0"))
 def patch_fields(s, d):
     b = C.books(s, d).withColumn("note", F.lit("old"))
-    p = b.where("id % 2 = 0").select("id", F.concat(F.lit("T"), _str(_K)).alias("title"), F.when(_K % 4 == 0, "note").alias("note"), F.when(_K % 3 == 0, set_tags(["one"])).alias("tags"))
+    p = b.where("id % 2 = 0").select("id", F.concat(F.lit("T"), _str(_k())).alias("title"), F.when(_k() % 4 == 0, "note").alias("note"), F.when(_k() % 3 == 0, set_tags(["one"])).alias("tags"))
     return BK.patch_fields(b, p, ("title", "note", "tags"), 7)
 
 
 @query("batch_set_tags", _b("SELECT id, CASE WHEN id % 2 = 0 THEN ['a', 'b'] ELSE [] END AS tags FROM sh"))
 def batch_set_tags(s, d):
-    return _shelf(s, d).select("id", F.when(_K % 2 == 0, set_tags(["a", "b"])).otherwise(set_tags([])).alias("tags"))
+    return _shelf(s, d).select("id", F.when(_k() % 2 == 0, set_tags(["a", "b"])).otherwise(set_tags([])).alias("tags"))
 
 
 @query("batch_plan", """WITH a AS (SELECT p_partkey AS id, p_partkey * 7919 % 10007 AS r FROM part), f AS (SELECT *, row_number() OVER (ORDER BY r) AS n, CASE WHEN id % 9 <> 0 THEN id % 4 END AS sd FROM a QUALIFY n <= 18),
@@ -209,8 +212,8 @@ def batch_set_tags(s, d):
  SELECT a.id, CASE WHEN h.id IS NULL OR late THEN 'deferred' WHEN sd IS NULL THEN 'skipped' WHEN a.id % 5 <> 0 THEN 'updated' ELSE 'skipped' END AS verdict FROM a LEFT JOIN h USING (id)""")
 def batch_plan(s, d):
     p = C.table(s, d, "part").select(F.col("p_partkey").alias("id"))
-    asked = p.select((_K * 7919 % 10007).alias("rank"), "id").union(p.select((_K * 7919 % 10007 + 20_000), "id"))
-    return BK.batch_plan(asked, p.where("id % 9 <> 0").select("id", (_K % 4).alias("shard")), p.where("id % 5 <> 0"))
+    asked = p.select((_k() * 7919 % 10007).alias("rank"), "id").union(p.select((_k() * 7919 % 10007 + 20_000), "id"))
+    return BK.batch_plan(asked, p.where("id % 9 <> 0").select("id", (_k() % 4).alias("shard")), p.where("id % 5 <> 0"))
 
 
 # ---- trash
@@ -280,14 +283,14 @@ def import_files(s, d):
 @query("shelf_progress", _b("SELECT sh.id, CASE WHEN f.id IS NOT NULL THEN CASE WHEN chapter_count > 0 AND c > chapter_count THEN chapter_count ELSE c END ELSE prog_ch END AS prog_ch, CASE WHEN f.id IS NOT NULL THEN 0.5 ELSE prog_ratio END AS prog_ratio, CASE WHEN f.id IS NOT NULL THEN 11 ELSE prog_at END AS prog_at FROM sh LEFT JOIN (SELECT id, id % 60 AS c FROM sh WHERE id % 3 = 0) f ON f.id = sh.id"))
 def shelf_progress(s, d):
     b = _shelf(s, d)
-    fresh = b.where("id % 3 = 0").select("id", (_K % 60).alias("ch"), F.lit(0.5).alias("ratio"), F.lit(11).cast("long").alias("at"))
+    fresh = b.where("id % 3 = 0").select("id", (_k() % 60).alias("ch"), F.lit(0.5).alias("ratio"), F.lit(11).cast("long").alias("at"))
     return BK.with_progress(b, fresh).select("id", "prog_ch", "prog_ratio", "prog_at")
 
 
 @query("sync_index", _b("SELECT id, 'T' || id AS title, 5::BIGINT AS word_count, pinned, prog_ch FROM sh WHERE id % 2 = 0 AND id % 3 = 0"))
 def sync_index(s, d):
     b = _shelf(s, d)
-    edited = b.where("id % 3 = 0").select("id", F.concat(F.lit("T"), _str(_K)).alias("title"), F.lit(5).cast("long").alias("word_count"))
+    edited = b.where("id % 3 = 0").select("id", F.concat(F.lit("T"), _str(_k())).alias("title"), F.lit(5).cast("long").alias("word_count"))
     return BK.sync_index(b.where("id % 2 = 0").select("id", "title", "word_count", "pinned", "prog_ch"), edited).select("id", "title", "word_count", "pinned", "prog_ch")
 
 
@@ -324,8 +327,8 @@ def index_upsert(s, d):
     p = C.table(s, d, "part").select(F.col("p_partkey").alias("id"))
     from ..operators.integrity import shard_of_rows
 
-    root = shard_of_rows(p.where("id % 2 = 0"), 20).withColumn("i", _K)
-    return LY.upsert(root, p.select("id", _K.alias("n")), 20)
+    root = shard_of_rows(p.where("id % 2 = 0"), 20).withColumn("i", _k())
+    return LY.upsert(root, p.select("id", _k().alias("n")), 20)
 
 
 @query("index_load", """SELECT p_partkey AS shard, CASE WHEN p_partkey % 4 = 0 THEN 'primary' WHEN p_partkey % 3 = 0 THEN 'backup' ELSE 'broken' END AS source, CASE WHEN p_partkey % 4 = 0 THEN ['a' || p_partkey, 'b'] WHEN p_partkey % 3 = 0 THEN ['c'] ELSE [] END AS ids FROM part""")
@@ -340,7 +343,7 @@ def index_load(s, d):
 @query("index_rebuild", "SELECT id, min(shard)::BIGINT AS shard FROM (SELECT p_partkey AS id, p_partkey % 6 AS shard FROM part WHERE p_partkey % 6 < 4 UNION ALL SELECT p_partkey, (p_partkey + 1) % 6 FROM part WHERE (p_partkey + 1) % 6 >= 4) GROUP BY 1")
 def index_rebuild(s, d):
     p = C.table(s, d, "part").select(F.col("p_partkey").alias("id"))
-    return LY.rebuild_root(p.select((_K % 6).alias("shard"), "id").where("shard < 4"), p.select(((_K + 1) % 6).alias("shard"), "id"))
+    return LY.rebuild_root(p.select((_k() % 6).alias("shard"), "id").where("shard < 4"), p.select(((_k() + 1) % 6).alias("shard"), "id"))
 
 
 _OBJ = """ob AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'meta' WHEN 1 THEN 'text' WHEN 2 THEN 'raw' ELSE 'progress' END AS prefix, o_custkey AS book_id, o_orderkey::VARCHAR AS key, o_orderkey % 1000 AS size FROM orders),
@@ -472,8 +475,8 @@ def active_records(s, d):
 @query("client_move", _b("""SELECT id, CASE WHEN sat IS NULL OR coalesce(base, -1) >= sat OR sat = 0 THEN 'ignore' WHEN p = cur AND (r IS NULL OR abs(r - coalesce(prog_ratio, 0)) <= 0.02) THEN 'stay' ELSE 'move' END AS move FROM (SELECT id, prog_at AS sat, prog_ratio, id % 3 AS cur, CASE WHEN id % 5 <> 0 THEN 0.5 END AS r,
  CASE id % 4 WHEN 0 THEN prog_at WHEN 1 THEN prog_at - 5 END AS base, greatest(0, least(greatest(0, chapter_count - 1), coalesce(nullif(prog_ch, 0), 1) - 1)) AS p FROM sh)"""))
 def client_move(s, d):
-    base = F.when(_K % 4 == 0, F.col("prog_at")).when(_K % 4 == 1, F.col("prog_at") - 5)
-    return _shelf(s, d).select("id", PR.client_move(_K % 3, F.when(_K % 5 != 0, 0.5), base, F.col("prog_ch"), F.col("prog_ratio"), F.col("prog_at"), F.col("chapter_count")).alias("move"))
+    base = F.when(_k() % 4 == 0, F.col("prog_at")).when(_k() % 4 == 1, F.col("prog_at") - 5)
+    return _shelf(s, d).select("id", PR.client_move(_k() % 3, F.when(_k() % 5 != 0, 0.5), base, F.col("prog_ch"), F.col("prog_ratio"), F.col("prog_at"), F.col("chapter_count")).alias("move"))
 
 
 @query("coalesced_writes", _e("SELECT book_id, at // 604800000 AS slot, at, seq, ch FROM ev QUALIFY row_number() OVER (PARTITION BY book_id, at // 604800000 ORDER BY at DESC, seq DESC) = 1"))
@@ -601,7 +604,7 @@ def selection_prune(s, d):
 
 @query("snapshot_sane", _s("SELECT id FROM st WHERE id % 3 <> 0 AND id % 4 <> 0"))
 def snapshot_sane(s, d):
-    b = _state(s, d).select(F.when(_K % 3 != 0, _K).alias("id"), F.when(_K % 4 == 0, "").otherwise(F.col("title")).alias("title"))
+    b = _state(s, d).select(F.when(_k() % 3 != 0, _k()).alias("id"), F.when(_k() % 4 == 0, "").otherwise(F.col("title")).alias("title"))
     return SH.sane(b).select("id")
 
 
