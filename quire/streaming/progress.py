@@ -19,22 +19,32 @@ def latest_progress(stream: DataFrame) -> DataFrame:
 
 
 def limiter_stream(stream: DataFrame, limit: int = LIMIT, lock: int = LOCK_MS, most: int = MOST_MS, window: int = WINDOW_MS) -> DataFrame:
-    """stream(user_id, at, seq, failed) -> user_id, seq, locked, until, in append mode: the batch limiter's fold, its state kept between batches, until a user has been idle for the window and any lock. Attempts are ordered within a batch."""
+    """stream(user_id, at, seq, failed) -> user_id, seq, locked, until, in append mode: the batch limiter's fold, its
+    state kept between batches. Attempts are ordered within a batch. A user's state goes with a success, and when the
+    stream's time is past the window since the last failure and any lock; attempts later than the window are dropped. The
+    stream's time begins at 0, which counts as late, so an attempt at 0 has the time 1."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # idle for the window, and no lock goes on: nothing is left to know
+        if state.hasTimedOut:
             state.remove()
             return
-        held = Limiter(limit, lock, most, window, state.get if state.exists else (0, 0, 0, 0))
+        known = state.get if state.exists else (0, 0, 0, 0)
+        if max(known[3] + window, known[1]) < state.getCurrentWatermarkMs():  # over, but this batch came before its removal
+            known = (0, 0, 0, 0)
+        held = Limiter(limit, lock, most, window, known)
         rows = pd.concat(list(frames)).sort_values(["at", "seq"])
         out = [(key[0], s, *held.attempt(a, f)) for a, s, f in rows[["at", "seq", "failed"]].itertuples(index=False)]
-        state.update(held.state())
-        state.setTimeoutDuration(max(window, held.until - held.at, 1))
+        if any(held.state()):
+            state.update(held.state())
+            state.setTimeoutTimestamp(int(max(held.at + window, held.until, state.getCurrentWatermarkMs())) + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["user_id", "seq", "locked", "until"])
 
     ship(stream.sparkSession)
-    return stream.groupBy("user_id").applyInPandasWithState(
-        run, "user_id long, seq long, locked boolean, until long", "fail long, until long, strikes long, at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withColumn("__time", F.timestamp_millis(F.col("at") + 1)).withWatermark("__time", f"{window} milliseconds")
+    return timed.groupBy("user_id").applyInPandasWithState(
+        run, "user_id long, seq long, locked boolean, until long", "fail long, until long, strikes long, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def mirror_stream(stream: DataFrame, chapters: DataFrame, done_ratio: float = 0.9) -> DataFrame:

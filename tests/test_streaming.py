@@ -33,6 +33,18 @@ def test_limiter_keeps_its_state(spark, tmp_path):
     assert streamed(spark, rows, schema, lambda s: ST.limiter_stream(s, **options), "append", tmp_path, "limiter_stream") == want
 
 
+def test_limiter_forgets_idle_users(spark, tmp_path):
+    """Locks double while a user is remembered; after a long pause the stream has forgotten the strikes, the batch fold hasn't."""
+    schema = "user_id long, at long, seq long, failed boolean"
+    hour = 3_600_000
+    rows = [(1, 1, 0, True), (2, 2, 1, True), (1, 400, 2, True), (3, 10 * hour, 3, True), (3, 10 * hour + 1, 4, True), (2, 10 * hour + 2, 5, True), (1, 20 * hour, 6, True), (2, 20 * hour, 7, False), (3, 20 * hour + 1, 8, True)]
+    options = {"limit": 1, "lock": 100, "most": 10**9, "window": 1000}
+    got = {r[1]: r[2:] for r in streamed(spark, rows, schema, lambda s: ST.limiter_stream(s, **options), "append", tmp_path, "limiter_forgets")}
+    batch = {r.seq: (r.locked, r.until) for r in PR.limiter(spark.createDataFrame(rows, schema), **options).collect()}
+    assert batch[6] == (False, 20 * hour + 400) and got[6] == (False, 20 * hour + 100) and len(got) == len(rows)
+    assert all(got[i] == batch[i] for i in (0, 1, 2, 3, 4, 7))
+
+
 def test_copy_titles(spark):
     new = spark.createDataFrame([(1, "甲"), (2, "甲"), (3, "乙"), (4, "丙"), (5, "丙"), (6, "丙（副本）")], "id long, title string")
     taken = spark.createDataFrame([("甲 ",), ("甲（副本2）",)], "title string")
