@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, clustering, decontaminate, licenses, near_dedup, quality_model, quality_rules, quotations, secrets, token_counts, token_files, vector_codes
+from . import byte_bpe, clustering, decontaminate, licenses, mixing, near_dedup, quality_model, quality_rules, quotations, secrets, token_counts, token_files, vector_codes
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_quotation_linking": quotations.op9_quotation_linking,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    "op11_source_mix": mixing.op11_source_mix,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_centroid_clusters": clustering.op13_centroid_clusters,
 }
@@ -23,6 +24,7 @@ ORACLES = {
     "op6_decontaminate": decontaminate.ORACLE,
     "op9_quotation_linking": quotations.ORACLE,
     "op10_minhash_near_dedup": near_dedup.ORACLE,
+    "op11_source_mix": mixing.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,
     "op13_centroid_clusters": clustering.ORACLE,
 }
