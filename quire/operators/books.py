@@ -22,6 +22,17 @@ def title_or_number(title: Column, number: Column) -> Column:
     return F.when(safe == "", F.concat(F.lit("第"), number.cast("string"), F.lit("章"))).otherwise(safe)
 
 
+def given_title(title: Column, number: Column) -> Column:
+    """The title that an editor gives: the chapter's number if it is blank, else what is safe of it."""
+    kept = trim_ws(F.coalesce(title, F.lit("")))
+    return F.when(kept == "", F.concat(F.lit("第"), number.cast("string"), F.lit("章"))).otherwise(safe_str(kept, 120))
+
+
+def version(clean_ver: Column) -> Column:
+    """A book's version; null and 0 count as 1."""
+    return F.coalesce(F.when(clean_ver != 0, clean_ver), F.lit(1)).cast("long")
+
+
 def clean_tags(tags: Column) -> Column:
     return F.slice(F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: safe_str(t, 30)), lambda t: t != ""), 1, TAG_MAX)
 
@@ -136,47 +147,62 @@ def _words_of(bodies: DataFrame) -> DataFrame:
     return bodies.select("book_id", "key", count_words(F.col("text")).alias("disk"))
 
 
-def patch_chapters(patches: DataFrame, chapters: DataFrame, bodies: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """patches(book_id, key, new_title, new_text), one for a chapter, null for what stays -> the chapter tables of the
-    books and (id, word_count, clean_ver). A blank title becomes the chapter's number. A chapter's words before are those
-    it has stored, else those of its body."""
-    rows = chapters.join(patches.select("book_id").distinct(), "book_id", "left_semi").join(patches.withColumn("__p", F.lit(True)), ["book_id", "key"], "left").join(_words_of(bodies), ["book_id", "key"], "left")
-    title = F.when(F.col("new_title").isNull(), F.col("title")).otherwise(title_or_number(trim_ws(F.col("new_title")), F.col("pos") + 1))
+def patch_chapters(patches: DataFrame, chapters: DataFrame, bodies: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """patches(book_id, key, new_title, new_text), one for a chapter, null for what stays -> verdicts (book_id, key,
+    verdict: no_chapter, nothing, too_large, patched), the chapter tables of the books with a patch that is taken, and their
+    (id, word_count, clean_ver). A blank title becomes the chapter's number. A chapter's words before are those it has
+    stored, else those of its body."""
+    asked = patches.join(chapters.select("book_id", "key", F.lit(True).alias("__in")).distinct(), ["book_id", "key"], "left")
+    verdict = (
+        F.when(F.col("__in").isNull(), "no_chapter").when(F.col("new_title").isNull() & F.col("new_text").isNull(), "nothing")
+        .when(F.octet_length("new_text") > CHAPTER_BYTES, "too_large").otherwise("patched"))
+    asked = asked.withColumn("verdict", verdict).drop("__in")
+    taken = asked.where("verdict = 'patched'").drop("verdict")
+    rows = chapters.join(taken.select("book_id").distinct(), "book_id", "left_semi").join(taken.withColumn("__p", F.lit(True)), ["book_id", "key"], "left").join(_words_of(bodies), ["book_id", "key"], "left")
+    title = F.when(F.col("new_title").isNull(), F.col("title")).otherwise(given_title(F.col("new_title"), F.col("pos") + 1))
     new = F.when(F.col("new_text").isNotNull(), count_words(F.col("new_text")))
     rows = rows.withColumn("new", new).withColumn("gain", F.coalesce(F.col("new") - F.coalesce("words", "disk", F.lit(0)), F.lit(0)))
     sums = rows.groupBy(F.col("book_id").alias("id")).agg(F.sum("gain").alias("gain"), F.count("__p").alias("edits"))
-    out = books.join(sums, "id").select("id", F.greatest(F.lit(0), F.coalesce("word_count", F.lit(0)) + F.col("gain")).cast("long").alias("word_count"), (F.coalesce("clean_ver", F.lit(1)) + F.col("edits")).cast("long").alias("clean_ver"))
-    return rows.select("book_id", "pos", "key", title.alias("title"), F.coalesce("new", "words").cast("long").alias("words")), out
+    out = books.join(sums, "id").select("id", F.greatest(F.lit(0), F.coalesce("word_count", F.lit(0)) + F.col("gain")).cast("long").alias("word_count"), (version(F.col("clean_ver")) + F.col("edits")).cast("long").alias("clean_ver"))
+    return asked.select("book_id", "key", "verdict"), rows.select("book_id", "pos", "key", title.alias("title"), F.coalesce("new", "words").cast("long").alias("words")), out
 
 
-def insert_chapters(requests: DataFrame, chapters: DataFrame, progress: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """requests(book_id, after, title, text, new_key), one for a book -> verdicts (empty, no_chapter, too_many,
-    inserted), the chapter tables of the books with the new chapter after the one asked for (null: at the end), and
-    their progress, moved by one where it lies behind."""
+def insert_chapters(requests: DataFrame, chapters: DataFrame, progress: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """requests(book_id, after, title, text, new_key), one for a book -> verdicts (empty, too_large, no_chapter, too_many,
+    inserted), the chapter tables of the books with the new chapter after the one asked for (null or '': at the end), their
+    progress, moved by one where it lies behind, and their (id, chapter_count, word_count, clean_ver)."""
     n = chapters.groupBy("book_id").agg(F.count("*").alias("n"))
-    at = requests.join(n, "book_id", "left").join(chapters.select("book_id", F.col("key").alias("after"), "pos"), ["book_id", "after"], "left")
-    n_ = F.coalesce("n", F.lit(0))
-    verdict = F.when((trim_ws(F.coalesce("title", F.lit(""))) == "") & (F.coalesce("text", F.lit("")) == ""), "empty").when(F.col("after").isNotNull() & F.col("pos").isNull(), "no_chapter").when(n_ >= CHAPTER_MAX, "too_many").otherwise("inserted")
-    at = at.select("book_id", verdict.alias("verdict"), F.when(F.col("after").isNull(), n_).otherwise(F.col("pos") + 1).cast("long").alias("at"), "title", "text", "new_key")
+    asked = requests.withColumn("after", F.when(F.col("after") != "", F.col("after")))
+    at = asked.join(n, "book_id", "left").join(chapters.select("book_id", F.col("key").alias("after"), "pos"), ["book_id", "after"], "left")
+    n_, text = F.coalesce("n", F.lit(0)), F.coalesce("text", F.lit(""))
+    verdict = (
+        F.when((trim_ws(F.coalesce("title", F.lit(""))) == "") & (text == ""), "empty").when(F.octet_length(text) > CHAPTER_BYTES, "too_large")
+        .when(F.col("after").isNotNull() & F.col("pos").isNull(), "no_chapter").when(n_ >= CHAPTER_MAX, "too_many").otherwise("inserted"))
+    at = at.select("book_id", verdict.alias("verdict"), F.when(F.col("after").isNull(), n_).otherwise(F.col("pos") + 1).cast("long").alias("at"), "title", count_words(text).alias("gain"), "new_key", n_.alias("n"))
     done = at.where("verdict = 'inserted'")
     moved = chapters.join(done.select("book_id", "at"), "book_id").select("book_id", (F.col("pos") + F.when(F.col("pos") >= F.col("at"), 1).otherwise(0)).cast("long").alias("pos"), "key", "title", "words")
-    new = done.select("book_id", F.col("at").alias("pos"), F.col("new_key").alias("key"), title_or_number(trim_ws(F.coalesce("title", F.lit(""))), F.col("at") + 1).alias("title"), count_words(F.col("text")).alias("words"))
+    new = done.select("book_id", F.col("at").alias("pos"), F.col("new_key").alias("key"), given_title(F.col("title"), F.col("at") + 1).alias("title"), F.col("gain").cast("long").alias("words"))
     shifted = progress.join(done.select("book_id", "at"), "book_id").select("book_id", F.when((F.col("ch") >= 1) & (F.col("ch") - 1 >= F.col("at")), F.col("ch") + 1).otherwise(F.col("ch")).cast("long").alias("ch"))
-    return at.select("book_id", "verdict", "at"), moved.unionByName(new), shifted
+    rows = books.join(done.select(F.col("book_id").alias("id"), "gain", "n"), "id").select(
+        "id", (F.col("n") + 1).cast("long").alias("chapter_count"), (F.coalesce("word_count", F.lit(0)) + F.col("gain")).cast("long").alias("word_count"), (version(F.col("clean_ver")) + 1).alias("clean_ver"))
+    return at.select("book_id", "verdict", "at"), moved.unionByName(new), shifted, rows
 
 
-def delete_chapters(requests: DataFrame, chapters: DataFrame, bodies: DataFrame, progress: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def delete_chapters(requests: DataFrame, chapters: DataFrame, bodies: DataFrame, progress: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """requests(book_id, key), one for a book -> verdicts (no_chapter, last, deleted) with the words lost, the chapter
-    tables of the books without it, and their progress, moved by one where it lies behind and kept within the table."""
+    tables of the books without it, their progress, moved by one where it lies behind and kept within the table, and
+    their (id, chapter_count, word_count, clean_ver)."""
     n = chapters.groupBy("book_id").agg(F.count("*").alias("n"))
     rows = requests.join(chapters, ["book_id", "key"], "left").join(n, "book_id", "left").join(_words_of(bodies), ["book_id", "key"], "left")
     verdict = F.when(F.col("pos").isNull(), "no_chapter").when(F.col("n") <= 1, "last").otherwise("deleted")
     rows = rows.select("book_id", verdict.alias("verdict"), F.col("pos").alias("at"), "n", F.when(verdict == "deleted", F.coalesce("words", "disk", F.lit(0))).otherwise(0).cast("long").alias("lost"))
-    done = rows.where("verdict = 'deleted'").select("book_id", "at", "n")
-    left = chapters.join(done, "book_id").where("pos <> at").select("book_id", (F.col("pos") - F.when(F.col("pos") > F.col("at"), 1).otherwise(0)).cast("long").alias("pos"), "key", "title", "words")
+    done = rows.where("verdict = 'deleted'").select("book_id", "at", "n", "lost")
+    left = chapters.join(done.select("book_id", "at"), "book_id").where("pos <> at").select("book_id", (F.col("pos") - F.when(F.col("pos") > F.col("at"), 1).otherwise(0)).cast("long").alias("pos"), "key", "title", "words")
     moved = F.least(F.when(F.col("ch") - 1 > F.col("at"), F.col("ch") - 1).otherwise(F.col("ch")), F.col("n") - 1)
     shifted = progress.join(done, "book_id").select("book_id", F.when(F.col("ch") >= 1, moved).otherwise(F.col("ch")).cast("long").alias("ch"))
-    return rows.select("book_id", "verdict", "lost"), left, shifted
+    out = books.join(done.select(F.col("book_id").alias("id"), "n", "lost"), "id").select(
+        "id", (F.col("n") - 1).cast("long").alias("chapter_count"), F.greatest(F.lit(0), F.coalesce("word_count", F.lit(0)) - F.col("lost")).cast("long").alias("word_count"), (version(F.col("clean_ver")) + 1).alias("clean_ver"))
+    return rows.select("book_id", "verdict", "lost"), left, shifted, out
 
 
 def soft_delete(ids: DataFrame, shelf: DataFrame, books: DataFrame, trash: DataFrame, now: int) -> DataFrame:

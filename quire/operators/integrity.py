@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import few
+
 
 def residue(objects: DataFrame, live: DataFrame) -> DataFrame:
     """objects(book_id, key, size) whose book is neither on the shelf nor in the trash."""
@@ -21,11 +23,30 @@ def chapter_orphans(objects: DataFrame, chapters: DataFrame, registered: DataFra
     return loose.join(registered.select("book_id", "key", F.lit(True).alias("r")).distinct(), ["book_id", "key"], "left").select("book_id", "key", F.coalesce("r", F.lit(False)).alias("known"))
 
 
-def reconcile(content: DataFrame, root: DataFrame) -> DataFrame:
-    """content(id, shard) as the shards hold it, root(id, shard) as the map says: what a shard holds wins, of several shards the lowest; a pointer to nothing goes."""
+def reconcile(content: DataFrame, root: DataFrame, shards: DataFrame | None = None, all_known: bool = True) -> DataFrame:
+    """content(id, shard) as the shards hold it, root(id, shard) as the map says -> id, shard, change: what a shard holds
+    wins (kept, added or moved), of several shards the lowest.
+
+    A pointer to nothing is dead only where that is known. shards(shard, source) says how each shard was read, as
+    load_shards() does: in one that is missing or broken nothing was looked for, so a pointer there is unknown and stays. A
+    pointer to no shard at all, or below 0, is dead, if any shard could be read. Where not all shards are known (a part
+    was opened, or more lie in the store than the root counts), nothing is dead. Without ``shards`` every one was read.
+    """
     held = content.groupBy("id").agg(F.min("shard").alias("held"))
     both = held.join(root.select("id", F.col("shard").alias("mapped")), "id", "full_outer")
-    return both.select("id", F.col("held").alias("shard"), F.when(F.col("held").isNull(), "dead").when(F.col("mapped").isNull(), "added").when(F.col("held") != F.col("mapped"), "moved").otherwise("kept").alias("change"))
+    found = F.when(F.col("mapped").isNull(), "added").when(F.col("held") != F.col("mapped"), "moved").otherwise("kept")
+    if not all_known:
+        dead = F.lit(False)
+    elif shards is None:
+        dead = F.lit(True)
+    else:
+        read = F.col("source").isin("primary", "backup")
+        health = shards.groupBy(F.col("shard").alias("mapped")).agg(F.bool_or(read).alias("read"))
+        any_read = shards.agg(F.coalesce(F.bool_or(read), F.lit(False)).alias("any_read"))
+        both = both.join(few(health), "mapped", "left").join(F.broadcast(any_read))  # any_read is one row
+        dead = F.col("any_read") & F.coalesce("read", F.lit(True))
+    lost = F.when(dead, "dead").otherwise("unknown")
+    return both.select("id", F.when(F.col("held").isNotNull(), F.col("held")).when(~dead, F.col("mapped")).alias("shard"), F.when(F.col("held").isNull(), lost).otherwise(found).alias("change"))
 
 
 def shard_of_rows(books: DataFrame, size: int = 500, ranges: int = 10_000) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import few, ship
+from .order import running
 
 #: Books of a shard, pages of a scan, chapters and bytes of one upload.
 SHARD_MAX, SHARD_CAP = 500, 40
@@ -16,13 +17,19 @@ META_PAGES, TEXT_PAGES = 3, 12
 BATCH_CHAPTERS, BATCH_BYTES, AT_ONCE = 40, 12 * 1024 * 1024, 3
 
 
+def write_index(books: DataFrame, folder: str) -> None:
+    """books(shard, id, ...) as a table in folders by shard, in order of id."""
+    books.repartition("shard").sortWithinPartitions("shard", "id").write.partitionBy("shard").parquet(folder)
+
+
 def open_index(shards: DataFrame, root: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """shards(shard, id, ...): all books, or those in the shards that the root names for some ids. With a table
-    partitioned by shard only these are read."""
+    """shards(shard, id, ...): all books, or those in the shards that the root names for some ids. Of a table that
+    write_index() has made only these shards' folders are read, unless they are more than can be broadcast; none is
+    left out. A pointer to a shard below 0 names none."""
     if ids is None:
         return shards
-    wanted = root.join(ids.select("id").distinct(), "id", "left_semi").select("shard").distinct()
-    return shards.join(F.broadcast(wanted.limit(SHARD_CAP * 25)), "shard", "left_semi")
+    wanted = root.where("shard >= 0").join(ids.select("id").distinct(), "id", "left_semi").select("shard").distinct()
+    return shards.join(few(wanted), "shard", "left_semi")
 
 
 def probe_root(root: DataFrame, cap: int = SHARD_CAP) -> DataFrame:
@@ -39,18 +46,51 @@ def upsert(root: DataFrame, new: DataFrame, size: int = SHARD_MAX) -> DataFrame:
     """root(id, shard, i), i the place within the shard; new(id, n) in order n -> id, shard after the entries are put in
     one by one: known ids stay where they are, others go to the last shard, and a shard of more than ``size`` gives its
     later half to a new one. So the first split leaves half of size + 1, rounded up, and each further one too; what a
-    place goes to follows from its number alone. Only the last shard and the new ids are numbered."""
+    place goes to follows from its number alone. Only the last shard and the new ids are numbered, in ranges."""
     last = root.agg(F.coalesce(F.max("shard"), F.lit(0)).alias("__last"))
     added = new.join(root.select("id"), "id", "left_anti").groupBy("id").agg(F.min("n").alias("i")).withColumn("late", F.lit(1))
     tail = root.join(F.broadcast(last), F.col("shard") == F.col("__last")).select("id", "i").withColumn("late", F.lit(0)).unionByName(added)
     half = (size + 2) // 2
-    place = F.row_number().over(Window.orderBy("late", "i", "id")) - 1
-    tail = tail.join(F.broadcast(last)).join(F.broadcast(tail.agg(F.count("*").alias("total")))).withColumn("place", place)
+    tail = running(tail, [F.col(c).asc() for c in ("late", "i", "id")], label="places")
+    tail = tail.join(F.broadcast(last)).join(F.broadcast(tail.agg(F.count("*").alias("total")))).withColumn("place", F.col("rank") - 1)
     splits = F.when(F.col("total") <= size, 0).otherwise(1 + F.floor((F.col("total") - size - 1) / half))
     moved = tail.select("id", (F.col("__last") + F.least(F.floor(F.col("place") / half), splits)).cast("long").alias("shard"))
     return root.join(F.broadcast(last), F.col("shard") != F.col("__last")).select("id", F.col("shard").cast("long").alias("shard")).unionByName(moved)
 
 
+def apply_log(entries: DataFrame, log: DataFrame) -> DataFrame:
+    """entries(id, entry), log(n, id, op, entry), entries as maps from field to value (strings) and op one of upsert (a whole
+    entry), patch (the fields that change) and remove -> id, entry, first (the upsert that brought the id in, null for one
+    that was there all the time), missed (patches of an id that wasn't there), as after all operations in order n.
+
+    Of an id's log the last upsert or remove counts, and the patches after it, of which each field's last value does. So
+    it is maxima, by id and by id and field, and an id of very many operations needs no task of its own. Operations of
+    one id have different n; upserts have an entry.
+    """
+    whole = log.where("op <> 'patch'").groupBy("id").agg(F.max_by(F.struct("op", "entry", "n"), "n").alias("w"), F.max(F.when(F.col("op") == "remove", F.col("n"))).alias("gone"))
+    fixed = entries.select("id", F.col("entry").alias("had")).join(whole, "id", "full_outer")
+    # an id is there from the first upsert after its last removal on, or always
+    came = log.where("op = 'upsert'").join(few(whole.select("id", "gone")), "id").where("n > coalesce(gone, n - 1)").groupBy("id").agg(F.min("n").alias("first"))
+    fixed = fixed.join(came, "id", "left")
+    base = F.when(F.col("w").isNull(), F.col("had")).when(F.col("w.op") == "upsert", F.col("w.entry"))
+    first = F.when(F.col("had").isNull() | F.col("gone").isNotNull(), F.col("first"))
+    fixed = fixed.select("id", base.alias("base"), first.alias("first"), F.coalesce("w.n", F.lit(None)).alias("since"))
+    patches = log.where("op = 'patch'").select("id", "n", "entry")
+    late = patches.join(few(fixed.select("id", "since")), "id", "left").where("since IS NULL OR n > since")
+    fields = late.select("id", "n", F.explode("entry").alias("field", "value")).groupBy("id", "field").agg(F.max_by("value", "n").alias("value"))
+    changes = fields.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("changes"))
+    out = fixed.where("base IS NOT NULL").join(changes, "id", "left").withColumn("changes", F.coalesce("changes", F.create_map().cast("map<string,string>")))
+    kept = F.map_filter("base", lambda k, _: ~F.map_contains_key(F.col("changes"), k))
+    return out.select("id", F.map_concat(kept, "changes").alias("entry"), "first")
+
+
+def place_log(root: DataFrame, applied: DataFrame, size: int = SHARD_MAX) -> DataFrame:
+    """root(id, shard, i), what apply_log() gives -> id, shard: ids that were there all the time stay where they are,
+    removed ones leave their shard, and those that came in are then placed, by the order in which they came."""
+    stayed = root.join(applied.where("first IS NULL").select("id"), "id", "left_semi")
+    return upsert(stayed, applied.where("first IS NOT NULL").select("id", F.col("first").alias("n")), size)
+
+
 def load_shards(primary: DataFrame, backup: DataFrame) -> DataFrame:
     """(shard, raw) each, raw a JSON object with books -> shard, source (primary, backup, broken, missing), ids: the
     backup stands in for a shard that is no such object."""

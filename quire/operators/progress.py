@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp_chapter
-from ..session import ship
+from .folds import folded
 
 WINDOW_MS, LOCK_MS, MOST_MS, LIMIT = 15 * 60_000, 10 * 60_000, 60 * 60_000, 5
 
@@ -36,10 +33,18 @@ def mirror_changes(events: DataFrame, chapters: DataFrame, done_ratio: float = 0
     return rows.withColumn("b", before).where("b IS NULL OR b.mch <> mch OR b.done <> done").select("book_id", "at", "seq", F.col("mch").alias("ch"), "done")
 
 
-def resume_position(local: DataFrame, server: DataFrame) -> DataFrame:
-    """The newer of two places for each book; the server's on a tie."""
-    both = local.withColumn("src", F.lit(0)).unionByName(server.withColumn("src", F.lit(1)))
-    return both.groupBy("book_id").agg(F.max_by(F.struct("ch", "ratio"), F.struct("at", "src")).alias("x")).select("book_id", "x.*")
+def resume_position(local: DataFrame, server: DataFrame, chapters: DataFrame) -> DataFrame:
+    """local and server(book_id, ch, ratio, at), chapters(book_id, n) -> book_id, cur, ratio: where a book opens. The
+    device's place counts unless the server's is strictly newer; a place without a time or a chapter counts as none, and
+    without any the book opens at its start. ch counts from 1 (0 and null as 1), cur from 0, within the book."""
+    side = lambda df, p: df.select("book_id", *[F.col(c).alias(p + c) for c in ("ch", "ratio", "at")])
+    rows = side(local, "l_").join(side(server, "s_"), "book_id", "full_outer").join(chapters.select("book_id", "n"), "book_id")
+    usable = lambda p: (F.coalesce(p + "at", F.lit(0)) != 0) & F.col(p + "ch").isNotNull()
+    theirs = usable("s_") & (F.col("s_at") > F.coalesce("l_at", F.lit(0)))
+    pick = lambda c, none: F.when(theirs, F.col("s_" + c)).when(usable("l_"), F.col("l_" + c)).otherwise(none)
+    ch = pick("ch", 1)
+    place = clamp_chapter(F.when(ch == 0, 1).otherwise(ch) - 1, F.col("n"))
+    return rows.select("book_id", place.alias("cur"), F.coalesce(pick("ratio", 0.0), F.lit(0.0)).alias("ratio"))
 
 
 class Limiter:
@@ -70,22 +75,18 @@ class Limiter:
 
 
 def limiter(attempts: DataFrame, limit: int = LIMIT, lock: int = LOCK_MS, most: int = MOST_MS, window: int = WINDOW_MS) -> DataFrame:
-    """attempts(user_id, at, seq, failed) -> user_id, seq, locked, until. An ordered fold for each user over sorted
-    rows in batches: a partition's rows stream by, so a user with very many attempts needs no more memory."""
-    ship(attempts.sparkSession)
-    rows = attempts.repartition("user_id").sortWithinPartitions("user_id", "at", "seq").select("user_id", "at", "seq", "failed")
+    """attempts(user_id, at, seq, failed) -> user_id, seq, locked, until. An ordered fold for each user, in ranges of
+    time: a user with very many attempts is many tasks' work. Strikes beyond the one with the longest lock change
+    nothing and aren't counted."""
+    enough = next((s for s in range(1, 64) if lock * 2 ** (s - 1) >= most), 64)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, state = None, Limiter(limit, lock, most, window)
-        for b in it:
-            out = []
-            for u, at, seq, failed in b.itertuples(index=False):
-                if u != user:
-                    user, state = u, Limiter(limit, lock, most, window)
-                out.append((u, seq, *state.attempt(at, failed)))
-            yield pd.DataFrame(out, columns=["user_id", "seq", "locked", "until"])
+    def step(state: tuple, at: int, failed: bool) -> tuple[tuple, tuple]:
+        held = Limiter(limit, lock, most, window, state)
+        put = held.attempt(at, bool(failed))
+        fail, until, strikes, last = held.state()
+        return (fail, until, min(strikes, enough), last), put
 
-    return rows.mapInPandas(run, "user_id long, seq long, locked boolean, until long")
+    return folded(attempts, "user_id", ["at", "seq"], ["at", "failed"], step, (0, 0, 0, 0), "locked boolean, until long", ["user_id", "seq"])
 
 
 def offline_queue(events: DataFrame) -> DataFrame:
@@ -99,42 +100,30 @@ def offline_queue(events: DataFrame) -> DataFrame:
     return rows.withColumn("at", top + F.col("i")).drop("i")
 
 
-class Place:
-    """The stored progress of one book. write() gives its verdict: written, stale, occ or cleanVer."""
-
-    def __init__(self):
-        self.at: int | None = None
-
-    def write(self, now: int, client_at: int, base_at: int | None, client_ver: int, clean_ver: int) -> str:
-        if client_at and self.at is not None and self.at > client_at:
-            return "stale"
-        if base_at is not None and (self.at or 0) > base_at:
-            return "occ"
-        if client_ver and clean_ver != client_ver:
-            return "cleanVer"
-        self.at = now
-        return "written"
+def write_verdict(held: int | None, client_at: int | None, base_at: int | None, client_ver: int | None, clean_ver: int | None) -> str:
+    """Of one write against the time held: written, stale, occ or cleanVer. clean_ver null: the book has no record."""
+    if client_at and held is not None and held > client_at:
+        return "stale"
+    if base_at is not None and (held or 0) > base_at:
+        return "occ"
+    if client_ver and clean_ver is not None and clean_ver != client_ver:
+        return "cleanVer"
+    return "written"
 
 
 def progress_writes(events: DataFrame, books: DataFrame) -> DataFrame:
     """events(book_id, seq, now, client_at, base_at, client_ver) in order of arrival, books(book_id, clean_ver) -> book_id,
     seq, verdict. client_at 0, base_at null and client_ver 0 ask for no test; a book without a record has no version to
-    differ from. The fold streams over sorted rows, so a book of very many writes needs no more memory."""
-    ship(events.sparkSession)
-    rows = events.join(books.select("book_id", "clean_ver"), "book_id", "left")
-    rows = rows.select("book_id", "seq", "now", "client_at", F.coalesce("base_at", F.lit(-1)).alias("base_at"), "client_ver", F.coalesce("clean_ver", "client_ver").alias("clean_ver"))
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        book, held = None, Place()
-        for b in it:
-            out = []
-            for k, seq, now, client_at, base_at, client_ver, clean_ver in b.itertuples(index=False):
-                if k != book:
-                    book, held = k, Place()
-                out.append((k, seq, held.write(now, client_at, None if base_at < 0 else base_at, client_ver, clean_ver)))
-            yield pd.DataFrame(out, columns=["book_id", "seq", "verdict"])
-
-    return rows.repartition("book_id").sortWithinPartitions("book_id", "seq").mapInPandas(run, "book_id long, seq long, verdict string")
+    differ from, one whose version is null or 0 has version 1. The fold runs over ranges of arrivals: a book of very many
+    writes is many tasks' work."""
+    kept = books.select("book_id", F.coalesce(F.when(F.col("clean_ver") != 0, F.col("clean_ver")), F.lit(1)).cast("long").alias("clean_ver"))
+    rows = events.join(kept, "book_id", "left")
+
+    def step(state: tuple, now: int, *asked: int | None) -> tuple[tuple, tuple]:
+        verdict = write_verdict(state[0], *asked)
+        return ((now,) if verdict == "written" else state), (verdict,)
+
+    return folded(rows, "book_id", ["seq"], ["now", "client_at", "base_at", "client_ver", "clean_ver"], step, (None,), "verdict string", ["book_id", "seq"])
 
 
 def active_records(records: DataFrame, now: int, window: int = WINDOW_MS, most: int = 5000) -> DataFrame:

@@ -25,7 +25,7 @@ def chapters(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("C"), (F.col("l_orderkey") % 50).cast("string")).alias("title"), F.col("l_quantity").cast("long").alias("words"))
 
 
-CHAPTERS = """ch AS (SELECT l_partkey AS book_id, r - 1 AS pos, r::VARCHAR AS key, 'C' || (l_orderkey % 50) AS title, l_quantity::BIGINT AS words FROM
+CHAPTERS = """ch AS MATERIALIZED (SELECT l_partkey AS book_id, r - 1 AS pos, r::VARCHAR AS key, 'C' || (l_orderkey % 50) AS title, l_quantity::BIGINT AS words FROM
  (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice) AS r FROM lineitem))"""
 
 

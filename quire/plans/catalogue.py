@@ -566,18 +566,34 @@ def mirror_changes(s, d):
     return PR.mirror_changes(C.events(s, d), n)
 
 
-@query("resume_position", _e("SELECT book_id, ch, ratio FROM ev QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY at DESC, seq % 2 DESC, seq DESC) = 1"))
+@query("resume_position", _e(f""", sv AS (SELECT * FROM ev WHERE seq % 2 = 1 QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY at DESC, seq DESC) = 1),
+ lo AS (SELECT book_id, CASE WHEN book_id % 7 = 3 THEN 0 ELSE ch END AS ch, ratio, CASE WHEN book_id % 5 = 0 THEN (SELECT at FROM sv WHERE sv.book_id = x.book_id) WHEN book_id % 11 = 1 THEN 0 ELSE at END AS at FROM (SELECT * FROM ev WHERE seq % 2 = 0 QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY at DESC, seq DESC) = 1) x),
+ bs AS (SELECT user_id AS book_id, count(*) * 3 AS n FROM events GROUP BY 1),
+ w AS (SELECT bs.book_id, n, lo.ch AS lc, lo.ratio AS lr, coalesce(lo.at, 0) AS la, sv.ch AS sc, sv.ratio AS sr, coalesce(sv.at, 0) AS sa FROM bs LEFT JOIN lo ON lo.book_id = bs.book_id LEFT JOIN sv ON sv.book_id = bs.book_id WHERE lo.book_id IS NOT NULL OR sv.book_id IS NOT NULL)
+ SELECT book_id, greatest(0, least(n - 1, CASE WHEN c = 0 THEN 1 ELSE c END - 1))::BIGINT AS cur, coalesce(r, 0) AS ratio FROM (SELECT book_id, n,
+ CASE WHEN sa > la AND sa <> 0 AND sc IS NOT NULL THEN sc WHEN la <> 0 AND lc IS NOT NULL THEN lc ELSE 1 END AS c, CASE WHEN sa > la AND sa <> 0 AND sc IS NOT NULL THEN sr WHEN la <> 0 AND lc IS NOT NULL THEN lr ELSE 0 END AS r FROM w)"""))
 def resume_position(s, d):
-    e = C.events(s, d)
-    side = lambda k: PR.latest(e.where(F.col("seq") % 2 == k)).select("book_id", "ch", "ratio", "at")
-    return PR.resume_position(side(0), side(1))
+    """Odd events are the server's; some places of the device have the server's time, some no time, some chapter 0."""
+    e, k = C.events(s, d), F.col("book_id")
+    side = lambda i: PR.latest(e.where(F.col("seq") % 2 == i)).select("book_id", "ch", "ratio", "at")
+    server = side(1)
+    local = side(0).join(server.select("book_id", F.col("at").alias("same")), "book_id", "left")
+    local = local.select("book_id", F.when(k % 7 == 3, 0).otherwise(F.col("ch")).alias("ch"), "ratio", F.when(k % 5 == 0, F.col("same")).when(k % 11 == 1, 0).otherwise(F.col("at")).alias("at"))
+    return PR.resume_position(local, server, e.groupBy("book_id").agg((F.count("*") * 3).alias("n")))
 
 
-@query("limiter")
+_LIMIT, _LOCK, _MOST, _WINDOW = 3, 2 * C.DAY, 16 * C.DAY, 5 * C.DAY
+
+
+@query("limiter", f"""WITH RECURSIVE {C.EVENTS}, a AS (SELECT book_id AS u, at, seq, coalesce(event_type = 'error', false) AS f, row_number() OVER (PARTITION BY book_id ORDER BY at, seq) AS r FROM ev),
+ x AS (SELECT u, seq, r, false AS locked, CASE WHEN f AND 1 >= {_LIMIT} THEN at + {_LOCK} ELSE 0 END::BIGINT AS until, CASE WHEN f AND 1 < {_LIMIT} THEN 1 ELSE 0 END AS n, CASE WHEN f AND 1 >= {_LIMIT} THEN 1 ELSE 0 END AS strikes, CASE WHEN f THEN at ELSE 0 END AS last FROM a WHERE r = 1
+ UNION ALL SELECT u, seq, r, locked, (CASE WHEN locked THEN was WHEN NOT f THEN 0 WHEN k >= {_LIMIT} THEN at + least({_LOCK} * pow(2, strikes), {_MOST}) ELSE 0 END)::BIGINT, CASE WHEN locked THEN n WHEN NOT f OR k >= {_LIMIT} THEN 0 ELSE k END, CASE WHEN locked THEN strikes WHEN NOT f THEN 0 WHEN k >= {_LIMIT} THEN strikes + 1 ELSE strikes END, CASE WHEN locked THEN last WHEN NOT f THEN 0 ELSE at END
+ FROM (SELECT a.u, a.seq, a.r, a.at, f, x.until AS was, x.until > a.at AS locked, n, strikes, last, CASE WHEN x.until > 0 OR a.at - last > {_WINDOW} THEN 1 ELSE n + 1 END AS k FROM x JOIN a ON a.u = x.u AND a.r = x.r + 1))
+ SELECT u AS user_id, seq, locked, until FROM x""")
 def limiter(s, d):
     """Failures are the events of type 'error', all others successes; window and lock are days, as events are hours apart."""
     a = C.events(s, d).select(F.col("book_id").alias("user_id"), "at", "seq", F.col("event_type").eqNullSafe("error").alias("failed"))
-    return PR.limiter(a, limit=3, lock=2 * C.DAY, most=16 * C.DAY, window=5 * C.DAY)
+    return PR.limiter(a, limit=_LIMIT, lock=_LOCK, most=_MOST, window=_WINDOW)
 
 
 # ---- export

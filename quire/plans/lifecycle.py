@@ -12,6 +12,7 @@ from ..operators import export as EX
 from ..operators import layout as LY
 from ..operators import progress as PR
 from ..operators import shelf as SH
+from ..operators import updates as UP
 from ..operators.edits import set_tags
 from ..sources import objects as OB
 from ..sources.encoding import candidate_pool
@@ -134,24 +135,48 @@ def rollback_books(s, d):
 
 # ---- edits
 
-@query("patch_chapters", _s(f""", {_BODIES}, e AS (SELECT ch.*, pos = 1 AND book_id % 2 = 0 AS p, CASE WHEN pos = 1 AND book_id % 2 = 0 AND book_id % 4 = 0 THEN 3 END AS nw FROM ch)
- SELECT e.book_id, sum(length(CASE WHEN p THEN CASE WHEN e.book_id % 6 = 0 THEN '第' || (pos + 1) || '章' ELSE 'New' END ELSE e.title END))::BIGINT AS titles, sum(coalesce(nw, words))::BIGINT AS words, any_value(greatest(0, word_count + g)) AS word_count, any_value(clean_ver + 1) AS clean_ver
- FROM e JOIN st ON st.id = e.book_id JOIN (SELECT book_id, sum(coalesce(nw - words, 0))::BIGINT AS g FROM e GROUP BY 1 HAVING bool_or(p)) x ON x.book_id = e.book_id GROUP BY e.book_id""".replace(" , bo AS", ", bo AS", 1)))
+_PATCH = f"""{_BODIES}, pt AS (SELECT id AS book_id, k.key, CASE WHEN id % 5 = 1 THEN NULL WHEN id % 6 = 0 THEN '  ' WHEN id % 6 = 4 THEN ' <> ' ELSE 'New' END AS nt, CASE WHEN id % 4 = 0 THEN 'a b c' END AS nx FROM st, (VALUES ('2'), ('none'), ('3')) k(key) WHERE id % 2 = 0 AND (k.key <> '3' OR id % 8 = 0)),
+ pv AS (SELECT pt.*, CASE WHEN ch.key IS NULL THEN 'no_chapter' WHEN nt IS NULL AND nx IS NULL THEN 'nothing' ELSE 'patched' END AS verdict FROM pt LEFT JOIN ch ON ch.book_id = pt.book_id AND ch.key = pt.key),
+ e AS (SELECT ch.*, v.book_id IS NOT NULL AS p, CASE WHEN nt IS NULL THEN title WHEN trim(nt) = '' THEN '第' || (pos + 1) || '章' WHEN nt = ' <> ' THEN '' ELSE nt END AS nt, CASE WHEN nx IS NOT NULL THEN 3 END AS nw FROM ch LEFT JOIN (SELECT * FROM pv WHERE verdict = 'patched') v ON v.book_id = ch.book_id AND v.key = ch.key)"""
+
+
+def _patched(s, d):
+    """Titles, texts or neither, of the second chapter, of one that isn't there and at times of the third; some versions are null or 0."""
+    keys = F.explode(F.array(*map(F.lit, ("2", "none", "3")))).alias("key")
+    asked = _state(s, d).where("id % 2 = 0").select(
+        _k().alias("book_id"), keys, F.when(_k() % 5 == 1, None).when(_k() % 6 == 0, "  ").when(_k() % 6 == 4, " <> ").otherwise("New").alias("new_title"), F.when(_k() % 4 == 0, "a b\nc").alias("new_text"))
+    return BK.patch_chapters(asked.where("key <> '3' OR book_id % 8 = 0"), C.chapters(s, d), _bodies(s, d), _odd_versions(s, d))
+
+
+def _odd_versions(s, d):
+    return _state(s, d).withColumn("clean_ver", F.when(_k() % 9 == 0, 0).when(_k() % 9 != 1, F.col("clean_ver")))
+
+
+_VER = "CASE WHEN id % 9 IN (0, 1) THEN 1 ELSE clean_ver END"
+
+
+@query("patch_verdicts", _s(f", {_PATCH} SELECT book_id, key, verdict FROM pv".replace(" , bo", ", bo", 1)))
+def patch_verdicts(s, d):
+    return _patched(s, d)[0]
+
+
+@query("patch_chapters", _s(f""", {_PATCH} SELECT e.book_id, sum(length(nt))::BIGINT AS titles, sum(coalesce(nw, words))::BIGINT AS words, any_value(greatest(0, word_count + g)) AS word_count, any_value({_VER} + k) AS clean_ver
+ FROM e JOIN st ON st.id = e.book_id JOIN (SELECT book_id, sum(coalesce(nw - words, 0))::BIGINT AS g, sum(p::INT)::BIGINT AS k FROM e GROUP BY 1 HAVING bool_or(p)) x ON x.book_id = e.book_id GROUP BY e.book_id""".replace(" , bo", ", bo", 1)))
 def patch_chapters(s, d):
-    b = F.col("book_id")
-    asked = C.chapters(s, d).where("pos = 1 AND book_id % 2 = 0").select("book_id", "key", F.when(b % 6 == 0, "  ").otherwise("New").alias("new_title"), F.when(b % 4 == 0, "a b\nc").alias("new_text"))
-    table, sums = BK.patch_chapters(asked, C.chapters(s, d), _bodies(s, d), _state(s, d))
+    _, table, sums = _patched(s, d)
     table = table.groupBy("book_id").agg(F.sum(F.length("title")).alias("titles"), F.sum("words").alias("words"))
     return table.join(sums.withColumnRenamed("id", "book_id"), "book_id")
 
 
-_INSERT = """ins AS (SELECT id AS book_id, CASE WHEN id % 9 = 0 THEN 'empty' WHEN id % 3 = 1 AND n IS NULL OR id % 3 = 2 THEN CASE WHEN id % 3 = 2 THEN 'no_chapter' ELSE 'no_chapter' END ELSE 'inserted' END AS verdict, CASE WHEN id % 3 = 0 THEN coalesce(n, 0) WHEN id % 3 = 1 AND n IS NOT NULL THEN 1 END AS a
+_INSERT = """ins AS (SELECT id AS book_id, coalesce(n, 0) AS n, word_count, clean_ver, CASE WHEN id % 9 = 0 THEN 'empty' WHEN id % 3 = 2 OR (id % 3 = 1 AND n IS NULL) THEN 'no_chapter' ELSE 'inserted' END AS verdict, CASE WHEN id % 3 = 0 THEN coalesce(n, 0) WHEN id % 3 = 1 AND n IS NOT NULL THEN 1 END AS a
  FROM st LEFT JOIN (SELECT book_id, count(*) AS n FROM ch GROUP BY 1) c ON c.book_id = id)"""
 
 
 def _inserted(s, d):
-    asked = _state(s, d).select(_k().alias("book_id"), F.when(_k() % 3 == 1, "1").when(_k() % 3 == 2, "none").alias("after"), F.when(_k() % 9 == 0, " ").when(_k() % 2 == 0, "").otherwise("In").alias("title"), F.when(_k() % 9 != 0, "some text").alias("text"), F.lit("n_new").alias("new_key"))
-    return BK.insert_chapters(asked, C.chapters(s, d), PR.latest(C.events(s, d)).select("book_id", "ch"))
+    """After the first chapter, after one that isn't there, or at the end, which null and '' mean."""
+    after = F.when(_k() % 3 == 1, "1").when(_k() % 3 == 2, "none").when(_k() % 6 == 0, "")
+    asked = _state(s, d).select(_k().alias("book_id"), after.alias("after"), F.when(_k() % 9 == 0, " ").when(_k() % 2 == 0, "").otherwise("In").alias("title"), F.when(_k() % 9 != 0, "some text").alias("text"), F.lit("n_new").alias("new_key"))
+    return BK.insert_chapters(asked, C.chapters(s, d), PR.latest(C.events(s, d)).select("book_id", "ch"), _odd_versions(s, d))
 
 
 @query("insert_verdicts", _s(f", {_INSERT} SELECT book_id, verdict, a AS \"at\" FROM ins".replace(" , ins", ", ins", 1)))
@@ -170,13 +195,18 @@ def insert_progress(s, d):
     return _inserted(s, d)[2]
 
 
+@query("insert_books", _s(f", {_INSERT} SELECT book_id AS id, n + 1 AS chapter_count, word_count + 8 AS word_count, CASE WHEN book_id % 9 IN (0, 1) THEN 1 ELSE clean_ver END + 1 AS clean_ver FROM ins WHERE verdict = 'inserted'".replace(" , ins", ", ins", 1)))
+def insert_books(s, d):
+    return _inserted(s, d)[3]
+
+
 def _deleted(s, d):
     asked = _state(s, d).select(_k().alias("book_id"), F.when(_k() % 10 == 0, "none").otherwise("3").alias("key"))
-    return BK.delete_chapters(asked, C.chapters(s, d).withColumn("words", F.when(F.col("words") % 2 == 0, F.col("words"))), _bodies(s, d), PR.latest(C.events(s, d)).select("book_id", "ch"))
+    return BK.delete_chapters(asked, C.chapters(s, d).withColumn("words", F.when(F.col("words") % 2 == 0, F.col("words"))), _bodies(s, d), PR.latest(C.events(s, d)).select("book_id", "ch"), _odd_versions(s, d))
 
 
-_DELETE = f"""{_BODIES}, del AS (SELECT id AS book_id, n, CASE WHEN id % 10 = 0 OR pos IS NULL THEN 'no_chapter' WHEN n <= 1 THEN 'last' ELSE 'deleted' END AS verdict, CASE WHEN words % 2 = 0 THEN words WHEN words % 5 <> 0 THEN length('w' || words) ELSE 0 END AS w
- FROM st LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY book_id) AS n FROM ch QUALIFY key = '3') c ON c.book_id = id)"""
+_DELETE = f"""{_BODIES}, cn AS MATERIALIZED (SELECT book_id, count(*) AS n, max(CASE WHEN pos = 2 THEN words END) AS words FROM ch GROUP BY 1),
+ del AS MATERIALIZED (SELECT id AS book_id, n, word_count, clean_ver, CASE WHEN id % 10 = 0 OR coalesce(n, 0) < 3 THEN 'no_chapter' ELSE 'deleted' END AS verdict, CASE WHEN words % 2 = 0 THEN words WHEN words % 5 <> 0 THEN length('w' || words) ELSE 0 END AS w FROM st LEFT JOIN cn ON cn.book_id = id)"""
 
 
 @query("delete_verdicts", _s(f", {_DELETE} SELECT book_id, verdict, CASE WHEN verdict = 'deleted' THEN w ELSE 0 END AS lost FROM del".replace(" , bo", ", bo", 1)))
@@ -184,7 +214,7 @@ def delete_verdicts(s, d):
     return _deleted(s, d)[0]
 
 
-@query("delete_chapters", _s(f", {_DELETE} SELECT ch.book_id, key, pos - CASE WHEN pos > 2 THEN 1 ELSE 0 END AS pos, title, CASE WHEN words % 2 = 0 THEN words END AS words FROM ch JOIN del ON del.book_id = ch.book_id AND verdict = 'deleted' WHERE pos <> 2".replace(" , bo", ", bo", 1)))
+@query("delete_chapters", _s(f", {_DELETE} SELECT ch.book_id, key, pos - CASE WHEN pos > 2 THEN 1 ELSE 0 END AS pos, title, CASE WHEN words % 2 = 0 THEN words END AS words FROM ch JOIN del ON del.book_id = ch.book_id WHERE verdict = 'deleted' AND pos <> 2".replace(" , bo", ", bo", 1)))
 def delete_chapters(s, d):
     return _deleted(s, d)[1]
 
@@ -194,6 +224,128 @@ def delete_progress(s, d):
     return _deleted(s, d)[2]
 
 
+@query("delete_books", _s(f", {_DELETE} SELECT book_id AS id, n - 1 AS chapter_count, greatest(0, word_count - w) AS word_count, CASE WHEN book_id % 9 IN (0, 1) THEN 1 ELSE clean_ver END + 1 AS clean_ver FROM del WHERE verdict = 'deleted'".replace(" , bo", ", bo", 1)))
+def delete_books(s, d):
+    return _deleted(s, d)[3]
+
+
+# ---- replace, append and publish as whole results
+
+def _orphans(s, d):
+    """Some of these keys are live again, some are beyond the table."""
+    return C.chapters(s, d).where("words % 3 = 0").select("book_id", _str(F.col("pos") + 3).alias("key"), F.col("pos").alias("i"))
+
+
+_ORPHANS = "orp AS (SELECT book_id, (pos + 3)::VARCHAR AS key, pos AS i FROM ch WHERE words % 3 = 0)"
+_LATEST = "lp AS (SELECT book_id, ch AS c, ratio, at FROM ev QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY at DESC, seq DESC) = 1)"
+
+
+def _requests(s, d):
+    """A request for three books of four; some without titles, some of books that aren't known or not on the shelf."""
+    titles = F.when(_k() % 10 != 0, F.transform(F.sequence(F.lit(0), (_k() % 40).cast("int")), lambda j: F.when(j % 13 == 12, " ").otherwise(F.concat(F.lit("C"), _str((_k() + j * 7) % 50)))))
+    b = _state(s, d).where("id % 4 <> 3")
+    return b.select(
+        "id", titles.alias("titles"), F.when(_k() % 5 == 0, "<").when(_k() % 5 == 1, F.concat(F.lit("T"), _str(_k()))).alias("new_title"), F.when(_k() % 4 == 0, "A").alias("new_author"), F.lit(None).cast("string").alias("new_note"),
+        F.when(_k() % 3 == 0, F.array(F.lit("x"), F.lit(" "))).alias("new_tags"), F.when(_k() % 2 == 0, _k() * 10 - 300).alias("new_words"), F.when(_k() % 2 == 0, F.concat(F.lit("b"), _str(_k()))).otherwise("").alias("batch"), F.lit("s0").alias("sig"))
+
+
+def _whole(s, d):
+    """The books, with what else they have."""
+    return _state(s, d).withColumns({"note": F.lit(None).cast("string"), "tags": F.array(F.lit("old")), "pinned": _k() % 10 == 0})
+
+
+_REQ = f"""{_ORPHANS}, {_LATEST}, rq AS (SELECT *, CASE WHEN id % 10 = 0 THEN 0 ELSE id % 40 + 1 END AS m FROM st WHERE id % 4 <> 3),
+ nt AS (SELECT id AS book_id, j, CASE WHEN j % 13 = 12 THEN NULL ELSE 'C' || ((id + j * 7) % 50) END AS t FROM rq, range(40) r(j) WHERE j < m),
+ fd AS (SELECT id, CASE WHEN m = 0 THEN 'no_chapters' WHEN id % 6 = 5 THEN 'not_on_shelf' WHEN id % 7 = 0 THEN 'no_book' END AS why, CASE WHEN id % 5 = 1 THEN 'T' || id ELSE title END AS title, CASE WHEN id % 4 = 0 THEN 'A' ELSE author END AS author, CASE WHEN id % 3 = 0 THEN ['x'] ELSE ['old'] END AS tags, clean_ver, word_count, m, pending_batch, pending_sig FROM rq)"""
+_REPLACE = f"""{_REQ}, ok AS MATERIALIZED (SELECT * FROM fd WHERE why IS NULL), nw AS MATERIALIZED (SELECT nt.book_id, j AS pos, (j + 1)::VARCHAR AS key, coalesce(t, '第' || (j + 1) || '章') AS title FROM nt JOIN ok ON ok.id = nt.book_id),
+ og AS (SELECT orp.* FROM orp JOIN ok ON ok.id = orp.book_id), oc AS MATERIALIZED (SELECT ch.* FROM ch JOIN ok ON ok.id = ch.book_id),
+ sw AS (SELECT book_id, key, row_number() OVER (PARTITION BY book_id ORDER BY i, key) <= 24 AS swept FROM og WHERE (book_id, key) NOT IN (SELECT (book_id, key) FROM oc UNION ALL SELECT (book_id, key) FROM nw))"""
+
+
+def _replaced(s, d):
+    b = _whole(s, d)
+    return UP.replace(_requests(s, d), b.where("id % 7 <> 0"), C.chapters(s, d), _orphans(s, d), PR.latest(C.events(s, d)).select("book_id", "ch", "ratio"), b.where("id % 6 <> 5"), 5)
+
+
+@query("replace_verdicts", _s(f", {_REPLACE} SELECT id, coalesce(why, 'replaced') AS verdict FROM fd"))
+def replace_verdicts(s, d):
+    return _replaced(s, d).verdicts
+
+
+@query("replace_books", _s(f", {_REPLACE} SELECT id, title, author, tags, CASE WHEN id % 2 = 0 THEN greatest(0, id * 10 - 300) ELSE word_count END AS word_count, clean_ver + 1 AS clean_ver, 5::BIGINT AS updated_at, 'creating' AS status FROM ok"))
+def replace_books(s, d):
+    return _replaced(s, d).books.select("id", "title", "author", "tags", "word_count", "clean_ver", "updated_at", "status")
+
+
+@query("replace_table", _s(f", {_REPLACE} SELECT book_id, pos, key, title FROM nw"))
+def replace_table(s, d):
+    return _replaced(s, d).chapters
+
+
+@query("replace_orphans", _s(f""", {_REPLACE}, lv AS (SELECT book_id, key FROM og UNION SELECT book_id, key FROM oc) SELECT book_id, key, true AS swept FROM sw WHERE swept
+ UNION ALL SELECT book_id, key, false FROM lv WHERE (book_id, key) NOT IN (SELECT (book_id, key) FROM nw) AND (book_id, key) NOT IN (SELECT (book_id, key) FROM sw WHERE swept)"""))
+def replace_orphans(s, d):
+    return _replaced(s, d).orphans
+
+
+@query("replace_progress", _s(f""", {_REPLACE}, o AS (SELECT lp.*, oc.title FROM lp JOIN ok ON ok.id = lp.book_id LEFT JOIN oc ON oc.book_id = lp.book_id AND oc.pos = c - 1),
+ t AS (SELECT o.*, (SELECT min(pos) + 1 FROM nw WHERE nw.book_id = o.book_id AND nw.title = o.title) AS goes FROM o) SELECT book_id, CASE WHEN title IS NULL THEN c WHEN goes IS NULL THEN 1 ELSE goes END AS ch, CASE WHEN title IS NOT NULL AND goes IS NULL THEN 0 ELSE ratio END AS ratio FROM t"""))
+def replace_progress(s, d):
+    return _replaced(s, d).progress
+
+
+_EXTEND = f"""{_REQ}, tp AS (SELECT book_id, max(try_cast(key AS BIGINT)) AS top FROM (SELECT book_id, key FROM ch UNION ALL SELECT book_id, key FROM orp) GROUP BY 1), cn AS (SELECT book_id, count(*) AS n FROM ch GROUP BY 1),
+ ap AS MATERIALIZED (SELECT fd.*, coalesce(n, 0) AS n, greatest(coalesce(n, 0), coalesce(top, 0)) + 1 AS start, coalesce(why, CASE WHEN id % 2 = 0 AND coalesce('b' || id = pending_batch, false) THEN CASE WHEN pending_sig = 's0' THEN 'again' ELSE 'mismatch' END ELSE 'appended' END) AS verdict FROM fd LEFT JOIN tp ON tp.book_id = id LEFT JOIN cn ON cn.book_id = id)"""
+
+
+def _extended(s, d):
+    b = _whole(s, d)
+    return UP.extend(_requests(s, d), b.where("id % 7 <> 0"), C.chapters(s, d), _orphans(s, d), b.where("id % 6 <> 5"), 5)
+
+
+@query("extend_verdicts", _s(f", {_EXTEND} SELECT id, verdict FROM ap"))
+def extend_verdicts(s, d):
+    return _extended(s, d).verdicts
+
+
+@query("extend_books", _s(f", {_EXTEND} SELECT id, title, author, tags, greatest(0, word_count + CASE WHEN id % 2 = 0 THEN id * 10 - 300 ELSE 0 END) AS word_count, clean_ver + 1 AS clean_ver, 'creating' AS status, CASE WHEN id % 2 = 0 THEN 'b' || id ELSE pending_batch END AS pending_batch FROM ap WHERE verdict = 'appended'"))
+def extend_books(s, d):
+    return _extended(s, d).books.select("id", "title", "author", "tags", "word_count", "clean_ver", "status", "pending_batch")
+
+
+@query("extend_table", _s(f", {_EXTEND} SELECT ch.book_id, pos, key, ch.title FROM ch JOIN ap ON ap.id = ch.book_id WHERE verdict = 'appended' UNION ALL SELECT nt.book_id, n + j, (start + j)::VARCHAR, coalesce(t, '第' || (start + j) || '章') FROM nt JOIN ap ON ap.id = nt.book_id WHERE verdict = 'appended'"))
+def extend_table(s, d):
+    return _extended(s, d).chapters
+
+
+_PUBLISHED = f"""{_BODIES}, {_ORPHANS}, {_LATEST}, pr AS (SELECT DISTINCT c.book_id FROM (SELECT *, count(*) OVER (PARTITION BY book_id) AS n FROM ch) c LEFT JOIN bo ON bo.book_id = c.book_id AND bo.key = c.key WHERE pos IN (0, n // 2, n - 1) AND bo.key IS NULL),
+ k AS (SELECT replace(title, ' ', '') AS k, min(id) AS lo FROM st WHERE id % 2 = 0 GROUP BY 1), cn AS (SELECT book_id, count(*) AS n FROM ch GROUP BY 1),
+ pb AS MATERIALIZED (SELECT st.*, n FROM st JOIN cn ON cn.book_id = id LEFT JOIN k ON k = replace(title, ' ', '') WHERE id % 13 <> 0 AND id % 5 <> 0 AND id NOT IN (SELECT book_id FROM pr) AND NOT (id % 2 = 1 AND lo IS NOT NULL))"""
+
+
+def _published(s, d):
+    b = _whole(s, d)
+    shelf = b.where("id % 2 = 0").select("id", "title", (_k() % 6 == 0).alias("pinned"), F.lit(2).cast("long").alias("prog_ch"), F.lit(0.25).alias("prog_ratio"), _k().alias("prog_at"))
+    progress = PR.latest(C.events(s, d)).select("book_id", F.when(F.col("book_id") % 3 != 0, F.col("ch")).alias("ch"), "ratio", "at")
+    return UP.publication(b.select("id"), b.where("id % 13 <> 0"), C.chapters(s, d), _bodies(s, d), _orphans(s, d), progress, _trash(s, d), shelf, 5)
+
+
+@query("publish_shelf", _s(f""", {_PUBLISHED} SELECT id, title, author, n AS chapter_count, word_count, clean_ver, 5::BIGINT AS updated_at, (id % 2 = 0 AND id % 6 = 0) OR id % 10 = 0 AS pinned,
+ CASE WHEN id % 3 <> 0 AND lp.book_id IS NOT NULL THEN c WHEN id % 2 = 0 THEN 2 END AS prog_ch, CASE WHEN id % 3 <> 0 AND lp.book_id IS NOT NULL THEN ratio WHEN id % 2 = 0 THEN 0.25 END AS prog_ratio, CASE WHEN id % 3 <> 0 AND lp.book_id IS NOT NULL THEN at WHEN id % 2 = 0 THEN id END AS prog_at FROM pb LEFT JOIN lp ON lp.book_id = id""".replace(" , bo", ", bo", 1)))
+def publish_shelf(s, d):
+    return _published(s, d).shelf
+
+
+@query("publish_state", _s(f", {_PUBLISHED} SELECT id, n AS chapter_count, word_count, 'ready' AS status, NULL::VARCHAR AS pending_batch FROM pb".replace(" , bo", ", bo", 1)))
+def publish_state(s, d):
+    return _published(s, d).books.select("id", "chapter_count", "word_count", "status", "pending_batch")
+
+
+@query("publish_orphans", _s(f", {_PUBLISHED} SELECT orp.book_id, key, row_number() OVER (PARTITION BY orp.book_id ORDER BY i, key) <= 24 AS swept FROM orp JOIN pb ON pb.id = orp.book_id WHERE (orp.book_id, key) NOT IN (SELECT (book_id, key) FROM ch)".replace(" , bo", ", bo", 1)))
+def publish_orphans(s, d):
+    return _published(s, d).orphans
+
+
 @query("patch_fields", _b("SELECT id, 'T' || id AS title, CASE WHEN id % 4 = 0 THEN 'note' ELSE 'old' END AS note, CASE WHEN id % 3 = 0 THEN ['one'] ELSE tags END AS tags, 7::BIGINT AS updated_at FROM sh WHERE id % 2 = 0"))
 def patch_fields(s, d):
     b = C.books(s, d).withColumn("note", F.lit("old"))
@@ -454,15 +606,18 @@ def offline_queue(s, d):
     return PR.offline_queue(e).select("device", "book_id", "at", "ch")
 
 
-@query("progress_writes", f"""WITH RECURSIVE {C.EVENTS}, w AS (SELECT book_id, seq, seq * 10 AS now, CASE WHEN seq % 3 = 0 THEN seq * 10 - seq % 7 * 4000 ELSE 0 END AS ca, CASE WHEN seq % 5 = 0 THEN greatest(0, seq * 10 - seq % 11 * 3000) END AS ba, CASE WHEN seq % 4 = 0 THEN seq % 3 + 1 ELSE 0 END AS cv, book_id % 3 + 1 AS bv,
- row_number() OVER (PARTITION BY book_id ORDER BY seq) AS r FROM ev), x AS (SELECT book_id, seq, r, CASE WHEN ca > 0 AND 0 > ca THEN 'stale' WHEN ba IS NOT NULL AND 0 > ba THEN 'occ' WHEN cv > 0 AND cv <> bv THEN 'cleanVer' ELSE 'written' END AS verdict,
- CASE WHEN cv > 0 AND cv <> bv THEN NULL::BIGINT ELSE now END AS held FROM w WHERE r = 1 UNION ALL SELECT w.book_id, w.seq, w.r, CASE WHEN ca <> 0 AND held > ca THEN 'stale' WHEN ba IS NOT NULL AND held > ba THEN 'occ' WHEN cv > 0 AND cv <> bv THEN 'cleanVer' ELSE 'written' END,
- CASE WHEN (ca <> 0 AND held > ca) OR (ba IS NOT NULL AND held > ba) OR (cv > 0 AND cv <> bv) THEN held ELSE now END FROM x JOIN w ON w.book_id = x.book_id AND w.r = x.r + 1) SELECT book_id, seq, verdict FROM x""")
+@query("progress_writes", f"""WITH RECURSIVE {C.EVENTS}, w AS (SELECT book_id, seq, seq * 10 AS now, CASE WHEN seq % 3 = 0 THEN seq * 10 - seq % 7 * 4000 ELSE 0 END AS ca, CASE WHEN seq % 5 = 0 THEN greatest(0, seq * 10 - seq % 11 * 3000) END AS ba, CASE WHEN seq % 4 = 0 THEN seq % 3 + 1 ELSE 0 END AS cv,
+ CASE WHEN book_id % 13 = 5 THEN NULL WHEN book_id % 8 IN (0, 1) THEN 1 ELSE book_id % 3 + 1 END AS bv, row_number() OVER (PARTITION BY book_id ORDER BY seq) AS r FROM ev),
+ x AS (SELECT book_id, seq, r, CASE WHEN ba IS NOT NULL AND 0 > ba THEN 'occ' WHEN cv > 0 AND bv <> cv THEN 'cleanVer' ELSE 'written' END AS verdict,
+ CASE WHEN (ba IS NOT NULL AND 0 > ba) OR (cv > 0 AND coalesce(bv <> cv, false)) THEN NULL::BIGINT ELSE now END AS held FROM w WHERE r = 1 UNION ALL SELECT w.book_id, w.seq, w.r, CASE WHEN ca <> 0 AND held > ca THEN 'stale' WHEN ba IS NOT NULL AND coalesce(held, 0) > ba THEN 'occ' WHEN cv > 0 AND bv <> cv THEN 'cleanVer' ELSE 'written' END,
+ CASE WHEN (ca <> 0 AND coalesce(held > ca, false)) OR (ba IS NOT NULL AND coalesce(held, 0) > ba) OR (cv > 0 AND coalesce(bv <> cv, false)) THEN held ELSE now END FROM x JOIN w ON w.book_id = x.book_id AND w.r = x.r + 1) SELECT book_id, seq, verdict FROM x""")
 def progress_writes(s, d):
-    q = F.col("seq")
+    """Some books have no record, some a version that is null or 0."""
+    q, k = F.col("seq"), F.col("book_id")
     e = C.events(s, d).select(
         "book_id", "seq", (q * 10).alias("now"), F.when(q % 3 == 0, q * 10 - q % 7 * 4000).otherwise(0).alias("client_at"), F.when(q % 5 == 0, F.greatest(F.lit(0), q * 10 - q % 11 * 3000)).alias("base_at"), F.when(q % 4 == 0, q % 3 + 1).otherwise(0).alias("client_ver"))
-    return PR.progress_writes(e, e.select("book_id", (F.col("book_id") % 3 + 1).alias("clean_ver")).distinct())
+    books = e.select("book_id").distinct().where(k % 13 != 5)
+    return PR.progress_writes(e, books.select("book_id", F.when(k % 8 == 1, 0).when(k % 8 != 0, k % 3 + 1).alias("clean_ver")))
 
 
 @query("active_records", "WITH r AS (SELECT c_custkey AS ip, CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 1000 END AS u, c_custkey * 700 AS a FROM customer), l AS (SELECT * FROM r WHERE u > 500000 OR a > 400000) SELECT ip FROM l WHERE u > 500000 UNION ALL (SELECT ip FROM l WHERE NOT coalesce(u > 500000, false) ORDER BY a DESC, ip LIMIT 200)")

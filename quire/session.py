@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -40,3 +41,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/quire-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most ``rows`` (narrow) rows, of which no more are looked at; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
