@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_words, norm_title, safe_str, trim_ws
+from .edits import add_tags, remove_tags, set_tags
 
 #: Limits of the library.
 CHAPTER_MAX, TAG_MAX, BULK_CHAPTERS, CHAPTER_BYTES, BULK_BYTES, BATCH_BOOKS = 20_000, 10, 40, 2_097_152, 16 * 1024 * 1024, 18
@@ -312,3 +313,27 @@ def patch_fields(books: DataFrame, patch: DataFrame, fields: tuple[str, ...], no
     """patch(id, fields): a null field keeps the book's; the time of the change is always new."""
     p = patch.select("id", *[F.col(c).alias(f"p_{c}") for c in fields])
     return books.join(p, "id").select("id", *[F.coalesce(f"p_{c}", c).alias(c) for c in fields], F.lit(now).cast("long").alias("updated_at"))
+
+
+def batch_actions(plan: DataFrame, shelf: DataFrame, trash: DataFrame, action: str, now: int, tags: tuple[str, ...] = (), finished: bool = False) -> tuple[DataFrame, DataFrame]:
+    """plan(id, verdict), shelf(id, tags, finished, updated_at, ...), trash(id, deleted_at, the shelf's columns) -> the shelf
+    and the trash after ``action`` (addTags, removeTags, setTags, setFinished, delete) on the books that the plan updates.
+    A deleted book leaves the shelf; in the trash it has the shelf's row, or a new time if it was there."""
+    given = [t for t in dict.fromkeys(tags)]
+    if action not in ("addTags", "removeTags", "setTags", "setFinished", "delete"):
+        raise ValueError("no such action")
+    if action in ("addTags", "removeTags") and not given:
+        raise ValueError("no tags")
+    hit = shelf.join(plan.where("verdict = 'updated'").select("id").distinct().withColumn("__hit", F.lit(True)), "id", "left")
+    on = F.coalesce("__hit", F.lit(False))
+    if action == "delete":
+        gone = hit.where(on).drop("__hit").withColumn("deleted_at", F.lit(now).cast("long"))
+        again = trash.join(gone.select("id", F.lit(now).cast("long").alias("__now")), "id", "left").withColumn("deleted_at", F.coalesce("__now", "deleted_at")).drop("__now")
+        return hit.where(~on).drop("__hit"), again.unionByName(gone.join(trash.select("id"), "id", "left_anti"), allowMissingColumns=True)
+    had = F.coalesce("tags", F.array().cast("array<string>"))
+    new = {
+        "addTags": lambda: add_tags(had, given), "removeTags": lambda: remove_tags(had, given), "setTags": lambda: set_tags(given), "setFinished": lambda: F.col("tags")}[action]()
+    out = hit.withColumns({"tags": F.when(on, new).otherwise(F.col("tags")), "updated_at": F.when(on, F.lit(now)).otherwise(F.col("updated_at")).cast("long")})
+    if action == "setFinished":
+        out = out.withColumn("finished", F.when(on, F.lit(finished)).otherwise(F.col("finished")))
+    return out.drop("__hit"), trash

@@ -7,28 +7,62 @@ from pyspark.sql import functions as F
 
 from ..functions.text import default_title, esc_xml
 
-MAX_CHAPTERS = 40
+#: Chapters of a book that is given as one row, and that a book may have.
+MAX_CHAPTERS, CHAPTER_MAX = 40, 20_000
 
 
-def _ordered(rows: DataFrame, block: Column, sep: str) -> DataFrame:
-    return rows.groupBy("book_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x["b"]), sep).alias("body"))
+def _ordered(rows: DataFrame, block: Column, sep: str, most: int) -> DataFrame:
+    """book_id, n, body of books of up to ``most`` chapters, which are counted before anything is gathered."""
+    n = rows.groupBy("book_id").agg(F.count("*").alias("n")).where(F.col("n") <= most)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x["b"]), sep)
+    return rows.join(n, "book_id").groupBy("book_id", "n").agg(body.alias("body"))
 
 
-def export_text(books: DataFrame, rows: DataFrame, most: int = MAX_CHAPTERS) -> DataFrame:
-    """books(book_id, title, author, word_count), rows(book_id, pos, title, text) -> book_id, content, of books of up to ``most`` chapters."""
-    blocks = _ordered(rows, F.concat(F.lit("\n"), "title", F.lit("\n\n"), F.coalesce("text", F.lit(""))), "").where(F.col("n") <= most)
+def _head(n: Column) -> Column:
     author = F.when(F.coalesce("author", F.lit("")) != "", F.concat(F.lit("作者："), "author", F.lit("\n"))).otherwise("")
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("未命名"))
-    head = F.concat(title, F.lit("\n"), author, F.lit("共 "), F.col("n").cast("string"), F.lit(" 章 · "), F.coalesce("word_count", F.lit(0)).cast("string"), F.lit(" 字\n\n"))
-    return books.join(blocks, "book_id").select("book_id", F.concat(head, "body", F.lit("\n")).alias("content"))
+    return F.concat(title, F.lit("\n"), author, F.lit("共 "), n.cast("string"), F.lit(" 章 · "), F.coalesce("word_count", F.lit(0)).cast("string"), F.lit(" 字\n\n"))
+
 
+def _plain_head() -> Column:
+    return F.concat("title", F.when(F.coalesce("author", F.lit("")) != "", F.concat(F.lit("　作者："), "author")).otherwise(""), F.lit("\n\n"))
 
-def export_text_plain(books: DataFrame, rows: DataFrame) -> DataFrame:
-    """The second layout, of books of any size; chapters without a text are empty and counted."""
+
+def export_text(books: DataFrame, rows: DataFrame, most: int = MAX_CHAPTERS) -> DataFrame:
+    """books(book_id, title, author, word_count), rows(book_id, pos, title, text) -> book_id, content, of books of up to ``most`` chapters."""
+    blocks = _ordered(rows, F.concat(F.lit("\n"), "title", F.lit("\n\n"), F.coalesce("text", F.lit(""))), "", most)
+    return books.join(blocks, "book_id").select("book_id", F.concat(_head(F.col("n")), "body", F.lit("\n")).alias("content"))
+
+
+def export_text_plain(books: DataFrame, rows: DataFrame, most: int = CHAPTER_MAX) -> DataFrame:
+    """The second layout, of books of up to ``most`` chapters, as many as a book may have; chapters without a text are
+    empty and counted. A book is one row: where its texts are too long for that, take export_parts()."""
     block = F.concat(default_title(F.col("title"), F.col("pos") + 1), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
-    blocks = _ordered(rows, block, "\n").join(rows.groupBy("book_id").agg(F.count_if(F.col("text").isNull()).alias("missing")), "book_id")
-    head = F.concat("title", F.when(F.coalesce("author", F.lit("")) != "", F.concat(F.lit("　作者："), "author")).otherwise(""), F.lit("\n\n"))
-    return books.join(blocks, "book_id").select("book_id", F.concat(head, "body").alias("content"), "missing")
+    blocks = _ordered(rows, block, "\n", most).join(rows.groupBy("book_id").agg(F.count_if(F.col("text").isNull()).alias("missing")), "book_id")
+    return books.join(blocks, "book_id").select("book_id", F.concat(_plain_head(), "body").alias("content"), "missing")
+
+
+def export_parts(books: DataFrame, rows: DataFrame, folder: str, plain: bool = False) -> None:
+    """Books of any size as text files under ``folder``, in a folder for each book: its files, in order of their names, are
+    its text in the layout of export_text() or, if ``plain``, export_text_plain().
+
+    A head or a chapter is a row. Rows are dealt to ranges of book and place and sorted within, so a book may be many
+    tasks' work and no task holds more than a row and its sort's buffers. A line feed follows each row, which the
+    layouts allow for: it is the one between two chapters and at the end.
+    """
+    n = rows.groupBy("book_id").agg(F.count("*").alias("__n"))
+    text = F.coalesce("text", F.lit(""))
+    if plain:
+        last = F.when(F.col("pos") + 1 < F.col("__n"), "\n").otherwise("")
+        block = F.concat(default_title(F.col("title"), F.col("pos") + 1), F.lit("\n\n"), text, last)
+        head = F.expr("left(__h, length(__h) - 1)")
+    else:
+        block, head = F.concat("title", F.lit("\n\n"), text), F.col("__h")
+    heads = books.join(n, "book_id").withColumn("__h", _plain_head() if plain else _head(F.col("__n"))).select("book_id", F.lit(-1).cast("long").alias("pos"), head.alias("value"))
+    chapters = rows.join(n, "book_id").join(books.select("book_id").distinct(), "book_id", "left_semi").select("book_id", F.col("pos").cast("long").alias("pos"), block.alias("value"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = heads.unionByName(chapters).repartitionByRange(parts, "book_id", "pos").sortWithinPartitions("book_id", "pos")
+    ordered.select("book_id", "value").write.partitionBy("book_id").text(folder)
 
 
 def feed_entries(page: DataFrame) -> DataFrame:

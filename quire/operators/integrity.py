@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import few
+from .order import running
 
 
 def residue(objects: DataFrame, live: DataFrame) -> DataFrame:
@@ -49,16 +50,9 @@ def reconcile(content: DataFrame, root: DataFrame, shards: DataFrame | None = No
     return both.select("id", F.when(F.col("held").isNotNull(), F.col("held")).when(~dead, F.col("mapped")).alias("shard"), F.when(F.col("held").isNull(), lost).otherwise(found).alias("change"))
 
 
-def shard_of_rows(books: DataFrame, size: int = 500, ranges: int = 10_000) -> DataFrame:
-    """Even shards in order of id. Positions come from counts of id ranges of one width, at most about ``ranges`` of them
-    however sparse ids are, so no task sees all rows unless all ids lie close together: rows are numbered within ranges,
-    and ranges by sums over their counts."""
-    ends = books.agg(F.min("id").alias("__lo"), F.greatest(F.lit(1), F.floor((F.max("id") - F.min("id")) / ranges) + 1).alias("__w"))
-    ranged = books.select("id").join(F.broadcast(ends)).select("id", F.floor((F.col("id") - F.col("__lo")) / F.col("__w")).alias("__r"))  # one row joins each
-    counts = ranged.groupBy("__r").agg(F.count("*").alias("__n"))
-    before = counts.select("__r", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    numbered = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__r").orderBy("id")))
-    return numbered.join(F.broadcast(before), "__r").select("id", F.floor((F.col("__b") + F.col("__i") - 1) / size).cast("long").alias("shard"))
+def shard_of_rows(books: DataFrame, size: int = 500) -> DataFrame:
+    """Even shards in order of id, numbered in ranges of ids."""
+    return running(books.select("id"), [F.col("id").asc()], label="shards").select("id", F.floor((F.col("rank") - 1) / size).cast("long").alias("shard"))
 
 
 def purgeable(asked: DataFrame, chapters: DataFrame, live: DataFrame) -> DataFrame:

@@ -146,3 +146,27 @@ def coalesced(events: DataFrame, every: int = 8000) -> DataFrame:
     """events(book_id, at, seq, ch, ratio): the last of each book in each interval, which is what is sent."""
     slot = F.floor(F.col("at") / every)
     return events.groupBy("book_id", slot.alias("slot")).agg(F.max_by(F.struct("at", "seq", "ch", "ratio"), F.struct("at", "seq")).alias("x")).select("book_id", "slot", "x.*")
+
+
+def throttle_step(every: int):
+    """The fold of throttled(): state (end of the window, whether it holds a place); for a place whether it is sent at
+    once, and else the time at which its window ends."""
+
+    def step(state: tuple, at: int) -> tuple[tuple, tuple]:
+        until, held = state
+        if until is not None and held and until <= at < until + every:
+            until += every  # the held place was sent, which opened the next window
+        elif until is None or at >= until:
+            return (at + every, 0), (True, at)
+        return (until, 1), (False, until)
+
+    return step
+
+
+def throttled(events: DataFrame, every: int = 8000) -> DataFrame:
+    """events(book_id, at, seq, ch, ratio) -> book_id, sent, ch, ratio: what is sent of each book's places. A place is sent
+    at once and opens a window; of those within the window the last is sent at its end, which opens the next one. A fold
+    over ranges of time finds the windows, maxima their last places."""
+    rows = folded(events, "book_id", ["at", "seq"], ["at"], throttle_step(every), (None, 0), "now boolean, sent long", ["book_id", "at", "seq", "ch", "ratio"])
+    held = rows.where("NOT now").groupBy("book_id", "sent").agg(F.max_by(F.struct("ch", "ratio"), F.struct("at", "seq")).alias("x"))
+    return rows.where("now").select("book_id", "sent", "ch", "ratio").unionByName(held.select("book_id", "sent", "x.*"))

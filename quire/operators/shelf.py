@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, read_state
+from .order import running
 
 #: Column and whether it falls.
 ORDERS = {"recent": ("recent", True), "updated": ("updated_at", True), "created": ("created_at", True), "words": ("word_count", True), "title": ("title", False)}
@@ -47,10 +48,23 @@ def order_of(key: str) -> list[Column]:
     return [F.desc("pinned"), F.desc(column) if falls else F.asc(column), F.asc("id")]
 
 
+#: A rank up to this is given in one task, after a limit in every task; deeper ones in ranges of the order.
+AT_ONCE = 10_000
+
+
+def between(df: DataFrame, order: list[Column], after: int, upto: int, at_once: int = AT_ONCE) -> DataFrame:
+    """df's rows of the ranks after ``after`` up to ``upto``, with rank. The order has to be total."""
+    if upto <= at_once:
+        first = df.orderBy(*order).limit(upto)
+        ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    else:
+        ranked = running(df, order, label="ranks").withColumn("rank", F.col("rank").cast("long"))
+    return ranked.where((F.col("rank") > after) & (F.col("rank") <= upto))
+
+
 def top(df: DataFrame, key: str, n: int, *columns: str) -> DataFrame:
-    """The first n rows with their rank. The limit comes before the rank, so each task keeps n rows and one task ranks n."""
-    first = df.orderBy(*order_of(key)).limit(n)
-    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order_of(key))).cast("long")).select("rank", *columns)
+    """The first n rows with their rank."""
+    return between(df, order_of(key), 0, n).select("rank", *columns)
 
 
 def continue_reading(df: DataFrame, n: int = 3) -> DataFrame:
@@ -75,14 +89,16 @@ def totals(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("books"), F.sum("word_count").alias("words"))
 
 
-def feed_page(df: DataFrame, page: int, size: int = 100) -> DataFrame:
+LAST_PAGE = 10_000
+
+
+def feed_page(df: DataFrame, page: int, size: int = 100, at_once: int = AT_ONCE) -> DataFrame:
     """One page by the time of the last change, with flags for its neighbours and the newest time of the whole library."""
-    page = min(max(page, 1), 10000)
+    page = min(max(page, 1), LAST_PAGE)
     at = F.coalesce(F.when(F.col("updated_at") > 0, F.col("updated_at")), F.col("created_at"))
     rows = df.withColumn("at", at)
     whole = rows.agg(F.count("*").alias("__n"), F.max("at").alias("newest"))
-    first = rows.orderBy(F.desc("at"), "id").limit(page * size)
-    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("at"), "id")).cast("long")).where(F.col("rank") > (page - 1) * size)
+    ranked = between(rows, [F.desc("at"), F.asc("id")], (page - 1) * size, page * size, at_once)
     # one row joins each row of the page
     return ranked.join(F.broadcast(whole)).select("rank", "id", "at", "newest", F.lit(page > 1).alias("has_previous"), (F.col("__n") > page * size).alias("has_next"))
 
@@ -107,12 +123,12 @@ def titles_in_chinese(df: DataFrame, n: int) -> DataFrame:
 
 
 def tag_list(df: DataFrame) -> DataFrame:
-    """All tags with their numbers, and the number of all tags: the most frequent first, equals by collation. The rank
-    comes from one task, which sees a row for each tag."""
+    """All tags with their numbers, and the number of all tags: the most frequent first, equals by collation. Ranks are
+    given in ranges of this order."""
     counts = tag_counts(df)
     total = counts.agg(F.count("*").alias("total"))
-    keys = [F.desc("n"), in_chinese(F.col("tag")).asc(), F.asc("tag")]
-    return counts.join(F.broadcast(total)).withColumn("rank", F.row_number().over(Window.orderBy(*keys)).cast("long"))  # total is one row
+    ranked = running(counts.withColumn("__zh", in_chinese(F.col("tag"))), [F.desc("n"), F.asc("__zh"), F.asc("tag")], label="tags").drop("__zh")
+    return ranked.join(F.broadcast(total)).withColumn("rank", F.col("rank").cast("long"))  # total is one row
 
 
 def tag_cloud(df: DataFrame, selected: str | None = None, shown: int = 6, most: int = 12) -> DataFrame:
@@ -122,10 +138,10 @@ def tag_cloud(df: DataFrame, selected: str | None = None, shown: int = 6, most:
     return top.where(keep).withColumn("place", F.when(F.col("rank") > shown, 0).otherwise(F.col("rank")).cast("long"))
 
 
-def pages(df: DataFrame, key: str, page: int, size: int = 60, *columns: str) -> DataFrame:
+def pages(df: DataFrame, key: str, page: int, size: int = 60, *columns: str, at_once: int = AT_ONCE) -> DataFrame:
     """The first ``page`` pages; no more pages than there are, one at least."""
     n = df.count()
-    return top(df, key, max(1, min(page, -(-n // size))) * size, *columns)
+    return between(df, order_of(key), 0, max(1, min(page, -(-n // size))) * size, at_once).select("rank", *columns)
 
 
 def toc(chapters: DataFrame, places: DataFrame, loaded: int = 0, size: int = 50) -> DataFrame:
