@@ -207,7 +207,11 @@ for _n in ("newlines", "zero_width", "ref_marks", "markdown", "garbled"):
     _ALL = _SQL[_n](_ALL)
 
 
-@query("clean_all", _sql_digest("array_to_string(list_filter(" + _JOINED.format(t=_ALL, lines=_LINES) + f", lambda k: k <> '' AND NOT {_ads_sql('k')}), chr(10))"))
+#: A text cleaned with the defaults, as SQL over a column ``text``.
+CLEANED = "array_to_string(list_filter(" + _JOINED.format(t=_ALL, lines=_LINES) + f", lambda k: k <> '' AND NOT {_ads_sql('k')}), chr(10))"
+
+
+@query("clean_all", _sql_digest(CLEANED))
 def clean_all(s, d):
     return C.raw_texts(s, d).select(*_digest(CL.clean_text(F.col("text"))))
 

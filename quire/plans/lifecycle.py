@@ -17,7 +17,7 @@ from ..operators.edits import set_tags
 from ..sources import objects as OB
 from ..sources.encoding import candidate_pool
 from . import carriers as C
-from .catalogue import _b, _ch, _e, _shelf, query
+from .catalogue import CLEANED, _b, _ch, _e, _shelf, query
 
 
 def _k() -> Column:
@@ -589,11 +589,11 @@ def encoding_candidates(s, d):
     return C.table(s, d, "conversations").select("conv_id", "turn", F.explode(candidate_pool(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("c")).select("conv_id", "turn", "c.encoding", "c.score")
 
 
-@query("reclean", "SELECT doc_id, false AS changed FROM documents")
+@query("reclean", f"WITH {C.RAW}, once AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {CLEANED} ELSE text END AS text FROM raw) SELECT doc_id, md5({CLEANED}) AS digest, {CLEANED} <> text AS changed FROM once")
 def reclean(s, d):
-    """What has been cleaned stays as it is when it is cleaned again, as no rule leaves work for itself here."""
-    once = C.raw_texts(s, d).select("doc_id", CL.clean_text(CL.clean_text(F.col("text"))).alias("text"))
-    return once.select("doc_id", CL.recleaned(F.col("text"))["changed"].alias("changed"))
+    """Texts that have been cleaned, and others, are cleaned again."""
+    once = C.raw_texts(s, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, CL.clean_text(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    return once.select("doc_id", CL.recleaned(F.col("text")).alias("x")).select("doc_id", F.md5("x.text").alias("digest"), "x.changed")
 
 
 # ---- progress
@@ -763,9 +763,11 @@ def snapshot_sane(s, d):
     return SH.sane(b).select("id")
 
 
-@query("readable_books", _s("SELECT id FROM st WHERE status = 'ready'"))
+@query("readable_books", _s("SELECT id, title, clean_ver, false AS has_orphans FROM st WHERE status = 'ready'"))
 def readable_books(s, d):
-    return SH.book_view(SH.readable(_state(s, d).withColumn("orphans", F.array()))).select("id")
+    """has_orphans: whether what only upkeep needs is still there."""
+    view = SH.book_view(SH.readable(_state(s, d).withColumn("orphans", F.array(F.lit("9")))))
+    return view.select("id", "title", "clean_ver", F.lit("orphans" in view.columns).alias("has_orphans"))
 
 
 @query("page_quota", "SELECT p_partkey AS id, least(3, r) AS meta, CASE WHEN r >= 10 THEN 3 ELSE greatest(0, (r - least(3, r) - 1) // 2) END AS side, greatest(CASE WHEN r > 3 THEN 1 ELSE 0 END, least(12, r - least(3, r) - 2 * CASE WHEN r >= 10 THEN 3 ELSE greatest(0, (r - least(3, r) - 1) // 2) END)) AS text FROM (SELECT p_partkey, p_partkey % 48 AS r FROM part)")
