@@ -238,5 +238,6 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document."""
+    """The token ids of each document: doc_id, n_tokens, ids, decoded_sha256. A null or empty text has no ids, one of any
+    length is encoded whole, repeated rows give repeated results, an empty table none; other columns are not read."""
     return token_ids(docs)

@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship, spread
+from ..session import shared_dir, ship, spread
 
 #: Rows of an Arrow batch; documents may be long, so batches stay small.
 BATCH_ROWS = 1024
 #: A side of at most so many (narrow) rows may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 100_000
-#: Folders written since finished() was entered, innermost last.
-_open: list[list[str]] = []
+#: The folders written since finished() was entered, if it was: of each thread's own.
+_open: ContextVar[list[str] | None] = ContextVar("quire_open", default=None)
 #: The C library's call that returns freed memory to the system, where it has one.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -35,41 +35,48 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only a local session gets one of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="quire-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    held = _open.get()
+    if held is not None:
+        held.append(path)
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def finished(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
-    """make()'s result, written in full; the folders that make() wrote on the way are deleted."""
-    _open.append([])
+    """make()'s result, written in full; the folders that make() wrote on the way, in this thread, are deleted."""
+    outer, inner = _open.get(), []
+    token = _open.set(inner)
     try:
         out = stored(make(), label)
     finally:
-        *passed, kept = _open.pop() or [""]
-    if _open:
-        _open[-1].append(kept)
+        _open.reset(token)
+    *passed, kept = inner
+    if outer is not None:
+        outer.append(kept)
     for path in passed:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(spark, path)
     return out
 
 
+def apart(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with any column of these names renamed, and what gives a result its columns, in docs' order and by docs' names."""
+    clash = [c for c in docs.columns if c.lower() in names]
+    new = {}
+    for c in clash:
+        free = c + "_"
+        while free.lower() in {x.lower() for x in (*docs.columns, *names, *new.values())}:
+            free += "_"
+        new[c] = free
+    columns = docs.columns
+    return docs.withColumnsRenamed(new), lambda out: out.withColumnsRenamed({v: k for k, v in new.items()}).select(*columns)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession

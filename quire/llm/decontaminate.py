@@ -3,25 +3,29 @@ weighted-shingle similarity.
 
 A window of a document has as many words as the item (all of a shorter document). Its similarity with the item is
 that of their multisets of word shingles: sum of least counts over sum of largest counts. Windows that could reach
-the threshold share most shingles with the item, so windows are laid only where enough of the item's shingles lie
-close enough together; that loses none (see _starts). What remains goes by fingerprint: RADIUS + 1 blocks of bits, so
-that two fingerprints within RADIUS agree in one block at least. A window is held against the items it was laid for,
-never against all items. Texts are named by 128 bits of their hash, so what many rows share is looked at once, and a
-row without a doc_id is like any other.
+the threshold share most shingles with the item; so a text that holds such a window has one at least of the item's
+rarest shingles, however few these may be as long as the rest alone can't reach it (see _rare), and windows are laid
+only where enough of the item's shingles lie close enough together (see _starts). Neither loses any. Windows of long
+items then go by fingerprint: RADIUS + 1 blocks of bits, so that two fingerprints within RADIUS agree in one block at
+least; those of short items, whose fingerprints vary too much, are all compared exactly. A window is held against the
+items it was laid for, never against all items, and a shingle that very many texts or items share makes no pairs of
+them. Texts are named by 128 bits of their hash, so what many rows share is looked at once, and a row without a doc_id
+is like any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import finished, small, spread, stored, table
+from .common import apart, finished, small, spread, stored, table
 
 WORDS, PERCENT = 5, 80
 #: The columns that name a text.
 _TEXT = ("t", "u")
-#: A window of similarity 0.8 or more differs from the item in 10 of 64 bits on average and with a deviation of 3; more than 24 in one of ten million.
-RADIUS = 24
+#: A window of similarity 0.8 differs from an item of so many shingles or more in 10 of 64 bits on average and with a
+#: deviation of 3, by the angle between two such sums; in more than RADIUS bits once in 10**10 times.
+LONG, RADIUS = 40, 31
 _WS = " \t\n\x0b\f\r"
 _WS_RUN = "[\\x20\\x09-\\x0D]+"
 
@@ -116,28 +120,45 @@ def _contaminated_texts(docs: DataFrame, benchmark: DataFrame, words: int, perce
     return out.groupBy(*_TEXT, "item_id").agg(F.max("similarity").alias("similarity"))
 
 
+def _rare(of_item: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """of_item(v, k, h, times), counts(h, c) -> h, v: of each item's shingles the rarest in the documents, as many as a
+    text can't be without. A window shares at least ``percent`` % of the item's k shingles, each as often as it is there;
+    so it has one of any k - that + 1."""
+    spare = F.col("k") - F.ceil(percent * F.col("k") / 100)
+    earlier = F.sum("times").over(Window.partitionBy("v").orderBy(F.coalesce("c", F.lit(0)), "h").rowsBetween(Window.unboundedPreceding, -1))
+    return of_item.join(small(counts), "h", "left").withColumn("earlier", F.coalesce(earlier, F.lit(0))).where(F.col("earlier") <= spare).select("h", "v")
+
+
 def _with_items(docs: DataFrame, items: DataFrame, length: int, percent: int) -> DataFrame:
-    items = stored(_shingled(items, length).select("item_id", "m", F.size("sh").alias("k"), F.col("sh").alias("sh"), F.xxhash64("text").alias("v")), "item-shingles")
-    of_item = items.select("item_id", "v", "m", "k", F.explode(F.array_distinct("sh")).alias("h"))
-    of_item = small(of_item)
+    items = items.select("item_id", F.xxhash64("text").alias("v"), "text")
+    ids = items.select("item_id", "v")
+    items = stored(_shingled(items.dropDuplicates(["v"]), length).select("v", "n", "sh").select("v", F.col("n").alias("m"), F.size("sh").alias("k"), "sh"), "item-shingles")
+    of_item = stored(items.select("v", "m", "k", F.explode("sh").alias("h")).groupBy("v", "m", "k", "h").agg(F.count("*").alias("times")), "of-items")
     places = _shingled(docs, length).select(*_TEXT, "n", F.posexplode("sh").alias("pos", "h"))
-    hits = places.join(of_item, "h").groupBy(*_TEXT, "n", "item_id", "v", "m", "k").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
+    # all that any item shares with the texts: a row for each such place, however many items have the shingle
+    places = stored(places.join(small(of_item.select("h").distinct()), "h", "left_semi").distinct(), "places")
+    rare = _rare(of_item, places.groupBy("h").agg(F.count("*").alias("c")), percent)
+    asked = stored(places.join(small(rare), "h").select(*_TEXT, "v").distinct(), "asked")
+    hits = asked.join(small(of_item), "v").join(places, [*_TEXT, "h"]).groupBy(*_TEXT, "n", "v", "m", "k").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
     need, starts = _starts(percent)
     hits = hits.withColumn("kd", F.least("k", F.col("n") - (length - 1))).withColumn("need", need).where("size(hits) >= need")
-    laid = stored(hits.select(*_TEXT, "item_id", "v", "m", "kd", F.explode(starts).alias("s")), "laid")
+    laid = stored(hits.select(*_TEXT, "v", "m", "k", "kd", F.explode(starts).alias("s")), "laid")
     if laid.isEmpty():
-        return laid.select(*_TEXT, "item_id", F.lit(0.0).alias("similarity"))
+        return laid.select(*_TEXT, F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"))
     again = _shingled(docs.join(small(laid.select(*_TEXT).distinct()), list(_TEXT), "left_semi").dropDuplicates(list(_TEXT)), length)
     windows = laid.select(*_TEXT, "m", "kd", "s").distinct()
     windows = stored(again.select(*_TEXT, "sh").join(windows, list(_TEXT)).select(*_TEXT, "m", "s", F.expr("slice(sh, s + 1, kd)").alias("sh")), "windows")
-    asked = laid.select(*_TEXT, "m", "s", "item_id", "v").join(_fingerprint(windows, *_TEXT, "m", "s"), [*_TEXT, "m", "s"])
-    of_items = _fingerprint(items, "item_id", "v").select("item_id", "v", F.col("fp").alias("item_fp"), _blocks().alias("b")).select("item_id", "v", "item_fp", "b.*")
-    near = asked.select("*", _blocks().alias("b")).select(*_TEXT, "m", "s", "item_id", "v", "fp", "b.*").join(small(of_items), ["item_id", "v", "block", "value"])
-    near = stored(near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*_TEXT, "m", "s", "item_id", "v").distinct(), "near")
-    both = near.join(windows, [*_TEXT, "m", "s"]).join(small(items.select("item_id", "v", F.col("sh").alias("item_sh")), cells="size(item_sh)"), ["item_id", "v"])
-    shared = both.select(*_TEXT, "item_id", _common().alias("c"), (F.size("sh") + F.size("item_sh")).alias("all"))
-    return shared.where(100 * F.col("c") >= percent * (F.col("all") - F.col("c"))).select(
-        *_TEXT, "item_id", (F.col("c") / (F.col("all") - F.col("c"))).alias("similarity"))
+    pair = [*_TEXT, "m", "s", "v"]
+    long = laid.where(F.col("k") >= LONG).select(*pair)
+    prints = _fingerprint(windows.join(long.select(*_TEXT, "m", "s").distinct(), [*_TEXT, "m", "s"], "left_semi"), *_TEXT, "m", "s")
+    of_items = _fingerprint(items.where(F.col("k") >= LONG), "v").select("v", F.col("fp").alias("item_fp"), _blocks().alias("b")).select("v", "item_fp", "b.*")
+    near = long.join(prints, [*_TEXT, "m", "s"]).select("*", _blocks().alias("b")).select(*pair, "fp", "b.*").join(small(of_items), ["v", "block", "value"])
+    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*pair).distinct()
+    near = stored(near.unionByName(laid.where(F.col("k") < LONG).select(*pair)), "near")
+    both = near.join(windows, [*_TEXT, "m", "s"]).join(small(items.select("v", F.col("sh").alias("item_sh")), cells="size(item_sh)"), "v")
+    shared = both.select(*_TEXT, "v", _common().alias("c"), (F.size("sh") + F.size("item_sh")).alias("all"))
+    found = shared.where(100 * F.col("c") >= percent * (F.col("all") - F.col("c"))).groupBy(*_TEXT, "v").agg(F.max(F.col("c") / (F.col("all") - F.col("c"))).alias("similarity"))
+    return found.join(small(ids), "v").select(*_TEXT, "item_id", "similarity")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,10 +166,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds a benchmark item go, whatever their doc_id."""
+    """Rows whose text holds a benchmark item go, whatever their doc_id. Null, empty and wordless texts hold none and stay,
+    texts of any length are looked at whole, and columns of any name stay as they are."""
+    docs, back = apart(docs, "__t", "__u")
     bad = contaminated_texts(docs, table(spark, sf_dir, "benchmark")).select(*[F.col(c).alias(f"__{c}") for c in _TEXT]).distinct()
     t, u = _named("text")
-    return docs.join(small(bad), (t == F.col("__t")) & (u == F.col("__u")), "left_anti")
+    return back(docs.join(small(bad), (t == F.col("__t")) & (u == F.col("__u")), "left_anti"))
 
 
 ORACLE = rf"""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, each, finished, merged, spread, stored, table, tune
+from .common import apart, batches, each, finished, merged, spread, stored, table, tune
 from .graph import components
 from .shingles import _PLACE, mix, shingle_sets
 
@@ -241,10 +241,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, 0.8) stays: the one with the least doc_id. Rows with
-    a null doc_id all stay, as rows of their own that are compared with nothing; a doc_id should name one text."""
+    a null doc_id all stay, as rows of their own that are compared with nothing; a doc_id should name one text, and rows
+    that repeat it stay or go together. Null, empty and wordless texts are like nothing and stay; texts of any length are
+    compared whole; an empty table stays empty; other columns, of any name, stay as they are."""
+    docs, back = apart(docs, "__kept")
     keep = near_duplicates(docs, words=5).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     named = docs.join(merged(keep), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    return named.union(docs.where(F.col("doc_id").cast("long").isNull()))
+    return back(named.union(docs.where(F.col("doc_id").cast("long").isNull())))
 
 
 #: Exact links for a small corpus: all pairs that share a shingle.

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import batches, each, merged, release, slices, spread, stored, table, texts, tune
+from .common import apart, batches, each, merged, release, slices, spread, stored, table, texts, tune
 
 #: A line in more than so many distinct documents of one host is boilerplate there.
 MAX_DOCS = 20
@@ -104,7 +104,7 @@ def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
 
 
 def _documents(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("source", F.lit("")).alias("host"), *more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host"), *more)
 
 
 class Known:
@@ -185,7 +185,7 @@ def _without(shared, at: dict[str, int], least_left: float):
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         doc_ids = b.column(at["doc_id"]).cast(pa.int64()).to_pylist()
-        hosts = [x or "" for x in b.column(at["source"]).to_pylist()]
+        hosts = ["" if x is None else f"={x}" for x in b.column(at["source"]).to_pylist()]
         old = b.column(at["text"]).to_pylist()
         counts = _counts(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), b.column(at["text"])], names=["doc_id", "text"])).to_pydict()
         keep, new = [], []
@@ -208,12 +208,15 @@ def _without(shared, at: dict[str, int], least_left: float):
 
 def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, max_docs: int = MAX_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """Rejected documents go; the others lose their boilerplate lines. Each row has its own verdict and removals: rows
-    that share a doc_id but differ in text or source are judged apart, and so are those with a null doc_id."""
+    that share a doc_id but differ in text or source are judged apart, and so are those with a null doc_id. Null, empty
+    and wordless texts are rejected, texts of any length are judged whole, a null source is a host of its own, an empty
+    table stays empty, and columns of any name stay as they are (but n_chars follows the text)."""
+    docs, back = apart(docs, "__id", "__t", "__gone")
     known, table_ = _known(docs, max_docs)
     if table_ is not None:
         at = {c: docs.columns.index(c) for c in ("doc_id", "text", "source")}
         out = docs.mapInArrow(each(_without(spark.sparkContext.broadcast(table_), at, least_left)), docs.schema)
-        return _recounted(out, docs, F.lit(True))
+        return back(_recounted(out, docs, F.lit(True)))
     keyed = _keyed(docs)
     removed = _removed(keyed, known)
     verdict = quality_verdict(keyed, removed, least_left)
@@ -222,7 +225,7 @@ def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, max_d
     joined = keyed.join(merged(kept), list(_KEY))
     lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("long")))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return _recounted(joined.withColumn("text", text), docs, F.col("__gone").isNotNull())
+    return back(_recounted(joined.withColumn("text", text), docs, F.col("__gone").isNotNull()))
 
 
 def _recounted(out: DataFrame, docs: DataFrame, changed: Column) -> DataFrame:
@@ -241,7 +244,7 @@ def quality_verdict(keyed: DataFrame, removed: DataFrame, least_left: float = LE
 
 
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS host FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda x: x <> '') AS ws FROM d),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
 twice AS (SELECT doc_id, x FROM win GROUP BY ALL HAVING count(*) > 1),

@@ -213,6 +213,17 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "conversations"))
 
 
+def op9_quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9, over conversations whose turns quote: every third one the whole turn before, with what that quotes, every
+    fifth one a line of the turn two before, and some something that nobody wrote."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.regexp_replace(F.coalesce("text", F.lit("")), "(?m)^>", "").alias("own"))
+    mark = lambda c: F.regexp_replace(c, "(?m)^", "> ")
+    said = lambda n: rows.groupBy("conv_id", (F.col("turn") + n).alias("turn")).agg(F.min("own").alias(f"before{n}"))
+    rows = rows.join(said(1), ["conv_id", "turn"], "left").join(said(2), ["conv_id", "turn"], "left")
+    quote = F.when((F.col("turn") % 3 == 2) & (F.col("before1") != ""), mark(F.col("before1"))).when((F.col("turn") % 5 == 4) & (F.col("before2") != ""), F.concat(F.lit(">> "), F.substring_index("before2", "\n", 1))).when(F.col("turn") % 7 == 3, "> nobody wrote this")
+    return linked(rows.select("conv_id", "turn", "role", F.concat(F.coalesce(F.concat(quote, F.lit("\n")), F.lit("")), "own").alias("text")))
+
+
 ORACLE = r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER () AS id FROM conversations),
 l AS (SELECT id, conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM m),
@@ -235,3 +246,11 @@ SELECT msg.conv_id, msg.turn, role, content, parent_turn,
   row_number() OVER (PARTITION BY msg.conv_id ORDER BY path, role, text) - 1 AS reply_position, n_quotes, n_linked
 FROM msg JOIN tree USING (conv_id, turn)
 """
+
+
+#: The same SQL over conversations that quote.
+ORACLE_QUOTED = ORACLE.replace("WITH RECURSIVE m AS", r"""WITH RECURSIVE ow AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(coalesce(text, ''), '\n>', chr(10), 'g'), '^>', '') AS own FROM conversations),
+b1 AS (SELECT conv_id, turn + 1 AS turn, min(own) AS before1 FROM ow GROUP BY ALL), b2 AS (SELECT conv_id, turn + 2 AS turn, min(own) AS before2 FROM ow GROUP BY ALL),
+quoted AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 2 AND before1 <> '' THEN '> ' || replace(before1, chr(10), chr(10) || '> ') || chr(10) WHEN turn % 5 = 4 AND before2 <> '' THEN '>> ' || string_split(before2, chr(10))[1] || chr(10) WHEN turn % 7 = 3 THEN '> nobody wrote this' || chr(10) ELSE '' END || own AS text
+ FROM ow LEFT JOIN b1 USING (conv_id, turn) LEFT JOIN b2 USING (conv_id, turn)),
+m AS""", 1).replace("AS id FROM conversations)", "AS id FROM quoted)", 1)

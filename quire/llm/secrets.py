@@ -170,7 +170,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; MARK replaces each secret."""
+    """Every document stays; MARK replaces each secret. Null texts stay null, empty ones empty; texts of any length are
+    looked at whole, an empty table stays empty, and columns of any name stay as they are (but n_chars follows the text)."""
     tune(spark)
     at = docs.columns.index("text")
 
