@@ -2,7 +2,7 @@
 
 Paragraphs are parted by empty lines. In each, the model scores every window of SIZES words, so a notice counts the
 same in a long line, over many lines or between other text, and no word has to be there for text to be looked at.
-Windows that the model gives to a family form regions; in and around these, templates are compared.
+Windows that the model may give to a family form regions; in and around these, templates are compared.
 """
 
 from __future__ import annotations
@@ -27,9 +27,15 @@ TEMPLATES = {
     "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-3-Clause"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"],
+    "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-ND-4.0"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "eupl": ["Licensed under the EUPL, Version 1.2 or later", "Licensed under the European Union Public Licence, version 1.2.", "SPDX-License-Identifier: EUPL-1.2"],
     "public-domain": ["This work has been dedicated to the public domain under CC0 1.0 Universal.", "This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: CC0-1.0"],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced or distributed without prior written permission."],
 }
@@ -46,11 +52,18 @@ OTHERS = [
     "The source code of the game was lost in a fire.", "They met the following conditions and used the binary form of the answer.",
     "The warranty covers two years of normal use.", "A fishing license is required on this lake.", "The source of the river lies in the hills of the north.",
 ]
+#: The names of an SPDX expression, as words without versions.
+SPDX_NAMES = {
+    "mit": "mit", "apache": "apache-2.0", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "bsd clause": "bsd", "mpl": "mpl", "isc": "isc", "epl": "epl", "eupl": "eupl", "cc0": "public-domain", "unlicense": "public-domain",
+    "cc by": "cc-by", "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc by nc sa": "cc-by-nc-sa", "cc by nc nd": "cc-by-nc-nd"}
+#: Words that, this near before a notice or in its first words, deny it.
+DENIALS, DENIED_WITHIN = {"not", "never", "neither", "nor", "cannot", "isn", "aren", "wasn", "nicht", "pas"}, 3
 DIMENSION, GRAMS = 1 << 18, 3
 #: Words of a window; a paragraph of fewer words than the smallest isn't scored, as no template is so short.
 SIZES = (3, 6, 12, 24)
-#: Share of a template's pairs of words that a window must hold, and of the negatives' windows that may pass the class of all else in calibration.
-LEAST_SHARED, MOST_FALSE = 0.7, 0.002
+#: Share of a template's pairs of words that a window must hold; of the negatives' windows that may count as notices of
+#: some family in calibration; and of those around which templates are compared.
+LEAST_SHARED, MOST_FALSE, MOST_COMPARED = 0.7, 0.001, 0.05
 #: Words around a region where a template may go on, and on each side of a span that the model sees too, as the span may lack the word that tells families apart.
 AROUND, BESIDE = 48, 3
 _ALNUM, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
@@ -124,12 +137,13 @@ def n_grams(size: int) -> int:
 @dataclass
 class Model:
     """weights: for each bucket the logits of the families less that of all else; least: the probability that something
-    is in any family from which on the model says so."""
+    is in any family from which on the model says so; maybe: that from which on templates are compared."""
 
     families: list[str]
     weights: np.ndarray
     temperature: float
     least: float
+    maybe: float
 
     def __post_init__(self) -> None:
         self.most = self.weights.max(axis=1)
@@ -143,13 +157,14 @@ class Model:
         p = np.exp(z - z.max())
         return p / p.sum()
 
-    def passing(self, w: Words) -> np.ndarray:
-        """How many of the windows that the model gives to a family each word is in. A window's sum of the largest
-        weights bounds that of each family, so the few windows that it lets through are computed in full."""
+    def passing(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """How many of the windows that the model may give (maybe), and that it gives (least), to a family each word is
+        in. A window's sum of the largest weights bounds that of each family, so the few windows that it lets through are
+        computed in full."""
         n = len(w.h)
-        cover, buckets = np.zeros(n + 1, np.int64), grams(w.h)
+        cover, sure, buckets = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), grams(w.h)
         bound = [np.concatenate([[0.0], np.cumsum(self.most[b], dtype=np.float64)]) for b in buckets]
-        odds = np.log(self.least / (1 - self.least))
+        odds, high = (np.log(p / (1 - p)) for p in (self.maybe, self.least))
         for size in SIZES:
             if n < size:
                 break
@@ -160,16 +175,17 @@ class Model:
             for at in (maybe[i : i + 4096] for i in range(0, len(maybe), 4096)):
                 z = sum(self.weights[b[at[:, None] + np.arange(size - k)]].sum(axis=1) for k, b in enumerate(buckets)) / scale
                 top = z.max(axis=1)
-                at = at[top + np.log(np.exp(z - top[:, None]).sum(axis=1)) >= odds]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + size, -1)
-        return np.cumsum(cover)[:n]
+                z = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+                for held, over in ((cover, odds), (sure, high)):
+                    np.add.at(held, at[z >= over], 1)
+                    np.add.at(held, at[z >= over] + size, -1)
+        return np.cumsum(cover)[:n], np.cumsum(sure)[:n]
 
 
-def examples(seed: int, n: int, others: list[str]) -> tuple[list[list[str]], list[int]]:
-    """Templates with words lost, changed and added around, and other sentences treated alike or mixed from all."""
+def examples(seed: int, n: int, templates: list[tuple[int, str]], others: list[str]) -> tuple[list[list[str]], list[int]]:
+    """Templates (family, text) with words lost, changed and added around, and other sentences treated alike or mixed from all."""
     rng = np.random.default_rng(seed)
-    notices = [(i, tokens(t)) for i, f in enumerate(TEMPLATES.values()) for t in f]
+    notices = [(i, tokens(t)) for i, t in templates]
     rest = [tokens(t) for t in others]
     pool = sorted({w for t in rest for w in t} | {w for _, t in notices for w in t})
     noise = lambda k: [str(w) for w in rng.choice(pool, k)] if rng.random() < 0.5 else ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 9))) for _ in range(k)]
@@ -186,15 +202,12 @@ def examples(seed: int, n: int, others: list[str]) -> tuple[list[list[str]], lis
     return rows, labels
 
 
-@lru_cache(1)
-def model() -> Model:
-    """Multinomial logistic regression by stochastic gradient descent; always the same model. It learns from two of
-    three other sentences. On examples that it hasn't seen, with the third among them, a temperature is fitted by
-    likelihood, and the least probability so that few windows of negatives pass."""
-    rows, labels = examples(1, 4000, [t for i, t in enumerate(OTHERS) if i % 3])
+def fitted(templates: list[tuple[int, str]], others: list[str]) -> Model:
+    """Multinomial logistic regression by stochastic gradient descent; always the same model."""
+    rows, labels = examples(1, 4000, templates, others)
     k, found = len(TEMPLATES) + 1, [np.concatenate(grams(_hash_of(r))) for r in rows]
     weights, rng = np.zeros((DIMENSION, k)), np.random.default_rng(2)
-    for epoch in range(8):
+    for epoch in range(6):
         for i in rng.permutation(len(rows)):
             f, scale = found[i], max(1.0, len(found[i]) ** 0.5)
             z = weights[f].sum(axis=0) / scale
@@ -203,17 +216,31 @@ def model() -> Model:
             p[labels[i]] -= 1
             np.subtract.at(weights, f, 0.8 / (1 + epoch) * p / scale)
     weights[np.abs(weights) < 1e-4] = 0
-    out = Model(list(TEMPLATES), (weights[:, :-1] - weights[:, -1:]).astype(np.float32), 1.0, 0.5)
-    held, want = examples(3, 1500, OTHERS[::3])
-    z = np.stack([np.append(out.logits(_hash_of(r)), 0) for r in held])
+    return Model(list(TEMPLATES), (weights[:, :-1] - weights[:, -1:]).astype(np.float32), 1.0, 0.5, 0.5)
+
+
+@lru_cache(1)
+def model() -> Model:
+    """The model of all templates and other sentences. It is calibrated by one that has learned from half of each family's
+    templates and two of three sentences: on what that one hasn't seen a temperature is fitted by likelihood, so that it
+    stands for notices in words of their own, and the probabilities so that few windows of negatives pass."""
+    every = [(i, t) for i, f in enumerate(TEMPLATES.values()) for t in f]
+    seen = [(i, t) for i, f in enumerate(TEMPLATES.values()) for n, t in enumerate(f) if n % 2 == 0]
+    negatives = [t for i, t in enumerate(OTHERS) if i % 3]
+    out, half = fitted(every, OTHERS), fitted(seen, negatives)
+    held, want = examples(3, 1500, [x for x in every if x not in seen], OTHERS[::3])
+    z = np.stack([np.append(half.logits(_hash_of(r)), 0) for r in held])
 
     def loss(t: float) -> float:
         y = z / t - np.log(np.exp(z / t).sum(axis=1, keepdims=True))
         return -float(y[np.arange(len(want)), want].mean())
 
-    out.temperature = min((0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0), key=loss)
-    wrong = [1 - float(out.probabilities(h[i : i + s])[-1]) for r, y in zip(held, want) if y == k - 1 for h in [_hash_of(r)] for s in SIZES for i in range(len(h) - s + 1)]
-    out.least = max(0.5, sorted(wrong, reverse=True)[int(MOST_FALSE * len(wrong))] + 1e-7)  # above that window itself
+    out.temperature = half.temperature = min((0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0), key=loss)
+    wrong = [1 - float(half.probabilities(h[i : i + s])[-1]) for r, y in zip(held, want) if y == len(TEMPLATES) for h in [_hash_of(r)] for s in SIZES for i in range(len(h) - s + 1)]
+    wrong.sort(reverse=True)
+    out.least, out.maybe = (max(0.5, wrong[int(share * len(wrong))] + 1e-7) for share in (MOST_FALSE, MOST_COMPARED))  # above that window itself
+    plain = [1 - float(out.probabilities(h[i : i + s])[-1]) for t in OTHERS for h in [_hash_of(tokens(t))] for s in SIZES for i in range(len(h) - s + 1)]
+    out.least = max(out.least, max(plain) + 1e-7)  # none of the sentences, as they are
     return out
 
 
@@ -230,14 +257,14 @@ def _pairs() -> tuple[list[tuple[str, int, int]], dict[tuple[str, str], list[int
     return found, of
 
 
-def candidates(row: list[str]) -> list[tuple[float, int, int, str]]:
-    """(share of a template's pairs, first word, end, family) of windows that confirm a template, of any place and line."""
+def candidates(row: list[str]) -> list[tuple[float, int, int, str, int]]:
+    """(share of a template's pairs, first word, end, family, pairs of the template) of windows that confirm a template, of any place and line."""
     templates, of = _pairs()
     hits: dict[int, list[tuple[int, tuple[str, str]]]] = {}
     for i, x in enumerate(zip(row, row[1:])):
         for k in of.get(x, ()):
             hits.setdefault(k, []).append((i, x))
-    best: dict[tuple[int, int], tuple[float, int, int, str]] = {}
+    best: dict[tuple[int, int], tuple[float, int, int, str, int]] = {}
     for k, at in hits.items():
         family, n, longest = templates[k]
         if len(at) < LEAST_SHARED * n:
@@ -250,7 +277,7 @@ def candidates(row: list[str]) -> list[tuple[float, int, int, str]]:
                 if x not in seen:
                     seen.add(x)
                     last = place
-            found = (len(seen) / n, start, last + 2, family)
+            found = (len(seen) / n, start, last + 2, family, n)
             if found[0] >= LEAST_SHARED and found[:2] > best.get((k, last), (0.0, 0))[:2]:
                 best[k, last] = found
     return list(best.values())
@@ -258,22 +285,46 @@ def candidates(row: list[str]) -> list[tuple[float, int, int, str]]:
 
 def confirmed(m: Model, row: list[str], h: np.ndarray) -> list[tuple[int, int, str]]:
     """(first word, end, family) of the notices among the words of one paragraph: windows that hold enough of a template
-    of the family that the model gives them. Of those that overlap the one with the largest share of its template, then
-    the most probable, counts."""
+    of the family that the model gives them, unless they are denied. Of those that overlap the one with the largest share
+    of its template counts, then that of the longest template, the shortest, the most probable."""
     ranked = []
-    for share, a, b, family in candidates(row):
+    for share, a, b, family, pairs in candidates(row):
         p = m.probabilities(h[max(0, a - BESIDE) : b + BESIDE])
-        if m.families[int(p[:-1].argmax())] == family and 1 - p[-1] >= m.least:
-            ranked.append((-share, -float(p.max()), a, b, family))
+        if m.families[int(p[:-1].argmax())] == family and p[-1] <= 0.5:  # a region is one of least probability already
+            ranked.append((-share, -pairs, b - a, -float(p.max()), a, b, family))
     out: list[tuple[int, int, str]] = []
     taken = bytearray(len(row))
-    for _, _, a, b, family in sorted(ranked):
-        if not any(taken[a:b]):
+    for *_, a, b, family in sorted(ranked):
+        if any(taken[a:b]) or DENIALS & set(row[max(0, a - DENIED_WITHIN) : a + DENIED_WITHIN]):
+            continue
+        for a, b, family in expression(row, a, b, family):
             taken[a:b] = b"\1" * (b - a)
             out.append((a, b, family))
     return sorted(out)
 
 
+def expression(row: list[str], a: int, b: int, family: str) -> list[tuple[int, int, str]]:
+    """A notice, and if it is an SPDX line the further licences that its expression names, each a span of its own."""
+    found = [(a, b, family)]
+    if row[a : a + 3] != ["spdx", "license", "identifier"]:
+        return found
+    at, first = a + 3, True
+    while at < len(row):
+        if row[at] in ("and", "with") and not first:
+            at += 1
+            continue
+        name = next((n for n in (4, 3, 2, 1) if at + n <= len(row) and " ".join(row[at : at + n]) in SPDX_NAMES), 0)
+        if not name:
+            break
+        kind = SPDX_NAMES[" ".join(row[at : at + name])]
+        if first:
+            found = [(a, at + name, kind)]
+        else:
+            found.append((at, at + name, kind))
+        at, first = at + name, False
+    return found
+
+
 def regions(inside: np.ndarray, paragraph: np.ndarray) -> list[tuple[int, int]]:
     """Runs of marked words of one paragraph."""
     new = np.ones(len(inside), bool)
@@ -287,13 +338,13 @@ def scanned(m: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     """Number of paragraphs of each row, and for rows with a region (start, end, family) of the notices, in code points,
     and the number of regions that no notice lies in."""
     w = words_of(raw, offsets)
-    inside = m.passing(w) > 0
+    inside, sure = (x > 0 for x in m.passing(w))
     found: dict[int, tuple[list[tuple[int, int, str]], int]] = {}
     if not inside.any():
         return w.paragraphs, found
-    cores = regions(inside, w.paragraph)
+    cores = regions(sure, w.paragraph)
     wide = np.zeros(len(inside) + 1, np.int64)
-    for a, b in cores:
+    for a, b in regions(inside, w.paragraph):
         first = np.searchsorted(w.paragraph, w.paragraph[a])
         wide[max(first, a - AROUND)] += 1
         wide[min(np.searchsorted(w.paragraph, w.paragraph[a], "right"), b + AROUND)] -= 1

@@ -259,6 +259,18 @@ def test_licenses_of_other_versions_and_unknown_ones():
     assert licenses.scan("Released under some GNU GPL License terms")[1:] == ([], 1) and licenses.scan(licenses.OTHERS[0])[1:] == ([], 0)
 
 
+def test_licenses_that_are_denied_and_of_several_families():
+    assert families("This work is not licensed under the MIT License.") == [] == families("Nothing here was ever released, nor is it licensed under CC BY 4.0.")
+    assert families("SPDX-License-Identifier: MIT OR Apache-2.0") == ["mit", "apache-2.0"]
+    assert families("# SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-only WITH Classpath-exception-2.0\nimport x") == ["mit", "bsd", "gpl"]
+    assert families("SPDX-License-Identifier: CC-BY-NC-SA-4.0") == ["cc-by-nc-sa"] and families("Licensed under CC BY-ND 4.0.") == ["cc-by-nd"]
+    for t in ("Licensed under the Artistic License 2.0.", "This software is licensed under the Zlib license, see COPYING."):
+        assert licenses.scan(t)[1:] == ([], 1)
+    assert licenses.scan("mit mit mit und mit")[1:] == ([], 0)
+    n, spans, _ = licenses.scan("é SPDX-License-Identifier: MIT OR Apache-2.0")
+    assert spans == [(2, 30, "mit"), (34, 40, "apache-2.0")]
+
+
 def test_licenses_are_those_of_scoring_every_window(spark):
     """Each window of each paragraph with the model as it is defined, one after the other."""
     m, rng = licenses.model(), random.Random(5)
@@ -278,12 +290,14 @@ def test_licenses_are_those_of_scoring_every_window(spark):
             n += bool(all_words)
             row = [w for w in all_words if re.search("[a-z]", w[0]) and not re.fullmatch("v[0-9]*|version|only|or|later", w[0])]
             h = licenses._hash_of([w for w, _, _ in row]) if row else np.zeros(0, np.uint64)
-            inside = np.zeros(len(row), bool)
+            inside, sure = np.zeros(len(row), bool), np.zeros(len(row), bool)
             for size in licenses.SIZES:
                 for i in range(len(row) - size + 1):
-                    inside[i : i + size] |= 1 - m.probabilities(h[i : i + size])[-1] >= m.least
-            cores = licenses.regions(inside, np.zeros(len(row)))
-            found = [x for x in licenses.confirmed(m, [w for w, _, _ in row], h) if any(x[0] < b + licenses.AROUND and a - licenses.AROUND < x[1] for a, b in cores)]
+                    p = 1 - m.probabilities(h[i : i + size])[-1]
+                    inside[i : i + size] |= p >= m.maybe
+                    sure[i : i + size] |= p >= m.least
+            cores = licenses.regions(sure, np.zeros(len(row)))
+            found = [x for x in licenses.confirmed(m, [w for w, _, _ in row], h) if any(x[0] < b + licenses.AROUND and a - licenses.AROUND < x[1] for a, b in licenses.regions(inside, np.zeros(len(row))))]
             unknown += sum(not any(x[0] < b and a < x[1] for x in found) for a, b in cores)
             spans += [(row[x[0]][1], row[x[1] - 1][2], x[2]) for x in found]
         return n, spans, unknown
