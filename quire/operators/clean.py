@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,21 +51,36 @@ AD = f"\\n(?:(?:{URL_ONLY}|{URL_LEAD})(?=\\n|\\z)(?<=\\n[^\\n]{{1,100}})|(?:{SIT
 SENTENCE_END = "。！？!?…：；;:\"'「『（(《—"
 
 
+#: What a text must hold one of for the substitution of the same place in MARKDOWN to find anything.
+MARKS = ["```", "`", "![", "](", "#", ">", "-*+", ("---", "***", "___"), "***", "**", "*", "___", "__", "~~"]
+
+
+def _where(c: Column, marks: tuple[str, ...], change: Callable[[Column], Column]) -> Column:
+    """change(c) for a text that holds one of the marks, any other as it is. The text is bound as a lambda's variable, so
+    that it isn't made once for the test and once more for the change."""
+
+    def one(x: Column) -> Column:
+        held = [x.contains(m) for m in marks]
+        return F.when(reduce(or_, held), change(x)).otherwise(x)
+
+    return F.get(F.transform(F.array(c), one), F.lit(0))
+
+
 def newlines(c: Column) -> Column:
-    return F.regexp_replace(c, "\\r\\n?", "\n")
+    return _where(c, ("\r",), lambda x: F.regexp_replace(x, "\\r\\n?", "\n"))
 
 
 def zero_width(c: Column) -> Column:
-    return F.regexp_replace(c, "[^\\x00-\\x7F](?<=[\\uFEFF\\u200B\\u200C\\u200D\\u2060\\u200E\\u200F])", "")
+    return _where(c, tuple("\ufeff\u200b\u200c\u200d\u2060\u200e\u200f"), lambda x: F.regexp_replace(x, "[^\\x00-\\x7F](?<=[\\uFEFF\\u200B\\u200C\\u200D\\u2060\\u200E\\u200F])", ""))
 
 
 def ref_marks(c: Column) -> Column:
-    return F.regexp_replace(c, f"[\\[【〔][{WS}]*[0-9]+[{WS}]*[\\]】〕]", "")
+    return _where(c, tuple("[【〔"), lambda x: F.regexp_replace(x, f"[\\[【〔][{WS}]*[0-9]+[{WS}]*[\\]】〕]", ""))
 
 
 def markdown(c: Column) -> Column:
-    for pattern, to in MARKDOWN:
-        c = F.regexp_replace(c, pattern, to)
+    for (pattern, to), marks in zip(MARKDOWN, MARKS, strict=True):
+        c = _where(c, tuple(marks) if marks == "-*+" else (marks,) if isinstance(marks, str) else marks, lambda x, p=pattern, to=to: F.regexp_replace(x, p, to))
     return c
 
 
@@ -72,10 +90,10 @@ def garbled(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Runs of blanks folded, and both ends of each line trimmed. A run of white space is looked at once, from its start."""
-    c = F.regexp_replace(c, "[\\t \\u3000]+", " ")
+    c = _where(c, ("\t", "\u3000", "  "), lambda x: F.regexp_replace(x, "[\\t\\u3000][\\t \\u3000]*| [\\t \\u3000]+", " "))
     c = F.regexp_replace(c, f"(\\A|\\n)[{GAP}]++", "$1")
     for first in ("[\\t\\x0B-\\r ]", f"[^\\x00-\\x9F](?<=[{WIDE}])"):
-        c = F.regexp_replace(c, f"{first}(?<![{GAP}]{{2}})[{GAP}]*+(?=\\n|\\z)", "")
+        c = F.regexp_replace(c, f"{first}(?=[{GAP}\\n]|\\z)(?<![{GAP}]{{2}})[{GAP}]*+(?=\\n|\\z)", "")
     return c
 
 
