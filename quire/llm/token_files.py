@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import batches, release, scratch, slices, table, tune
+from .common import batches, release, scratch, slices, small, table, tune
 from .memo import sums
 from .rans import Coder, Corrupt, frequencies, pack_table, unpack_table
 from .shingles import LOWER, buffers, word_hashes, words
@@ -304,7 +304,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         "part", F.posexplode("s").alias("i", "x"), "part_start", "s").select(
         "part", F.col("x.segment").alias("segment"),
         (F.col("part_start") + F.aggregate(F.slice("s", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["ids"])).alias("segment_start"))
-    decoded = files.join(inner, ["part", "segment"]).select("segment_start", *files.columns)
+    # a row for each segment: broadcast if they are few, so that the blocks aren't moved for one number each
+    decoded = files.join(small(inner), ["part", "segment"]).select("segment_start", *files.columns)
     out = decoded.mapInArrow(_read_started, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out
 
