@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp_chapter
@@ -17,20 +17,33 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def accepted(events: DataFrame) -> DataFrame:
-    """By the staleness test, in order of arrival (seq): an event stays unless an accepted one before it has a later client time. What is accepted always has the largest time so far, so the test is one against a running maximum."""
-    w = Window.partitionBy("book_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max("at").over(w)
-    return events.withColumn("ok", top.isNull() | (top <= F.col("at")))
+    """By the staleness test, in order of arrival (seq): an event stays unless an accepted one before it has a later client
+    time. What is accepted always has the largest time so far, so the test is one against a running maximum, over ranges
+    of arrivals: a book of very many events is many tasks' work."""
+
+    def step(state: tuple, at: int) -> tuple[tuple, tuple]:
+        top = state[0]
+        return (at if top is None else max(top, at),), (top is None or top <= at,)
+
+    return folded(events, "book_id", ["seq"], ["at"], step, (None,), "ok boolean", events.columns)
 
 
 def mirror_changes(events: DataFrame, chapters: DataFrame, done_ratio: float = 0.9) -> DataFrame:
-    """Events that change what the shelf shows: the chapter (clamped to the book's count), or whether the book is read. The mirror equals the event before in both respects, so a lag is enough."""
+    """Events that change what the shelf shows: the chapter (clamped to the book's count), or whether the book is read.
+    The mirror equals the event before in both respects; that is a fold whose states meet with the next event, over
+    ranges of time."""
     rows = events.join(chapters.select("book_id", F.col("n").alias("cap")), "book_id")
     ch = F.when((F.col("cap") > 0) & (F.col("ch") > F.col("cap")), F.col("cap")).otherwise(F.col("ch"))
     rows = rows.withColumn("mch", ch).withColumn("done", (F.col("cap") > 0) & (F.col("mch") >= F.col("cap")) & (F.col("ratio") >= done_ratio))
-    w = Window.partitionBy("book_id").orderBy("at", "seq")
-    before = F.lag(F.struct("mch", "done")).over(w)
-    return rows.withColumn("b", before).where("b IS NULL OR b.mch <> mch OR b.done <> done").select("book_id", "at", "seq", F.col("mch").alias("ch"), "done")
+
+    def step(state: tuple, mch: int | None, done: bool | None) -> tuple[tuple, tuple]:
+        known, was, was_done = state
+        differs = lambda a, b: a is not None and b is not None and a != b
+        now = None if done is None else int(done)
+        return (1, mch, now), (not known or differs(was, mch) or differs(was_done, now),)
+
+    told = folded(rows, "book_id", ["at", "seq"], ["mch", "done"], step, (0, None, None), "changed boolean", ["book_id", "at", "seq", "mch", "done"])
+    return told.where("changed").select("book_id", "at", "seq", F.col("mch").alias("ch"), "done")
 
 
 def resume_position(local: DataFrame, server: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -91,13 +104,15 @@ def limiter(attempts: DataFrame, limit: int = LIMIT, lock: int = LOCK_MS, most:
 
 def offline_queue(events: DataFrame) -> DataFrame:
     """events(device, book_id, at, seq, ch, ratio) -> the newest of each book of a device, with times that differ: one
-    that isn't later than the one before is put a millisecond after it. In order the i-th time is at least any before it
-    plus their distance, so a running maximum gives it."""
+    that isn't later than the one before is put a millisecond after it. A fold over ranges of time."""
     last = events.groupBy("device", "book_id").agg(F.max_by(F.struct("ch", "ratio", "at"), F.struct("at", "seq")).alias("x")).select("device", "book_id", "x.*")
-    order = Window.partitionBy("device").orderBy("at", "book_id")
-    rows = last.withColumn("i", F.row_number().over(order))
-    top = F.max(F.col("at") - F.col("i")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("at", top + F.col("i")).drop("i")
+
+    def step(state: tuple, at: int) -> tuple[tuple, tuple]:
+        put = at if state[0] is None else max(at, state[0] + 1)
+        return (put,), (put,)
+
+    keep = [c for c in last.columns if c != "at"]
+    return folded(last, "device", ["at", "book_id"], ["at"], step, (None,), "sent long", keep).select(*[F.col("sent").alias("at") if c == "at" else F.col(c) for c in last.columns])
 
 
 def write_verdict(held: int | None, client_at: int | None, base_at: int | None, client_ver: int | None, clean_ver: int | None) -> str:
