@@ -72,19 +72,28 @@ def books_digest(books: np.ndarray) -> str:
     return hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
 
 
-def vector_codes(vectors: DataFrame, width: int = 64, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> DataFrame:
+def usual_width(vectors: DataFrame, parts: int) -> int:
+    """The number of components that most vectors have, of those that the parts divide; of as frequent ones the smallest."""
+    n = F.size("embedding")
+    found = vectors.where((n > 0) & (n % parts == 0)).groupBy(n.alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return found["n"] if found else parts
+
+
+def vector_codes(vectors: DataFrame, width: int | None = None, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> DataFrame:
     """vectors(vec_id, embedding, label) -> vec_id, label, code, error, label_error, codebooks_sha256.
 
     Codebooks of whole numbers, one for each part of a vector, start at the smallest vec_ids and move ``rounds`` times
     to the floor of the mean of what is nearest to them. Every round is one pass over a written table: tasks sum what
     they assign, and only these sums are shuffled.
 
-    Rows without ``width`` components, and rows with a null or non-finite one, are dropped; components beyond bound()
+    width: null takes the usual one. Rows without ``width`` components, and rows with a null or non-finite one, are dropped; components beyond bound()
     count as bound(). Repeated rows, and rows of equal or null vec_id, each count; null ids come after all others where the
     first entries are chosen, equal ones by components. With fewer rows than ``entries`` there are as many entries as rows.
     A label of a third of all rows is summed in every task first. A label's sum beyond 64 bits is null. An empty table
     gives no rows. Other columns aren't read.
     """
+    if width is None:
+        width = usual_width(vectors, parts)
     if width % parts or not 0 < entries <= 256:
         raise ValueError("parts have to divide the width, and an index has two hex digits")
     rows = whole(vectors, width, scale, "label")

@@ -21,15 +21,12 @@ def test_columns_of_any_name_stay(spark, few, monkeypatch, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "benchmark.parquet"))
     plain = sorted(map(repr, rows))
-    for stage, lost in ((quality_rules.stage_quality_rules, 0), (near_dedup.stage_near_dedup, 0), (decontaminate.stage_decontaminate, 1), (secrets.stage_secret_scan, 0)):
+    for stage, lost in ((quality_rules.stage_quality_rules, 0), (near_dedup.stage_near_dedup, 0), (decontaminate.stage_decontaminate, 1), (secrets.stage_secret_scan, 0))[: 1 if few else None]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns, stage
         got = sorted(repr(tuple(r)) for r in out.collect())
-        if stage is quality_rules.stage_quality_rules:  # the text's length is counted anew
-            assert len(got) == len(plain) and {r["__t"] for r in out.collect()} == {r[4] for r in rows}
-        else:
-            assert set(got) <= set(plain) and len(got) == len(plain) - lost, stage
-        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        assert set(got) <= set(plain) and len(got) == len(plain) - lost, stage
+        assert few or stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
 def test_two_threads_keep_their_own_folders(spark):

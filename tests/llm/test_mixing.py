@@ -62,18 +62,14 @@ def slow(rows):
     return sorted(repr((i, s, n, own[s], f"{float(target[s]):.9g}", copies.get((i, s, n), 0))) for i, s, n in docs)
 
 
-def tuples(df):
-    return sorted(repr((r.doc_id, r.source, r["size"], r.source_size, f"{r.target:.9g}", r["copies"])) for r in df.collect())
-
-
 @pytest.mark.parametrize("bucket_rows", [2, 1 << 20])
 def test_mix_by_brute_force(spark, bucket_rows):
     rows = odd_rows()
-    got = mixing.curriculum(spark.createDataFrame(rows, SCHEMA).repartition(5), bucket_rows=bucket_rows)
-    assert tuples(got) == slow(rows)
-    assert all(r.taken == r["copies"] * r["size"] and len(r.positions) == r["copies"] and r["copies"] <= 3 for r in got.collect())
+    got = mixing.curriculum(spark.createDataFrame(rows, SCHEMA).repartition(5), bucket_rows=bucket_rows).collect()
+    assert sorted(repr((r.doc_id, r.source, r["size"], r.source_size, f"{r.target:.9g}", r["copies"])) for r in got) == slow(rows)
+    assert all(r.taken == r["copies"] * r["size"] and len(r.positions) == r["copies"] and r["copies"] <= 3 for r in got)
     words = defaultdict(int)
-    for r in got.collect():
+    for r in got:
         words[(r.source, r.target)] += r.taken
     assert sum(words.values()) > 0 and all(abs(n - t) <= 3 for (s, t), n in words.items() if s in ("hot", "b", "é", None))
 
@@ -95,7 +91,7 @@ def test_places_follow_the_schedules(spark):
         return F.when(rank == 1, made(knots[1])).otherwise(made(knots[2]))
 
     docs = spark.createDataFrame([(i, "w " * (1 + i % 5), "a" if i % 4 else "b") for i in range(200)], "doc_id long, text string, source string")
-    mixed = mixing.curriculum(docs, schedule)
+    mixed = mixing.stored(mixing.curriculum(docs, schedule), "mixed")
     order = mixing.training_order(mixed)
     placed = [tuple(r) for part in order.rdd.glom().collect() for r in part]
     assert [r[4] for r in placed] == sorted(r[4] for r in placed) and len(placed) == sum(r["copies"] for r in mixed.collect())

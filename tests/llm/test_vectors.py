@@ -60,7 +60,9 @@ def test_vector_codes_by_brute_force(spark, entries, seed):
         want.append((i, label, "".join(f"{j:02x}" for _, j in d), sum(e for e, _ in d)))
     of = {label: sum(e for _, la, _, e in want if la == label) for _, label, _, _ in want}
     every = digest(z for book in books for entry in book for z in entry)
-    got = vector_codes.vector_codes(spark.createDataFrame(rows, SCHEMA), 8, entries=entries, rounds=3).collect()
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert vector_codes.usual_width(df, 4) == 8 and vector_codes.usual_width(df.limit(0), 4) == 4
+    got = vector_codes.vector_codes(df, entries=entries, rounds=3).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((*w, of[w[1]] if of[w[1]] < 2**63 else None, every)) for w in want)
 
 
