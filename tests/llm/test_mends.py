@@ -110,3 +110,38 @@ def test_given_conversations_with_quotes(spark, sf):
     n = got.agg(F.count_if(F.expr("n_linked > 0")).alias("linked"), F.count_if(F.expr("n_quotes > n_linked")).alias("unlinked"), F.count_if(F.expr("position <> reply_position")).alias("moved"), F.count_if(F.col("content").rlike("(?m)^>")).alias("left")).first()
     assert n.linked > 20 and n.unlinked > 0 and n.left == 0
     assert quotations.op9_quoted_conversations.__doc__
+
+
+def test_quality_scores_by_brute_force(spark):
+    """A score is the softmax of the mean vector of a text's features: words, pairs of words and byte n-grams with their borders."""
+    import re
+
+    import numpy as np
+
+    from quire.llm import quality_model as Q
+    from quire.llm import shingles as S
+
+    rng = np.random.default_rng(3)
+    model = Q.Model(rng.normal(size=(Q.BUCKETS, 4)).astype(np.float32), rng.normal(size=(4, 2)).astype(np.float32), np.array([0.3, -0.1], np.float32))
+    cut = 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & cut
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & cut
+        return x ^ (x >> 31)
+
+    def slow(text):
+        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))]
+        h = [mix(sum(int(S._BYTE[b]) * pow(S._BASE, i, 2**64) for i, b in enumerate(w)) & cut) for w in words]
+        found = h + [mix((a * int(S._PLACE[1]) + b * int(S._PLACE[2])) & cut) for a, b in zip(h, h[1:])]
+        for n in Q.GRAMS:
+            for w in words:
+                s = b"\0" + w + b"\0"
+                found += [mix((int.from_bytes(s[i : i + n], "big") + int(S._PLACE[8 + n])) & cut) for i in range(len(s) - n + 1)]
+        v = np.mean([model.vectors[x >> 47] for x in found], axis=0) if found else np.zeros(4)
+        z = v @ model.output + model.bias
+        return 1 / (1 + np.exp(z[0] - z[1]))
+
+    texts = ["One two  one\nTHREE é", "a", "", None, "x y " * 50, "Ünï ﬀ  nb", "long" * 300]
+    got = {r.doc_id: r.score for r in Q.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert all(abs(got[i] - slow(t)) < 1e-5 for i, t in enumerate(texts))
