@@ -78,6 +78,18 @@ def _by_parts(lost: DataFrame, own: DataFrame) -> DataFrame:
         F.min(F.when(F.col("whole"), F.col("original"))), F.max("original")).alias("original")).drop("at")
 
 
+def _links(rows: DataFrame, passages: DataFrame) -> DataFrame:
+    """conv_id, turn, row, level, original of each passage: by its whole, else by its parts."""
+    asked = small(passages.select("conv_id").distinct())
+    own = stored(_parsed(rows.join(asked, "conv_id", "left_semi")).select("conv_id", "turn", _own().alias("own")), "own")
+    units = F.array_distinct(F.transform(F.concat(F.array("own"), F.split("own", "\\n\\s*\\n"), F.split("own", "\n")), _norm))
+    originals = own.select("conv_id", "turn", F.explode(units).alias("unit")).where("unit != ''").groupBy("conv_id", F.md5("unit").alias("hash")).agg(F.min("turn").alias("original"))
+    links = stored(passages.join(originals, ["conv_id", "hash"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original"))), "whole-links")
+    lost = links.where("original IS NULL").drop("hash", "original")
+    links = links.where("original IS NOT NULL").select("conv_id", "turn", "row", "level", "original")
+    return links if lost.isEmpty() else links.unionByName(_by_parts(lost, own))
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """messages(conv_id, turn, role, text) -> conv_id, turn, role, content, parent_turn, position, reply_position, n_quotes,
     n_linked.
@@ -100,20 +112,17 @@ def linked(messages: DataFrame) -> DataFrame:
         F.col("role"), F.coalesce("text", F.lit("")).alias("text"))
     passages = _passages(rows.where(F.col("text").rlike("(?m)^>")))
     passages = stored(passages.select("conv_id", "turn", "row", "level", "at", F.md5(_norm(F.col("body"))).alias("hash"), *_parts("body")), "passages")
-    asked = small(passages.select("conv_id").distinct())
-    own = _parsed(rows.join(asked, "conv_id", "left_semi")).select("conv_id", "turn", _own().alias("own"))
-    units = F.array_distinct(F.transform(F.concat(F.array("own"), F.split("own", "\\n\\s*\\n"), F.split("own", "\n")), _norm))
-    originals = own.select("conv_id", "turn", F.explode(units).alias("unit")).where("unit != ''").groupBy("conv_id", F.md5("unit").alias("hash")).agg(F.min("turn").alias("original"))
-    links = stored(passages.join(originals, ["conv_id", "hash"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original"))), "links")
-    by_part = _by_parts(links.where("original IS NULL").drop("hash", "original"), own)
-    links = links.where("original IS NOT NULL").select("conv_id", "turn", "row", "level", "original").unionByName(by_part)
-    of_row = links.groupBy("conv_id", "turn", "row").agg(
-        F.count("*").alias("n_quotes"), F.count("original").alias("n_linked"),
-        F.max(F.when(F.col("original").isNotNull(), F.struct(-F.col("level"), "original"))).alias("best"))
-    of_row = small(of_row.select("conv_id", "turn", "row", "n_quotes", "n_linked", F.col("best.original").alias("quoted_turn")))
-
+    quoting = not passages.isEmpty()
     out = rows.withColumn("row", F.xxhash64("role", "text")).withColumn("chunk", F.floor(F.col("turn") / CHUNK))
-    out = out.join(of_row, ["conv_id", "turn", "row"], "left")
+    if quoting:
+        links = stored(_links(rows, passages), "links")
+        of_row = links.groupBy("conv_id", "turn", "row").agg(
+            F.count("*").alias("n_quotes"), F.count("original").alias("n_linked"),
+            F.max(F.when(F.col("original").isNotNull(), F.struct(-F.col("level"), "original"))).alias("best"))
+        of_row = small(stored(of_row.select("conv_id", "turn", "row", "n_quotes", "n_linked", F.col("best.original").alias("quoted_turn")), "of-row"))
+        out = out.join(of_row, ["conv_id", "turn", "row"], "left")
+    else:
+        out = out.select("*", *[F.lit(None).cast("long").alias(c) for c in ("n_quotes", "n_linked", "quoted_turn")])
     lines = F.when(F.col("text").rlike("(?m)^>"), F.regexp_replace(F.regexp_replace("text", "(?m)^>[^\\n]*(\\n|\\z)", ""), "^\\n+|\\n+$", "")).otherwise(F.regexp_replace("text", "^\\n+|\\n+$", ""))
     chunks = out.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
     by_chunk = Window.partitionBy("conv_id").orderBy("chunk")
@@ -124,10 +133,11 @@ def linked(messages: DataFrame) -> DataFrame:
     out = out.withColumn("i", F.row_number().over(inside)).withColumn("previous", F.max("turn").over(earlier))
     out = out.join(chunks, ["conv_id", "chunk"]).withColumn("position", (F.col("before") + F.col("i") - 1).cast("long"))
     out = out.withColumn("previous", F.coalesce("previous", "last_before")).withColumn("parent", F.coalesce("quoted_turn", "previous"))
-    if links.where("original IS NOT NULL").isEmpty():
+    if not quoting or links.where("original IS NOT NULL").isEmpty():
         out = out.withColumn("moved", F.lit(0).cast("long"))
     else:
-        out = out.join(small(_reply_starts(out, of_row)), ["conv_id", "turn"], "left")
+        order = stored(out.select("conv_id", "turn", "previous", "parent", "position"), "order")
+        out = out.join(small(_reply_starts(order, of_row)), ["conv_id", "turn"], "left")
     value = lambda c: F.when(c != _NULL, c)
     return out.select(
         value(F.col("conv_id")).alias("conv_id"), value(F.col("turn")).alias("turn"), "role", lines.alias("content"),
