@@ -14,7 +14,7 @@ QUERIES = {
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_quotation_linking": quotations.op9_quotation_linking,
-    "op9_quoted_conversations": quotations.op9_quoted_conversations,
+    "quoted_conversations": quotations.quoted_conversations,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op11_source_mix": mixing.op11_source_mix,
     "op12_vector_codes": vector_codes.op12_vector_codes,
@@ -24,7 +24,7 @@ ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op9_quotation_linking": quotations.ORACLE,
-    "op9_quoted_conversations": quotations.ORACLE_QUOTED,
+    "quoted_conversations": quotations.ORACLE_QUOTED,
     "op10_minhash_near_dedup": near_dedup.ORACLE,
     "op11_source_mix": mixing.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,

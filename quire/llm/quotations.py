@@ -223,7 +223,7 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "conversations"))
 
 
-def op9_quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As op9, over conversations whose turns quote: every third one the whole turn before, with what that quotes, every
     fifth one a line of the turn two before, and some something that nobody wrote."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.regexp_replace(F.coalesce("text", F.lit("")), "(?m)^>", "").alias("own"))

@@ -106,10 +106,10 @@ def test_a_null_source_is_a_host_of_its_own(spark):
 
 
 def test_given_conversations_with_quotes(spark, sf):
-    got = QUERIES["op9_quoted_conversations"](spark, sf)
+    got = QUERIES["quoted_conversations"](spark, sf)
     n = got.agg(F.count_if(F.expr("n_linked > 0")).alias("linked"), F.count_if(F.expr("n_quotes > n_linked")).alias("unlinked"), F.count_if(F.expr("position <> reply_position")).alias("moved"), F.count_if(F.col("content").rlike("(?m)^>")).alias("left")).first()
     assert n.linked > 20 and n.unlinked > 0 and n.left == 0
-    assert quotations.op9_quoted_conversations.__doc__
+    assert quotations.quoted_conversations.__doc__
 
 
 def test_quality_scores_by_brute_force(spark):
