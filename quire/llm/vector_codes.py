@@ -86,10 +86,10 @@ def vector_codes(vectors: DataFrame, width: int | None = None, parts: int = PART
     to the floor of the mean of what is nearest to them. Every round is one pass over a written table: tasks sum what
     they assign, and only these sums are shuffled.
 
-    width: null takes the usual one. Rows without ``width`` components, and rows with a null or non-finite one, are dropped; components beyond bound()
-    count as bound(). Repeated rows, and rows of equal or null vec_id, each count; null ids come after all others where the
-    first entries are chosen, equal ones by components. With fewer rows than ``entries`` there are as many entries as rows.
-    A label of a third of all rows is summed in every task first. A label's sum beyond 64 bits is null. An empty table
+    width: null takes the usual one. Rows without ``width`` components, and rows with a null or non-finite one, are
+    dropped; components beyond bound() count as bound(). Repeated rows, and rows of equal or null vec_id, each count; null
+    ids come after all others where the first entries are chosen, equal ones by components. With fewer rows than
+    ``entries`` there are as many entries as rows. A label of a third of all rows is summed in every task first. A label's sum beyond 64 bits is null. An empty table
     gives no rows. Other columns aren't read.
     """
     if width is None:
