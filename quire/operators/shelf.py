@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, read_state
+from ..functions.text import read_state
 from .order import running
 
 #: Column and whether it falls.

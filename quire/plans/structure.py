@@ -18,7 +18,7 @@ from ..operators import shelf as SH
 from ..session import shared_dir
 from ..sources.encoding import decoded
 from . import carriers as C
-from .catalogue import _EXPORT, _b, _e, _export_inputs, _shelf, query
+from .catalogue import _EXPORT, _b, _export_inputs, _shelf, query
 from .lifecycle import _str
 
 
