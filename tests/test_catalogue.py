@@ -186,3 +186,19 @@ def test_whole_texts_are_decoded(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.turn: (r.encoding, r.replaced, r.text) for r in catalogue.QUERIES["detect_encoding_texts"](spark, str(tmp_path)).collect()}
     assert got == {t: ("gb18030", 0, "的一是在不了有和人这中大为上个国我以要他" + (x or "")) for _, t, x in rows}
+
+
+def test_letters_in_pairs_are_no_utf16(spark, tmp_path):
+    """Accents of two bytes between letters, a line feed and characters of four bytes: UTF-16 would read most pairs as Han characters."""
+    texts = ["Y para jamente conñarbomente. El cicióní ñcióngall de ueó tamenteó elosbora esdouear mentearco.", "Und chpfte einheitlich stpf zuchätzer enchver bersch geöer schbertz.",
+             "Íque se ciónasos, ciónllco.\nCiónos ierr quebo ez de ciónll de dora la ciónquegaue osrrbo ar ñadobo.", "丂丄丅丆丏丒丗丟" * 20, "\U0001f600 ok " * 50]
+    rows = [(1, t, x) for t, x in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn: (r.encoding, r.replaced, r.text) for r in catalogue.QUERIES["detect_encoding_texts"](spark, str(tmp_path)).collect()}
+    assert got == {t: ("gb18030", 0, "的一是在不了有和人这中大为上个国我以要他" + x) for _, t, x in rows}
+
+
+@pytest.mark.parametrize("text", ["第一章 相遇\n他醒了。\n第二章 离别\n她走了。", "他们来了" * 3, "他们来了" * 30_000, "春天來了他們在這裡生活", "這個國家，來了人。" * 20 + "ok"])
+def test_utf16_without_a_mark(text):
+    for name in ("utf-16-le", "utf-16-be"):
+        assert detect(text.encode(name)) == (name.replace("utf-16-", "utf-16"), text, 0)
