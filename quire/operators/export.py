@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import default_title, esc_xml
+from ..session import written
+from .order import running
 
 #: Chapters of a book that is given as one row, and that a book may have.
 MAX_CHAPTERS, CHAPTER_MAX = 40, 20_000
+#: About the bytes of a file that holds many books.
+FILE_BYTES = 8 << 20
 
 
 def _ordered(rows: DataFrame, block: Column, sep: str, most: int) -> DataFrame:
@@ -43,7 +48,7 @@ def export_text_plain(books: DataFrame, rows: DataFrame, most: int = CHAPTER_MAX
 
 
 def export_parts(books: DataFrame, rows: DataFrame, folder: str, plain: bool = False) -> None:
-    """Books of any size as text files under ``folder``, in a folder for each book: its files, in order of their names, are
+    """Books of any size, but not very many, as text files under ``folder``, in a folder for each book: its files, in order of their names, are
     its text in the layout of export_text() or, if ``plain``, export_text_plain().
 
     A head or a chapter is a row. Rows are dealt to ranges of book and place and sorted within, so a book may be many
@@ -51,6 +56,14 @@ def export_parts(books: DataFrame, rows: DataFrame, folder: str, plain: bool = F
     layouts allow for: it is the one between two chapters and at the end.
     """
     n = rows.groupBy("book_id").agg(F.count("*").alias("__n"))
+    chapters = rows.join(n, "book_id").join(books.select("book_id").distinct(), "book_id", "left_semi")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = _blocks(books.join(n, "book_id"), chapters, plain).repartitionByRange(parts, "book_id", "pos").sortWithinPartitions("book_id", "pos")
+    ordered.select("book_id", "value").write.partitionBy("book_id").text(folder)
+
+
+def _blocks(books: DataFrame, rows: DataFrame, plain: bool, *more: str) -> DataFrame:
+    """book_id, pos, value: the heads, before all places, and the chapters; both come with __n, a book's number of chapters."""
     text = F.coalesce("text", F.lit(""))
     if plain:
         last = F.when(F.col("pos") + 1 < F.col("__n"), "\n").otherwise("")
@@ -58,11 +71,47 @@ def export_parts(books: DataFrame, rows: DataFrame, folder: str, plain: bool = F
         head = F.expr("left(__h, length(__h) - 1)")
     else:
         block, head = F.concat("title", F.lit("\n\n"), text), F.col("__h")
-    heads = books.join(n, "book_id").withColumn("__h", _plain_head() if plain else _head(F.col("__n"))).select("book_id", F.lit(-1).cast("long").alias("pos"), head.alias("value"))
-    chapters = rows.join(n, "book_id").join(books.select("book_id").distinct(), "book_id", "left_semi").select("book_id", F.col("pos").cast("long").alias("pos"), block.alias("value"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = heads.unionByName(chapters).repartitionByRange(parts, "book_id", "pos").sortWithinPartitions("book_id", "pos")
-    ordered.select("book_id", "value").write.partitionBy("book_id").text(folder)
+    heads = books.withColumn("__h", _plain_head() if plain else _head(F.col("__n"))).select("book_id", F.lit(-1).cast("long").alias("pos"), head.alias("value"), *more)
+    return heads.unionByName(rows.select("book_id", F.col("pos").cast("long").alias("pos"), block.alias("value"), *more))
+
+
+def export_library(books: DataFrame, rows: DataFrame, folder: str, plain: bool = False, size: int = FILE_BYTES) -> None:
+    """Any number of books of any size as text files of about ``size`` bytes, in the layouts of export_parts(), for which
+    a folder and a file for each book would be too many: ``text/part=<number>``, a file each, and ``index``, a table of
+    part, book_id, first and bytes, where in a part what it has of a book begins and how long that is.
+
+    Books stand one after the other by book_id. What goes before a book is a running sum of sizes; a chapter's part
+    follows from that and from its place in the book, so that a long book may be many parts, and a part one task's work.
+    Rows are written once before, so that text and index are made of the same ones.
+    """
+    spark, at = rows.sparkSession, F.greatest(F.col("pos").cast("long"), F.lit(0))
+    weight = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("title", "text")), F.lit(4))
+    sized = rows.groupBy("book_id").agg(F.count("*").alias("__n"), F.sum(weight).alias("__w"), F.max(at).alias("__last"))
+    sized = running(sized.join(books.select("book_id").distinct(), "book_id", "left_semi"), [F.col("book_id")], F.col("__w"), "sizes")
+    sized = sized.select("book_id", "__n", "__w", "__last", F.col("before").alias("__before"))
+    blocks = _blocks(books.join(sized, "book_id"), rows.join(sized, "book_id"), plain, "__w", "__last", "__before")
+    part = F.floor((F.col("__before") + F.floor(at / (F.col("__last") + 1) * F.col("__w"))) / size)
+    blocks = written(blocks.select(part.alias("part"), "book_id", "pos", "value"), "blocks")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.repartition(parts, "part").sortWithinPartitions("part", "book_id", "pos").select("part", "value").write.partitionBy("part").text(f"{folder}/text")
+    length = F.coalesce(F.octet_length("value"), F.lit(0)) + 1  # with its line feed
+    before = Window.partitionBy("part").orderBy("book_id").rowsBetween(Window.unboundedPreceding, -1)
+    index = blocks.groupBy("part", "book_id").agg(F.sum(length).alias("bytes"))
+    index.select("part", "book_id", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("first"), "bytes").write.parquet(f"{folder}/index")
+
+
+def read_library(spark: SparkSession, folder: str) -> DataFrame:
+    """book_id, part, text of what export_library() has written: a book's texts, in order of the parts, are the book. A task
+    holds one file at a time."""
+    def cut(files: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        content = b"".join(files.sort_values("path")["content"])
+        texts = [content[a:a + n].decode() for a, n in zip(index["first"], index["bytes"])]
+        return pd.DataFrame({"book_id": index["book_id"], "part": index["part"], "text": texts})
+
+    index = spark.read.parquet(f"{folder}/index")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/text").select(F.regexp_extract("path", "/part=([0-9]+)/[^/]*$", 1).cast("long").alias("part"), "path", "content")
+    schema = f"book_id {index.schema['book_id'].dataType.simpleString()}, part long, text string"
+    return files.groupBy("part").cogroup(index.groupBy("part")).applyInPandas(cut, schema)
 
 
 def feed_entries(page: DataFrame) -> DataFrame:

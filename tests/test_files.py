@@ -11,6 +11,8 @@ from quire.operators import books as BK
 from quire.operators import export as EX
 from quire.operators import importing as IM
 from quire.operators import progress as PR
+from quire.plans import catalogue, structure  # noqa: F401  structure registers its queries
+from quire.session import shared_dir
 from quire.sources.listing import listing
 from quire.streaming.throttle import drain, throttled_stream
 
@@ -54,6 +56,38 @@ def test_books_of_any_size_in_parts(spark, tmp_path, plain):
         assert EX.export_text(books, rows).select("book_id").collect() == [(2,)]
 
 
+@pytest.mark.parametrize("plain", [False, True])
+def test_books_of_any_number_in_parts(spark, tmp_path, plain):
+    """A book of many parts, many books of one part, books without rows, rows without a book, an odd place and no rows at all."""
+    books = spark.createDataFrame([(1, "Big", "Who", 7), (2, "", None, None), (3, "None", "", 0)], "book_id long, title string, author string, word_count long")
+    books = books.unionByName(spark.range(100, 400).select(F.col("id").alias("book_id"), F.lit("书").alias("title"), F.lit("甲").alias("author"), F.col("id").alias("word_count")))
+    big = spark.range(20_000).select(F.lit(1).cast("long").alias("book_id"), (F.col("id") * 3).alias("pos"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("T"), F.col("id").cast("string"))).otherwise("").alias("title"), F.when(F.col("id") % 7 != 0, F.concat(F.lit("x\r\n\f"), F.col("id").cast("string"))).alias("text"))
+    small = spark.range(100, 400).select(F.col("id").alias("book_id"), F.lit(0).cast("long").alias("pos"), F.lit("章").alias("title"), F.lit("文\n\n").alias("text"))
+    if plain:
+        big = big.withColumn("pos", F.col("pos") / 3).withColumn("pos", F.col("pos").cast("long"))
+    rows = big.unionByName(small).unionByName(spark.createDataFrame([(2, 0, "only", None), (9, 0, "nobody's", "t")], big.schema)).repartition(6)
+    folder = str(tmp_path / "out")
+    EX.export_library(books, rows, folder, plain, 20_000)
+    whole = EX.export_text_plain(books, rows) if plain else EX.export_text(books, rows, 20_000)
+    want, got, parts = {r.book_id: r.content for r in whole.collect()}, {}, {}
+    for r in EX.read_library(spark, folder).orderBy("book_id", "part").collect():
+        got[r.book_id] = got.get(r.book_id, "") + r.text
+        parts.setdefault(r.part, set()).add(r.book_id)
+    assert got == want and set(got) == {1, 2, *range(100, 400)}
+    files = glob.glob(f"{folder}/text/part=*/part-*")
+    assert len(files) == len(parts) < 40 and sum(1 in x for x in parts.values()) > 5 and max(map(len, parts.values())) > 50 and max(map(os.path.getsize, files)) < 60_000
+    EX.export_library(books, rows.limit(0), str(tmp_path / "none"), plain)
+    assert EX.read_library(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_exported_books_share_files(spark, sf):
+    """Of the query's books: a file for each would be as many files as books."""
+    before = set(glob.glob(f"{shared_dir(spark)}/quire-export-*"))
+    books = len(catalogue.QUERIES["export_parts"](spark, sf).collect())
+    (folder,) = set(glob.glob(f"{shared_dir(spark)}/quire-export-*")) - before
+    assert len(glob.glob(f"{folder}/**/part-*.txt", recursive=True)) < books / 10
+
+
 def test_listing_reads_the_prefixes_asked_for(spark, tmp_path):
     for p in ("meta", "raw", "text"):
         for i in range(12):
