@@ -9,6 +9,7 @@ from quire.operators import books as BK
 from quire.operators import integrity as IN
 from quire.operators import layout as LY
 from quire.operators import updates as UP
+from quire.plans import catalogue, structure  # noqa: F401  registers its queries
 
 
 def test_all_of_3000_shards_are_opened(spark):
@@ -82,6 +83,26 @@ def test_a_log_is_applied_as_step_by_step(spark, seed):
     assert LY.apply_log(had.limit(0), spark.createDataFrame([], "n long, id long, op string, entry map<string,string>")).count() == 0
 
 
+def test_of_operations_of_one_n_the_lowest_i_counts(spark):
+    log = [(5, 1, "upsert", {"t": "a"}, 7), (5, 1, "remove", None, 8), (5, 2, "remove", None, 3), (5, 2, "upsert", {"t": "b"}, 4), (1, 3, "upsert", {"t": "c"}, 9),
+           (6, 3, "patch", {"t": "q"}, 2), (6, 3, "patch", {"t": "p", "u": "r"}, 1), (6, 3, "patch", {"u": "s"}, 5), (1, 3, "upsert", {"t": "d"}, 6), (1, 3, "patch", {"w": "x"}, 0)]
+    had = spark.createDataFrame([(2, {"t": "old"})], "id long, entry map<string,string>")
+    for rows in (log, log[::-1]):
+        got = LY.apply_log(had, spark.createDataFrame(rows, "n long, id long, op string, entry map<string,string>, i long").coalesce(1))
+        assert {r.id: (r.entry, r.first) for r in got.collect()} == {1: ({"t": "a"}, None), 3: ({"t": "p", "u": "r"}, 1)}
+
+
+@pytest.mark.parametrize("name", ["index_log", "index_log_places"])
+@pytest.mark.parametrize("backwards", [False, True])
+def test_log_of_more_than_a_million_orders(spark, tmp_path, duck, rows_of, name, backwards):
+    """Orders 1,000,003 apart have one n. Some orders are of no customer. However Spark gets the rows, the result is the SQL's over rows in order."""
+    orders = sorted((j + 1_000_003 * m, j % 97) for j in range(500) for m in range(6))
+    for folder, rows in (("sql", orders), ("spark", orders[::-1] if backwards else orders)):
+        spark.createDataFrame(rows, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(str(tmp_path / folder / "orders.parquet"))
+        spark.range(90).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / folder / "customer.parquet"))
+    assert rows_of(catalogue.QUERIES[name](spark, str(tmp_path / "spark"))) == duck(catalogue.ORACLES[name], str(tmp_path / "sql"))
+
+
 def _tables(spark):
     books = spark.createDataFrame([(1, "One", "A", None, ["t"], 100, 0, False, None, None), (2, "Two", "B", "n", [], 50, None, True, "b", "s"), (3, "Three", None, None, None, None, 4, None, None, None)],
                                   "id long, title string, author string, note string, tags array<string>, word_count long, clean_ver long, pinned boolean, pending_batch string, pending_sig string")
